@@ -106,8 +106,8 @@ class Forest:
                 self.up[max(x, y)] = min(x, y)
 
 
-def trie_links(codes: DataFrame, bits: int, budget: int, tables: int = 1, alike=None) -> DataFrame:
-    """Links between nodes by self-joins of `tables` tries: (u, v), in each task a spanning forest of what it finds.
+def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFrame:
+    """Links between nodes by self-joins of tries: (u, v), in each task a spanning forest of what it finds.
 
     codes: node long, codes array<long> (for each trie a code in the top `bits` bits), more array<long>. alike: a
     function of two arrays of rows of `more` that says which pairs count; without one, all within the budget.
@@ -252,18 +252,11 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(named, "node").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 16, seed: int = 42) -> DataFrame:
-    """Groups of documents alike by their word shingles: id_col, row (a number of each row), group (its smallest row number).
-
-    Near copies of Jaccard similarity 0.8 differ in about 10 of 64 SimHash bits, too many for one trie. So each text has
-    `tables` SimHashes of 32 bits, each in a trie of its own with a budget of 2 bits, and a pair found by any of them is
-    judged by all bits: their share that differs gives the angle between the shingle sets, and with the sets' sizes the
-    Jaccard similarity. Equal texts are one node. Texts without words are one group only if equal.
-    Null text: empty; null and equal ids are rows of their own; an empty table gives no rows.
-    """
+def sketches(docs: DataFrame, keep: list[str], text_col: str, size: int, tables: int, seed: int) -> DataFrame:
+    """A written table of each row: _row (its number), node (hash of its text), more (tables/2 words of SimHash bits and the number of distinct shingles), and the columns `keep` as _k0, _k1 ..."""
     batches(docs.sparkSession)
-    source = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
+    names = [f"_k{k}" for k in range(len(keep))]
+    source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     words = tables // 2
 
     def prints(it):
@@ -273,11 +266,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 found = set(shingles(x, size))
                 h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in found), "u8", len(found))
                 wide = majority(np.stack([mix(h, k) for k in range(words)], 1)) if found else np.zeros(words, "u8")
-                nodes.append(xxhash.xxh64_intdigest((x or "").encode("utf-8", "surrogatepass"), 7))
+                nodes.append(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7))
                 mores.append(np.append(wide, np.uint64(len(found))).view("i8"))
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(np.array(nodes, "u8").view("i8")), pa.array(mores, pa.list_(pa.int64()))], ["_id", "node", "more"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.array(nodes, "u8").view("i8")), pa.array(mores, pa.list_(pa.int64()))], [*names, "node", "more"])
+
+    schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "node long, more array<long>"])
+    return save(source.mapInArrow(prints, schema).withColumn("_row", F.monotonically_increasing_id()), "sketches")
+
 
-    marked = save(source.mapInArrow(prints, f"_id {kind}, node long, more array<long>"), "sketches")
+def alike_nodes(marked: DataFrame, tables: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that are linked to others."""
+    words = tables // 2
     nodes = marked.groupBy("node").agg(F.min("more").alias("more")).where(F.col("more")[words] > 0)
     halves = F.flatten(F.transform(F.slice("more", 1, words), lambda x: F.array(x.bitwiseAND(F.lit(-1 << 32)), F.shiftleft(x, 32))))
 
@@ -287,5 +286,28 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         common = np.cos(np.pi * apart) * np.sqrt(a * b)
         return common / np.maximum(a + b - common, 1) >= similarity
 
-    roots = components(trie_links(nodes.select("node", halves.alias("codes"), "more"), 32, 2, tables, alike))
-    return marked.select("_id", "node").join(roots, "node", "left").select(F.col("_id").alias(id_col), "node", F.coalesce("root", "node").alias("group"))
+    return components(trie_links(nodes.select("node", halves.alias("codes"), "more"), 32, 2, alike))
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 16, seed: int = 42) -> DataFrame:
+    """Groups of documents alike by their word shingles: id_col, node (hash of the text), group (the smallest node reached).
+
+    Near copies of Jaccard similarity 0.8 differ in about 10 of 64 SimHash bits, too many for one trie. So each text has
+    `tables` SimHashes of 32 bits, each in a trie of its own with a budget of 2 bits, and a pair found by any of them is
+    judged by all bits: their share that differs gives the angle between the shingle sets, and with the sets' sizes the
+    Jaccard similarity. Equal texts are one node. Texts without words are one group only if equal.
+    Null text: empty; null and equal ids are rows of their own; an empty table gives no rows; other columns aren't read.
+    """
+    marked = sketches(docs, [id_col], text_col, size, tables, seed)
+    return marked.select("_k0", "node").join(alike_nodes(marked, tables, similarity), "node", "left").select(F.col("_k0").alias(id_col), "node", F.coalesce("root", "node").alias("group"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 16, seed: int = 42) -> DataFrame:
+    """docs with one row of each group of near_copies(): that with the smallest id, a null id last; same columns."""
+    cols = docs.columns
+    marked = sketches(docs, cols, text_col, size, tables, seed)
+    own = F.col(f"_k{cols.index(id_col)}")
+    light = marked.select("_row", "node", own.alias("_id")).join(alike_nodes(marked, tables, similarity), "node", "left")
+    first = light.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
+    kept = marked.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
+    return kept.select(*(F.col(f"_k{k}").alias(c) for k, c in enumerate(cols)))

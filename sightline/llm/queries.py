@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, near, packing, secrets, toxicity, urls, warc
+from . import decontam, fingerprints, language, near, packing, scoring, secrets, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,10 +21,18 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op4_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_texts(table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -49,5 +57,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op3_secrets, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language)}
 ORACLE: dict[str, str] = {}
