@@ -38,13 +38,13 @@ def blocks(text: str | None, sizes: tuple[int, ...], bits: int):
             yield grams(points[k : k + BLOCK + n - 1], (n,), bits)
 
 
-def distinct(text: str | None, sizes: tuple[int, ...], bits: int, seen: np.ndarray) -> np.ndarray:
-    """The distinct buckets of a text. seen: scratch of 2 ** bits ints, any content."""
-    found = []
-    for h in blocks(text, sizes, bits):
+def distinct(text: str | None, sizes: tuple[int, ...], bits: int, seen: np.ndarray, segment: int):
+    """The distinct buckets of each segment of a text, one after the other; no n-gram is lost between segments.
+
+    seen: scratch of 2 ** bits ints, any content."""
+    points = chars(text)
+    for k in range(0, len(points), segment):
+        h = grams(points[k : k + segment + max(sizes) - 1], sizes, bits)
         at = np.arange(len(h), dtype=seen.dtype)
         seen[h] = at
-        found.append(h[seen[h] == at])
-    if len(found) == 1:
-        return found[0]
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, "u4")
+        yield h[seen[h] == at]

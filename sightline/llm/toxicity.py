@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-The features are the distinct hashed n-grams of a whole text. Each is scaled by the log ratio of its smoothed
-document frequencies in toxic and other training texts, then a logistic regression is fitted in numpy, and its
-scores are calibrated on training texts held back from the fit.
+A text is taken in segments, whose features are their distinct hashed n-grams. Each is scaled by the log ratio of its
+smoothed frequencies in toxic and other training segments, then a logistic regression is fitted in numpy. A text is as
+toxic as its worst segment, so that a long one isn't washed out; in the fit, a toxic text stands for the segment that
+the round before found worst. Scores are calibrated on training texts held back from the fit.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from pyspark.sql import functions as F
 from .common import batches, crc_mod, sample_rows
 from .features import distinct
 
-SIZES, BITS = (3, 4, 5), 18
+SIZES, BITS, SEGMENT = (3, 4, 5), 18, 2_000
 #: The classifier is fitted on at most so many labelled rows (those with the smallest hashes of their ids).
 MAX_ROWS = 4_000
 #: Smoothing, least absolute log-count ratio of a feature that is kept, ridge penalty, steps.
-ALPHA, LEAST, RIDGE, STEPS = 0.5, 0.7, 3e-4, 120
+ALPHA, LEAST, RIDGE, STEPS, ROUNDS = 0.5, 0.7, 3e-4, 100, 3
 
 
 def fit(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float]:
@@ -29,29 +30,19 @@ def fit(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float]
     if len(y) < 8 or y.min() == y.max():
         return np.zeros(1 << BITS, "f4"), float(np.log(share / (1 - share)))
     seen = np.zeros(1 << BITS, "i4")
-    rows = [distinct(t, SIZES, BITS, seen) for t in texts]
-    n = np.array([len(r) for r in rows])
-    at, cols = np.repeat(np.arange(len(rows)), n), np.concatenate(rows).astype("i8")
-    back = np.arange(len(y)) % 5 == 4  # the rows that calibrate
-    train = ~back
-    use = train[at]
-    p = np.bincount(cols[use], weights=y[at[use]], minlength=1 << BITS)
-    q = np.bincount(cols[use], minlength=1 << BITS) - p
-    ratio = np.log((p + ALPHA) / (y[train].sum() + 2 * ALPHA)) - np.log((q + ALPHA) / ((1 - y[train]).sum() + 2 * ALPHA))
-    ratio[(np.abs(ratio) < LEAST) | (p + q < 2)] = 0
-    keep = ratio[cols] != 0
-    at, cols = at[keep], cols[keep]
-    x = ratio[cols]
-    w, b = np.full(1 << BITS, 1e-2), float(np.log(share / (1 - share)))
-    gw, gb = np.full(1 << BITS, 1e-6), 1e-6
-    weight = np.where(train, 1 / train.sum(), 0)
-    for _ in range(STEPS):
-        z = np.bincount(at, weights=x * w[cols], minlength=len(y)) + b
-        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * weight
-        g = np.bincount(cols, weights=x * e[at], minlength=1 << BITS) + RIDGE * w
-        gw, gb = gw + g * g, gb + e.sum() ** 2
-        w, b = w - 0.05 * g / np.sqrt(gw), b - 0.05 * e.sum() / np.sqrt(gb)
-    z = np.bincount(at, weights=x * w[cols], minlength=len(y)) + b
+    rows, own = [], []
+    for d, t in enumerate(texts):
+        for r in distinct(t, SIZES, BITS, seen, SEGMENT):
+            rows.append(r)
+            own.append(d)
+    own = np.array(own)
+    back = np.arange(len(y)) % 5 == 4  # the texts that calibrate
+    used = ~back[own]
+    for _ in range(ROUNDS):
+        w, b = fit_segments([rows[k] for k in np.flatnonzero(used)], y[own[used]])
+        z = np.full(len(y), -np.inf)
+        np.maximum.at(z, own, each := np.array([w[r].sum(dtype="f8") for r in rows]) + b)
+        used = ~back[own] & ((y[own] == 0) | (each == z[own]))
     s, t = 1.0, 0.0  # Platt's slope and shift, by Newton steps with a ridge towards 1 and 0
     zb, yb = z[back], y[back]
     for _ in range(30):
@@ -61,7 +52,30 @@ def fit(texts: list[str | None], labels: np.ndarray) -> tuple[np.ndarray, float]
         h = np.array([[(v * zb * zb).sum() + 1, (v * zb).sum()], [(v * zb).sum(), v.sum() + 1]])
         step = np.linalg.solve(h, g)
         s, t = max(0.05, s - step[0]), t - step[1]
-    return (s * w * ratio).astype("f4"), float(s * b + t)
+    return (s * w).astype("f4"), float(s * b + t)
+
+
+def fit_segments(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of the buckets, log-count ratios included, and the intercept."""
+    p, q = np.zeros(1 << BITS, "f4"), np.zeros(1 << BITS, "f4")
+    for r, label in zip(rows, y):
+        (p if label else q)[r] += 1
+    ratio = np.log((p + ALPHA) / (y.sum() + 2 * ALPHA)) - np.log((q + ALPHA) / ((1 - y).sum() + 2 * ALPHA))
+    ratio[(np.abs(ratio) < LEAST) | (p + q < 2)] = 0
+    kept = [r[ratio[r] != 0] for r in rows]
+    at = np.repeat(np.arange(len(kept), dtype="i4"), [len(r) for r in kept])
+    cols = np.concatenate(kept).astype("i4")
+    x = ratio[cols]
+    share = (y.sum() + 1) / (len(y) + 2)
+    w, b = np.full(1 << BITS, 1e-2), float(np.log(share / (1 - share)))
+    gw, gb = np.full(1 << BITS, 1e-6), 1e-6
+    for _ in range(STEPS):
+        z = np.bincount(at, weights=x * w[cols], minlength=len(y)) + b
+        e = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / len(y)
+        g = np.bincount(cols, weights=x * e[at], minlength=1 << BITS) + RIDGE * w
+        gw, gb = gw + g * g, gb + e.sum() ** 2
+        w, b = w - 0.05 * g / np.sqrt(gw), b - 0.05 * e.sum() / np.sqrt(gb)
+    return (w * ratio).astype("f4"), float(b)
 
 
 def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
@@ -73,7 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", ma
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi").join(F.broadcast(named.join(picked.select("doc_id"), "doc_id", "left_semi")), "doc_id")
     got = sorted(rows.select("doc_id", F.coalesce("text", F.lit("")), "_y").collect())
     got = got[: 2 * max_rows]
-    return fit([r[1] for r in got], np.array([r[2] for r in got]))
+    texts, labels_of = [r[1] for r in got], np.array([r[2] for r in got])
+    del got
+    return fit(texts, labels_of)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], threshold: float = 0.7) -> DataFrame:
@@ -88,7 +104,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], thr
         w, b = sent.value
         seen = np.zeros(1 << BITS, "i4")
         for batch in it:
-            z = np.array([w[distinct(t, SIZES, BITS, seen)].sum(dtype="f8") for t in batch.column("_text").to_pylist()], "f8") + b
+            z = np.array([max(w[r].sum(dtype="f8") for r in distinct(t, SIZES, BITS, seen, SEGMENT)) for t in batch.column("_text").to_pylist()], "f8") + b
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names.values()), pa.array(p), pa.array((p >= threshold).astype("i4"))], [*names.values(), "score", "predicted"])
 
