@@ -18,12 +18,12 @@ from pyspark.sql import functions as F
 from .common import batches, save
 
 #: Words whose ids a Python worker keeps; others are encoded again.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 500_000
 _coders: dict[str, "WordCoder"] = {}
 
 
 class WordCoder:
-    """Ids of texts for a tokenizer that never joins characters across ASCII white space.
+    """Ids of texts for a tokenizer that lower-cases, and never joins characters across ASCII white space.
 
     So a text's ids are its words' ids in a row, and each word is encoded once a batch at most."""
 
@@ -35,16 +35,24 @@ class WordCoder:
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        split = []
+        for t in texts:
+            t = (t or "").encode("utf-8", "surrogatepass")
+            # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
+            split.append((t if b"<|" in t else t.lower()).split())
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
+        new = {w for words in split for w in words if w not in known}
         if len(known) + len(new) > CACHED_WORDS:
             known.clear()
-            new = list({w for words in split for w in words})
-        for k in range(0, len(new), 20_000):
-            part = new[k : k + 20_000]
-            coded = self.coder.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
+            new = {w for words in split for w in words}
+        # a comma or stop after a letter is a piece of its own
+        marked = [w for w in new if w[-1:] in b".," and w[-2:-1].isalpha()]
+        plain = list((new - set(marked)) | {x for w in marked for x in (w[:-1], w[-1:])} - known.keys())
+        for k in range(0, len(plain), 20_000):
+            part = plain[k : k + 20_000]
+            coded = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, coded))
+        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
