@@ -7,6 +7,7 @@ are found, the slots must map consistently: one value of the item to one value o
 
 from __future__ import annotations
 
+import gc
 import re
 from collections import Counter, defaultdict
 
@@ -38,14 +39,15 @@ N, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 def pieces(word: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...], bool]:
     """Template tokens (token, value) of a word at the start of a sentence, and elsewhere, and whether it ends one."""
-    core = TRIM.sub("", word)
+    core = word if word.isalpha() else TRIM.sub("", word)
     ends = word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
     if not core:
         return (), (), ends
     low = core.lower()
-    if NUMBER.match(core) or low in NUMERALS:
+    number = not core.isalpha() and (core[0].isdigit() or core[0] in "+-$€£")
+    if number and NUMBER.match(core) or low in NUMERALS:
         both = ((N, low),)
-    elif (m := MEASURE.match(core)) and m[2].lower() in UNITS:
+    elif number and (m := MEASURE.match(core)) and m[2].lower() in UNITS:
         both = ((N, m[1]), (UNIT, m[2].lower()))
     elif low in UNITS and len(low) > 2:
         both = ((UNIT, low),)
@@ -60,32 +62,40 @@ def _code(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
+def _form(tokens) -> tuple[bytes, tuple[str, ...]]:
+    return b"".join(_code(t).to_bytes(8, "little") for t, _ in tokens), tuple(v for _, v in tokens)
+
+
 class Templates:
     """Template tokens of texts; each word is looked at once."""
 
     def __init__(self, kept: int = 300_000):
         self.kept, self.known = kept, {}
-
-    def of(self, text: str | None) -> tuple[np.ndarray, list[str]]:
-        """Hashes of the template tokens and the slots' values ('' for literals)."""
-        codes: list[int] = []
-        values: list[str] = []
-        known, start = self.known, True
-        for word in (text or "").split():
-            got = known.get(word)
-            if got is None:
-                first, later, ends = pieces(word)
-                got = known[word] = ([_code(t) for t, _ in first], [v for _, v in first], [_code(t) for t, _ in later], [v for _, v in later], ends)
-            if start:
-                codes += got[0]
-                values += got[1]
-            else:
-                codes += got[2]
-                values += got[3]
-            start = got[4]
+        gc.set_threshold(200_000)  # the many small tuples kept here need no scans for cycles
+
+    def _parts(self, text: str | None) -> list[tuple]:
+        """For each word its hashes and values, as a sentence's first word or not."""
+        known, words = self.known, (text or "").split()
+        for word in set(words).difference(known):
+            first, later, ends = pieces(word)
+            one = _form(first)
+            known[word] = (one, one if later is first else _form(later), ends)
+        found = [known[w] for w in words]
         if len(known) > self.kept:
             known.clear()
-        return np.array(codes, "u8"), values
+        starts = [True, *(x[2] for x in found[:-1])]
+        return [x[0] if s else x[1] for x, s in zip(found, starts)]
+
+    def codes(self, text: str | None) -> np.ndarray:
+        """Hashes of the template tokens."""
+        return np.frombuffer(b"".join([x[0] for x in self._parts(text)]), "u8")
+
+    def values(self, text: str | None) -> list[str]:
+        """The slots' values, '' for literals."""
+        return [v for x in self._parts(text) for v in x[1]]
+
+    def of(self, text: str | None) -> tuple[np.ndarray, list[str]]:
+        return self.codes(text), self.values(text)
 
 
 def rolled(codes: np.ndarray, size: int) -> np.ndarray:
@@ -121,17 +131,21 @@ class Index:
         self.ids = [x[0] for x in items]
         self.at = dict(at)
         self.hashes = np.array(sorted(self.at), "u8")
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.hashes >> np.uint64(44)).astype("i8")] = True
 
-    def judge(self, codes: np.ndarray, values: list[str]) -> list[tuple]:
-        """(item id, coverage, matched windows, slots, share of consistent slots) of each item whose template is in the text."""
+    def find(self, text: str | None, words: Templates) -> list[tuple]:
+        """(item id, coverage, matched windows, slots, changed slots, share of consistent slots) of each item whose template is in the text."""
+        codes = words.codes(text)
         pairs: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for size in self.sizes if len(self.hashes) else ():
+        for size in self.sizes:
             h = rolled(codes, size)
-            k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-            for d in np.flatnonzero(self.hashes[k] == h).tolist():
-                for i, p in self.at[int(h[d])]:
+            maybe = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype("i8")])
+            for d in maybe.tolist():
+                for i, p in self.at.get(int(h[d]), ()):
                     if min(WINDOW, len(self.items[i][0])) == size:
                         pairs[i].add((p, d))
+        values = words.values(text) if pairs else []
         out = []
         for i, found in sorted(pairs.items()):
             own, slots = self.items[i]
@@ -212,7 +226,7 @@ def _matcher(sent):
             at, rows = [], []
             for k, text in enumerate(batch.column("_text").to_pylist()):
                 if text:
-                    found = index.judge(*words.of(text))
+                    found = index.find(text, words)
                     at += [k] * len(found)
                     rows += found
             cols = list(zip(*rows)) or [[]] * 6
@@ -236,6 +250,6 @@ def _keeper(sent, text_at: int):
     def run(it):
         words, index = Templates(), sent.value
         for batch in it:
-            yield batch.filter(pa.array([not (t and index.judge(*words.of(t))) for t in batch.column(text_at).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not (t and index.find(t, words)) for t in batch.column(text_at).to_pylist()], pa.bool_()))
 
     return run
