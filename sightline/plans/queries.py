@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from . import gaze
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(gaze.QUERIES)
+ORACLE: dict[str, str] = dict(gaze.ORACLE)
