@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gaze
+from . import gaze, timeline
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(gaze.QUERIES)
-ORACLE: dict[str, str] = dict(gaze.ORACLE)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = gaze.QUERIES | timeline.QUERIES
+ORACLE: dict[str, str] = gaze.ORACLE | timeline.ORACLE

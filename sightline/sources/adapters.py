@@ -25,7 +25,7 @@ select concat('v', lpad(cast(vid as varchar(10)),5,'0')) video_id, frame_pos, fr
 
 GESTURES = """
 select concat('v', lpad(cast(l_orderkey % 400 as varchar(10)),5,'0')) video_id,
-  l_orderkey*10 + l_linenumber gesture_key, l_partkey part, l_suppkey supp,
+  (l_orderkey*10 + l_linenumber)*1000000 + (l_partkey % 1000)*1000 + l_suppkey % 1000 gesture_key,
   case l_linenumber % 4 when 0 then 'pointing' when 1 then 'showing' when 2 then 'giving' else 'reaching' end gesture_type,
   (l_partkey % 230)/2e0 + (l_suppkey % 5)/1e1 start_time,
   (l_partkey % 230)/2e0 + (l_suppkey % 5)/1e1 + 5e-1 + (cast(l_quantity as bigint) % 8)/2e0 end_time,
