@@ -160,7 +160,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with each span (overlapping ones joined) replaced by mark in text, and n_chars brought up to date where there is such a column."""
     cols = docs.columns
-    found = find_secrets(docs, cols)
+    own = {c: f"_c{k}" for k, c in enumerate(cols)}
+    found = find_secrets(docs.toDF(*own.values()), list(own.values()), text_col=own["text"])
 
     def step(s, x):
         out = s["out"]
@@ -169,6 +170,6 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
         return F.struct(F.greatest(s["at"], x["stop"]).alias("at"), F.when(fresh, F.concat(out, skip, F.lit(mark))).otherwise(out).alias("out"))
 
     clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda s: F.concat(s["out"], F.substring(F.col("_scanned"), s["at"] + 1, F.length("_scanned"))))
-    text = F.when(F.size("spans") > 0, clean).otherwise(F.col("text"))
-    new = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in cols else {})
-    return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in cols))
+    text = F.when(F.size("spans") > 0, clean).otherwise(F.col(own["text"]))
+    new = {"text": text} | ({"n_chars": F.when(F.size("spans") > 0, F.length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(F.col(own["n_chars"]))} if "n_chars" in cols else {})
+    return found.select(*(new.get(c, F.col(own[c])).alias(c) for c in cols))

@@ -21,6 +21,8 @@ MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 #: Records of one file, which bounds its size and the rounds of pointer jumping.
 FILE_RECORDS = 1_000
+#: Bytes of a header; a candidate with more isn't one.
+MOST_HEADER = 1 << 16
 LENGTH = re.compile(rb"(?i)(?:^|\r\n)Content-Length: *(\d+)")
 FIELD = re.compile(rb"([A-Za-z-]+): *([^\r\n]*)")
 
@@ -61,32 +63,48 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 
 def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between the magic lines: file, at (offset of the magic line), size, next (offset of the successor; null if the header can't be read), head, raw."""
+    """What lies between the magic lines: file, at (offset of the magic line), size, next (offset of the successor; null if the header can't be read), raw."""
     batches(spark, 200)
     parts = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
 
+    kinds = [pa.string(), *[pa.int64()] * 5, pa.binary()]
+    names = ["file", "block", "number", "run", "size", "step", "raw"]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+
     def walk(it):
         place, run, number = None, 0, 0
+        rows: list[list] = []
+        waiting: list[tuple[list, bytes]] = []  # candidates whose header goes on beyond the next magic line
         for batch in it:
-            out = [[] for _ in range(8)]
             for file, block, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "raw"))):
                 if (file, block) != place:
-                    place, run, number = (file, block), 0, 0
-                head = raw.find(END)
-                found = LENGTH.search(raw[:head]) if head >= 0 else None
-                step = head + len(END) + int(found[1]) + len(END) if found else None
-                for column, x in zip(out, (file, block, number, run, len(raw), step, head, raw)):
-                    column.append(x)
+                    place, run, number, waiting = (file, block), 0, 0, []
+                row = [file, block, number, run, len(raw), None, raw]
+                rows.append(row)
+                waiting = [(r, h + MAGIC + raw) for r, h in waiting] + [(row, raw)]
+                still = []
+                for r, h in waiting:
+                    head = h.find(END)
+                    if head >= 0 and (found := LENGTH.search(h[:head])):
+                        r[5] = head + len(END) + int(found[1]) + len(END)
+                    elif head < 0 and len(h) < MOST_HEADER:
+                        still.append((r, h))
+                waiting = still
                 run += len(raw) + len(MAGIC)
                 number += 1
-            kinds = [pa.string(), *[pa.int64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["file", "block", "number", "run", "size", "step", "head", "raw"])
+            if rows and not waiting:
+                yield table(rows)
+                rows = []
+        if rows:
+            yield table(rows)
 
-    found = save(parts.mapInArrow(walk, "file string, block long, number long, run long, size long, step long, head long, raw binary"), "candidates")
+    found = save(parts.mapInArrow(walk, "file string, block long, number long, run long, size long, step long, raw binary"), "candidates")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
     begin = F.col("base") + F.col("run")
-    return found.join(base, ["file", "block"]).select("file", (begin - len(MAGIC)).alias("at"), "size", (begin + F.col("step")).alias("next"), "head", "raw")
+    return found.join(base, ["file", "block"]).select("file", (begin - len(MAGIC)).alias("at"), "size", (begin + F.col("step")).alias("next"), "raw")
 
 
 def reached(marks: DataFrame) -> DataFrame:
