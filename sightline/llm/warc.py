@@ -7,12 +7,10 @@ records that the chain reaches; a magic line inside a payload is never reached,
 
 from __future__ import annotations
 
-import base64
-import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import batches, new_path, save
@@ -27,84 +25,111 @@ LENGTH = re.compile(rb"(?i)(?:^|\r\n)Content-Length: *(\d+)")
 FIELD = re.compile(rb"([A-Za-z-]+): *([^\r\n]*)")
 
 
-def digest(payload: bytes) -> str:
-    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
+LOWEST = -(1 << 62)  # stands for a null id
+
+
+def digest(payload: Column) -> Column:
+    """SHA-1 in base 32: eight times five hexadecimal digits as four digits of base 32, in that alphabet."""
+    fours = [F.lpad(F.conv(F.substring(F.sha1(payload), 5 * k + 1, 5), 16, 32), 4, "0") for k in range(8)]
+    return F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0) -> None:
     """A record for each row, gzip-compressed files of bounded size. Of rows with equal payloads of at least `least`
-    bytes that with the largest id (of equal ids the last row) is a response, the others are revisits without payload.
+    bytes that with the largest id (of equal ids that with the largest url, of equal urls any one) is a response, the
+    others are revisits without payload.
 
     Null body: an empty payload. Null url: no target. A null id counts as the smallest. Empty table: no records.
-    """
-    batches(pages.sparkSession, 200)
-    source = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), F.coalesce(F.col(body_col).cast("string"), F.lit("")).alias("_body"))
 
-    def measure(it):
-        for batch in it:
-            bodies = [x.encode("utf-8", "surrogatepass") for x in batch.column("_body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([digest(x) for x in bodies]), pa.array([len(x) for x in bodies], pa.int64())], [*batch.schema.names, "_digest", "_bytes"])
-
-    rows = source.mapInArrow(measure, "_id long, _url string, _body string, _digest string, _bytes long").withColumn("_row", F.monotonically_increasing_id())
-    rows = save(rows, "payloads")
-    last = rows.where(F.col("_bytes") >= least).groupBy("_digest").agg(F.max(F.struct(F.coalesce("_id", F.lit(-(1 << 62))).alias("o"), "_row")).alias("_last"))
-    rows = rows.join(last, "_digest", "left")
-    again = F.col("_last").isNotNull() & (F.col("_last._row") != F.col("_row"))
+    Payloads are not shuffled unless the digests that occur more than once are too many for Spark to broadcast.
+    """
+    body = F.coalesce(F.col(body_col).cast("string"), F.lit(""))
+    source = pages.select(F.col(id_col).cast("long").alias("_id"), F.col(url_col).cast("string").alias("_url"), body.alias("_body"))
+    source = source.withColumns({"_digest": digest(F.col("_body").cast("binary")), "_bytes": F.octet_length("_body").cast("long"), "_o": F.coalesce("_id", F.lit(LOWEST)), "_u": F.coalesce("_url", F.lit(""))})
+    same = source.where(F.col("_bytes") >= least).groupBy("_digest", "_o", "_u").agg(F.count("*").alias("c"))
+    last = save(same.groupBy("_digest").agg(F.max(F.struct("_o", "_u", "c")).alias("_last"), F.sum("c").alias("n")).where("n > 1").drop("n"), "copies")
+    rows = source.join(last, "_digest", "left")
+    chosen = (F.col("_last._o") == F.col("_o")) & (F.col("_last._u") == F.col("_u"))
+    tied = F.coalesce(chosen & (F.col("_last.c") > 1), F.lit(False))
+    records = rows.where(~tied).withColumn("_again", F.coalesce(~chosen, F.lit(False)))
+    if not last.where("_last.c > 1").isEmpty():  # repeated rows: one is kept with its number, which gives the revisits
+        one = rows.where(tied).dropDuplicates(["_digest"])
+        records = records.unionByName(one.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_last.c")))).withColumn("_again", F.col("k") > 1).drop("k"))
+    again = F.col("_again")
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     urn = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(">"))
-    refers = F.when(again & (F.col("_last.o") > -(1 << 62)), urn(F.col("_last.o")))
+    refers = F.when(again & (F.col("_last._o") > LOWEST), urn(F.col("_last._o")))
     head = F.concat(
         F.lit(MAGIC.decode()), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("_id"))),
         line("WARC-Target-URI", F.regexp_replace("_url", "[\\x00-\\x20\\x7f]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")),
         line("WARC-Payload-Length", F.col("_bytes").cast("string")), line("WARC-Refers-To", refers), line("Content-Length", F.when(again, 0).otherwise(F.col("_bytes")).cast("string")),
     )
-    records = rows.select(F.concat(head, F.lit("\r\n"), F.when(again, "").otherwise(F.col("_body"))).alias("value"))
+    records = records.select(F.concat(head, F.lit("\r\n"), F.when(again, "").otherwise(F.col("_body"))).alias("value"))
     records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
-    """What lies between the magic lines: file, at (offset of the magic line), size, next (offset of the successor; null if the header can't be read), raw."""
+def between(spark: SparkSession, path: str) -> DataFrame:
+    """What lies between the magic lines: file, block (start of the split), size, raw."""
+    # the archives are read twice and must be split alike, whatever executors are there
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.shuffle.partitions"))
     batches(spark, 200)
-    parts = spark.read.option("lineSep", MAGIC.decode()).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("raw"))
+    lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
+    return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.octet_length("value").cast("long").alias("size"), F.col("value").cast("binary").alias("raw"))
+
+
+def runs(files: list, blocks: list, sizes: list, state: list) -> list[int]:
+    """Offset of each piece in its split; state (place, next offset) goes from batch to batch of a task."""
+    out = []
+    for file, block, size in zip(files, blocks, sizes):
+        if state[0] != (file, block):
+            state[:] = (file, block), 0
+        out.append(state[1])
+        state[1] += size + len(MAGIC)
+    return out
 
-    kinds = [pa.string(), *[pa.int64()] * 5, pa.binary()]
-    names = ["file", "block", "number", "run", "size", "step", "raw"]
+
+def candidates(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each magic line: file, block, run (offset of what follows it, in its split), at (offset of the magic
+    line in the file), size, next (offset of the successor; null if the header can't be read). No payloads."""
+    names = ["file", "block", "run", "size", "step"]
+    kinds = [pa.string(), *[pa.int64()] * 4]
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def walk(it):
-        place, run, number = None, 0, 0
+        state, place = [None, 0], None
         rows: list[list] = []
         waiting: list[tuple[list, bytes]] = []  # candidates whose header goes on beyond the next magic line
         for batch in it:
-            for file, block, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "raw"))):
-                if (file, block) != place:
-                    place, run, number, waiting = (file, block), 0, 0, []
-                row = [file, block, number, run, len(raw), None, raw]
+            file, block, size, raw = (batch.column(c).to_pylist() for c in ("file", "block", "size", "raw"))
+            for f, b, s, run, start in zip(file, block, size, runs(file, block, size, state), raw):
+                if place != (f, b):
+                    place, waiting = (f, b), []
+                row = [f, b, run, s, None]
                 rows.append(row)
-                waiting = [(r, h + MAGIC + raw) for r, h in waiting] + [(row, raw)]
+                waiting = [(r, h + MAGIC + start) for r, h in waiting] + [(row, start)]
                 still = []
                 for r, h in waiting:
                     head = h.find(END)
                     if head >= 0 and (found := LENGTH.search(h[:head])):
-                        r[5] = head + len(END) + int(found[1]) + len(END)
+                        r[4] = head + len(END) + int(found[1]) + len(END)
                     elif head < 0 and len(h) < MOST_HEADER:
                         still.append((r, h))
                 waiting = still
-                run += len(raw) + len(MAGIC)
-                number += 1
             if rows and not waiting:
                 yield table(rows)
                 rows = []
         if rows:
             yield table(rows)
 
-    found = save(parts.mapInArrow(walk, "file string, block long, number long, run long, size long, step long, raw binary"), "candidates")
+    heads = between(spark, path).withColumn("raw", F.substring("raw", 1, MOST_HEADER))
+    found = save(heads.mapInArrow(walk, "file string, block long, run long, size long, step long"), "candidates")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
     begin = F.col("base") + F.col("run")
-    return found.join(base, ["file", "block"]).select("file", (begin - len(MAGIC)).alias("at"), "size", (begin + F.col("step")).alias("next"), "raw")
+    return save(found.join(base, ["file", "block"]).select("file", "block", "run", (begin - len(MAGIC)).alias("at"), "size", (begin + F.col("step")).alias("next")), "marks")
 
 
 def reached(marks: DataFrame) -> DataFrame:
@@ -122,24 +147,39 @@ def reached(marks: DataFrame) -> DataFrame:
     return seen.join(marks.select("file", "at"), ["file", "at"], "left_semi")
 
 
+def joined(pieces: DataFrame) -> DataFrame:
+    """Records that hold magic lines, put together from their pieces: file, own, raw."""
+    bound = F.array_sort(F.collect_list(F.struct("at", "raw")))
+    rest = F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0)))
+    magic = F.lit(bytearray(MAGIC))
+    return pieces.groupBy("file", "own").agg(bound.alias("p")).select("file", "own", F.aggregate(rest, F.col("p")[0]["raw"], lambda s, x: F.concat(s, magic, x["raw"])).alias("raw"))
+
+
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """record_id, url, record_type, declared_digest, declared_bytes, refers_to, payload of each record that the chain reaches.
 
     A file that is cut short gives the records up to the cut. No files with records: no rows.
     """
-    found = candidates(spark, path)
-    marks = found.select("file", "at", "next")
-    kept = reached(marks).withColumn("real", F.lit(True))
+    marks = candidates(spark, path)
+    kept = reached(marks.select("file", "at", "next")).withColumn("real", F.lit(True))
     # the record that each candidate lies in: offsets of one archive file only
     w = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    owner = marks.select("file", "at").join(kept, ["file", "at"], "left").select("file", "at", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(w).alias("own"))
-    pieces = found.join(owner.where("own IS NOT NULL"), ["file", "at"])
-    magic = F.lit(bytearray(MAGIC))
-    alone = F.expr(f"at = own AND next = at + {len(MAGIC)} + size")
-    single = pieces.where(alone).select("file", "at", "raw")
-    rest = pieces.where(~alone | F.col("next").isNull())
-    bound = F.array_sort(F.collect_list(F.struct("at", "raw")))
-    whole = rest.groupBy("file", "own").agg(bound.alias("p")).select("file", F.col("own").alias("at"), F.aggregate(F.slice("p", F.lit(2), F.greatest(F.size("p") - 1, F.lit(0))), F.col("p")[0]["raw"], lambda s, x: F.concat(s, magic, x["raw"])).alias("raw"))
+    owner = marks.join(kept, ["file", "at"], "left").withColumn("own", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(w)).where("own IS NOT NULL")
+    alone = F.expr(f"coalesce(at = own AND next = at + {len(MAGIC)} + size, false)").alias("alone")
+    owner = save(owner.select("file", "block", "run", "at", "own", alone), "owners")
+
+    def place(it):
+        state = [None, 0]
+        for batch in it:
+            file, block, size = (batch.column(c) for c in ("file", "block", "size"))
+            run = runs(file.to_pylist(), block.to_pylist(), size.to_pylist(), state)
+            yield pa.RecordBatch.from_arrays([file, block, pa.array(run, pa.int64()), batch.column("raw")], ["file", "block", "run", "raw"])
+
+    # the archives once more, so that payloads are not stored between; the offsets are broadcast only if Spark finds them small
+    pieces = between(spark, path).mapInArrow(place, "file string, block long, run long, raw binary").join(owner, ["file", "block", "run"])
+    records = pieces.where("alone").select("raw")
+    if not owner.where("NOT alone").isEmpty():
+        records = records.unionByName(joined(pieces.where("NOT alone")).select("raw"))
 
     def parse(it):
         for batch in it:
@@ -156,7 +196,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
             kinds = [*[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["record_id", "url", "record_type", "declared_digest", "declared_bytes", "refers_to", "payload"])
 
-    return single.unionByName(whole).select("raw").mapInArrow(parse, "record_id string, url string, record_type string, declared_digest string, declared_bytes long, refers_to string, payload binary")
+    return records.mapInArrow(parse, "record_id string, url string, record_type string, declared_digest string, declared_bytes long, refers_to string, payload binary")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -168,17 +208,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = new_path(spark, "warc")
     write_warc(pages, path)
 
-    def check(it):
-        for batch in it:
-            body, kind = batch.column("payload").to_pylist(), batch.column("record_type").to_pylist()
-            declared = [(x or "").removeprefix("sha1:") for x in batch.column("declared_digest").to_pylist()]
-            size = batch.column("declared_bytes").to_pylist()
-            own = [digest(b) if k == "response" else d for b, k, d in zip(body, kind, declared)]
-            n = [len(b) if k == "response" else s for b, k, s in zip(body, kind, size)]
-            ok = [a == b and c == d for a, b, c, d in zip(own, declared, n, size)]
-            yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(n, pa.int64()), pa.array(own, pa.string()), batch.column("record_type"), batch.column("refers_to"), pa.array(ok)], ["record_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "verified"])
-
-    back = read_warc(spark, path).select("record_id", "declared_bytes", "declared_digest", "record_type", "refers_to", "payload")
-    back = back.mapInArrow(check, "record_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, verified boolean")
+    own, full = F.col("record_type") == "response", F.regexp_replace("declared_digest", "^sha1:", "")
+    back = read_warc(spark, path).withColumns({"_digest": F.when(own, digest(F.col("payload"))).otherwise(full), "_bytes": F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("declared_bytes"))})
+    verified = F.coalesce((F.col("_digest") == full) & (F.col("_bytes") == F.col("declared_bytes")), F.lit(False))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    return back.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"), "verified")
+    return back.select(number("record_id").alias("page_id"), F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), verified.alias("verified"))

@@ -12,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sightline.llm import decontam, fingerprints, language, near, packing, queries, scoring, secrets, toxicity, urls, warc
@@ -165,6 +166,28 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.where("false")).count() == 0
 
 
+def test_warc_repeated_rows(spark):
+    rows = [(7, "u", "same")] * 3 + [(7, "t", "same"), (2, None, "same"), (None, "u", None), (None, "u", None), (4, "v", "other")]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert Counter((r.page_id, r.record_type, r.refers_to) for r in got) == Counter({(7, "response", None): 1, (7, "revisit", 7): 3, (2, "revisit", 7): 1, (None, "response", None): 1, (None, "revisit", None): 1, (4, "response", None): 1})
+    assert all(r.verified for r in got)
+
+
+def test_warc_digest_and_splits(spark, tmp_path):
+    digests = spark.createDataFrame([(b"abc",), (b"",)], "b binary").select("b", warc.digest(F.col("b"))).collect()
+    assert all(d == base64.b32encode(hashlib.sha1(b).digest()).decode() for b, d in digests)
+    bodies = [(b"x" * (997 * i % 3000)) + b"WARC/1.0\r\n" * (i % 3) for i in range(400)]
+    with open(tmp_path / "a.warc", "wb") as f:
+        for i, b in enumerate(bodies):
+            f.write(warc.MAGIC + b"WARC-Record-ID: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(b)) + b + warc.END)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = {int(r.record_id): bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(bodies))
+
+
 def test_base_scores(docs):
     got = scoring.score_texts(docs, TOKENIZER).collect()
     w = lambda t: (t or "").encode().lower().split() + [b" "]
