@@ -155,11 +155,39 @@ def joined(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("file", "own").agg(bound.alias("p")).select("file", "own", F.aggregate(rest, F.col("p")[0]["raw"], lambda s, x: F.concat(s, magic, x["raw"])).alias("raw"))
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
+FIELDS = {"record_id": pa.string(), "url": pa.string(), "record_type": pa.string(), "declared_digest": pa.string(), "declared_bytes": pa.int64(), "refers_to": pa.string(), "payload": pa.binary()}
+SCHEMA = "record_id string, url string, record_type string, declared_digest string, declared_bytes long, refers_to string, payload binary"
+
+
+def parse(raw: bytes, whole: bool = False) -> tuple | None:
+    """FIELDS of what follows a magic line; None if its header can't be read, it is cut short or (whole) anything follows the record."""
+    head = raw.find(END)
+    found = LENGTH.search(raw[:head]) if head >= 0 else None
+    if not found:
+        return None
+    start, length = head + len(END), int(found[1])
+    if start + length > len(raw) or whole and start + length + len(END) != len(raw):
+        return None
+    x = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(raw[:head])}
+    declared = x.get("warc-payload-length", "")
+    return x.get("warc-record-id"), x.get("warc-target-uri"), x.get("warc-type"), x.get("warc-payload-digest"), int(declared) if declared.isdecimal() else length, x.get("warc-refers-to"), raw[start : start + length]
+
+
+def batch_of(records: list[tuple], more: dict | None = None) -> pa.RecordBatch:
+    more = more or {}
+    columns = zip(*records) if records else [[]] * len(FIELDS)
+    return pa.RecordBatch.from_arrays([*more.values(), *(pa.array(c, k) for c, k in zip(columns, FIELDS.values()))], [*more, *FIELDS])
+
+
+def read_warc(spark: SparkSession, path: str, payload: dict[str, Column] | None = None) -> DataFrame:
     """record_id, url, record_type, declared_digest, declared_bytes, refers_to, payload of each record that the chain reaches.
 
+    payload: columns to derive from those, in place of `payload`; they are worked out where a record is read, so that
+    its payload need not be shuffled to meet the offsets reached.
     A file that is cut short gives the records up to the cut. No files with records: no rows.
     """
+    derived = [c.alias(n) for n, c in (payload or {"payload": F.col("payload")}).items()]
+    told = [c for c in FIELDS if c != "payload"]
     marks = candidates(spark, path)
     kept = reached(marks.select("file", "at", "next")).withColumn("real", F.lit(True))
     # the record that each candidate lies in: offsets of one archive file only
@@ -167,36 +195,37 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     owner = marks.join(kept, ["file", "at"], "left").withColumn("own", F.last(F.when(F.col("real"), F.col("at")), ignorenulls=True).over(w)).where("own IS NOT NULL")
     alone = F.expr(f"coalesce(at = own AND next = at + {len(MAGIC)} + size, false)").alias("alone")
     owner = save(owner.select("file", "block", "run", "at", "own", alone), "owners")
+    rest = save(owner.where("NOT alone").drop("alone"), "pieces")
+
+    def placed(batch, state):
+        file, block, size = (batch.column(c) for c in ("file", "block", "size"))
+        return {"file": file, "block": block, "run": pa.array(runs(file.to_pylist(), block.to_pylist(), size.to_pylist(), state), pa.int64())}
 
-    def place(it):
+    def read(it):
         state = [None, 0]
         for batch in it:
-            file, block, size = (batch.column(c) for c in ("file", "block", "size"))
-            run = runs(file.to_pylist(), block.to_pylist(), size.to_pylist(), state)
-            yield pa.RecordBatch.from_arrays([file, block, pa.array(run, pa.int64()), batch.column("raw")], ["file", "block", "run", "raw"])
+            at = placed(batch, state)
+            found = [parse(x, whole=True) for x in batch.column("raw").to_pylist()]
+            on = pa.array([x is not None for x in found], pa.bool_())
+            yield batch_of([x for x in found if x is not None], {k: v.filter(on) for k, v in at.items()})
 
-    # the archives once more, so that payloads are not stored between; the offsets are broadcast only if Spark finds them small
-    pieces = between(spark, path).mapInArrow(place, "file string, block long, run long, raw binary").join(owner, ["file", "block", "run"])
-    records = pieces.where("alone").select("raw")
-    if not owner.where("NOT alone").isEmpty():
-        records = records.unionByName(joined(pieces.where("NOT alone")).select("raw"))
+    def cut(it):
+        state = [None, 0]
+        for batch in it:
+            at = placed(batch, state)
+            yield pa.RecordBatch.from_arrays([*at.values(), batch.column("raw")], [*at, "raw"])
 
-    def parse(it):
+    def bound(it):
         for batch in it:
-            out = [[] for _ in range(7)]
-            for raw in batch.column("raw").to_pylist():
-                head = raw.find(END)
-                found = LENGTH.search(raw[:head]) if head >= 0 else None
-                start = head + len(END)
-                if not found or start + int(found[1]) > len(raw):
-                    continue
-                fields = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(raw[:head])}
-                for column, x in zip(out, (fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-type"), fields.get("warc-payload-digest"), int(fields.get("warc-payload-length", found[1])), fields.get("warc-refers-to"), raw[start : start + int(found[1])])):
-                    column.append(x)
-            kinds = [*[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["record_id", "url", "record_type", "declared_digest", "declared_bytes", "refers_to", "payload"])
-
-    return records.mapInArrow(parse, "record_id string, url string, record_type string, declared_digest string, declared_bytes long, refers_to string, payload binary")
+            yield batch_of([x for raw in batch.column("raw").to_pylist() if (x := parse(raw)) is not None])
+
+    # the archives once more, so that payloads are not stored between; offsets are broadcast only if Spark finds them small
+    whole = between(spark, path).mapInArrow(read, f"file string, block long, run long, {SCHEMA}").select("file", "block", "run", *told, *derived)
+    records = whole.join(owner.where("alone").select("file", "block", "run"), ["file", "block", "run"]).drop("file", "block", "run")
+    if not rest.isEmpty():
+        pieces = between(spark, path).mapInArrow(cut, "file string, block long, run long, raw binary").join(rest, ["file", "block", "run"])
+        records = records.unionByName(joined(pieces).select("raw").mapInArrow(bound, SCHEMA).select(*told, *derived))
+    return records
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -209,7 +238,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     write_warc(pages, path)
 
     own, full = F.col("record_type") == "response", F.regexp_replace("declared_digest", "^sha1:", "")
-    back = read_warc(spark, path).withColumns({"_digest": F.when(own, digest(F.col("payload"))).otherwise(full), "_bytes": F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("declared_bytes"))})
+    seen = {"_digest": F.when(own, digest(F.col("payload"))).otherwise(full), "_bytes": F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("declared_bytes"))}
+    back = read_warc(spark, path, seen)
     verified = F.coalesce((F.col("_digest") == full) & (F.col("_bytes") == F.col("declared_bytes")), F.lit(False))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return back.select(number("record_id").alias("page_id"), F.col("_bytes").alias("payload_bytes"), F.col("_digest").alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"), verified.alias("verified"))
