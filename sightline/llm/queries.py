@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, language, near, packing, scoring, secrets, toxicity, urls, warc
+from . import decontam, fingerprints, language, near, packing, scoring, secrets, sql, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language)}
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.ORACLE

@@ -18,7 +18,7 @@ BROADCAST_RULES = 50_000
 
 @dataclass(frozen=True)
 class UrlRule:
-    """name: what is returned; pattern: a regular expression on "host path" (one blank between); tokens: literals that any match holds as whole tokens; rank: the larger wins."""
+    """name: what is returned; pattern: a regular expression on the host directly followed by the path (which starts with a slash or is empty, and no host holds one); tokens: literals that any match holds as whole tokens; rank: the larger wins."""
 
     name: str
     action: str
@@ -31,7 +31,7 @@ def host_rule(rule: str, action: str) -> UrlRule:
     """`net/es/`: host net or a subdomain, path from /es/ on. Longest wins."""
     host, path = rule.split("/", 1)
     whole = "/" + path.rsplit("/", 1)[0] if "/" in path else ""  # what is cut off at a slash is a whole token
-    return UrlRule(rule, action, rf"^([^ ]*\.)?{re.escape(host)} /{re.escape(path)}", tuple(tokens(host + whole)), 1_000_000 + len(rule))
+    return UrlRule(rule, action, rf"^(?:[^/]*\.)?{re.escape(host)}/{re.escape(path)}", tuple(tokens(host + whole)), 1_000_000 + len(rule))
 
 
 def tokens(text: str) -> list[str]:
@@ -42,9 +42,9 @@ def tokens(text: str) -> list[str]:
 RULES = [host_rule("com/", "allow"), host_rule("example.com/en/", "block"), host_rule("www.example.com/en/", "allow"), host_rule("net/es/", "block"), host_rule("net/fr/", "block")]
 #: The method's own patterns, tried for URLs that no rule above fits: trackers, sessions and logins.
 PATTERNS = [
-    UrlRule("tracker host", "block", r"^([^ ]*\.)?(?:ads|track|tracker|doubleclick)\.", (), 1),
+    UrlRule("tracker host", "block", r"^(?:[^/]*\.)?(?:ads|track|tracker|doubleclick)\.", (), 1),
     UrlRule("session", "block", r"(?i)[;/?&](?:jsessionid|phpsessid|sid)=", (), 2),
-    *(UrlRule(f"/{w}", "block", rf"(?i) .*/{w}(?:[/.]|$)", (w,), 3) for w in ("login", "logout", "signup", "cart", "checkout")),
+    *(UrlRule(f"/{w}", "block", rf"(?i)/{w}(?:[/.]|\z)", (w,), 3) for w in ("login", "logout", "signup", "cart", "checkout")),
 ]
 
 
@@ -78,7 +78,7 @@ def judge(pages: DataFrame, keep: list[str], rules: list[UrlRule] | None = None,
     rarest = asked.join(seen, "token", "left").groupBy("k").agg(F.min_by("token", F.struct(F.coalesce("count", F.lit(0)), "token")).alias("token"))
     index = table.drop("tokens").join(rarest, "k")
     tried = rows.withColumn("token", F.explode(held)).join(small(index, len(listed)), "token", "left")
-    fits = F.rlike(F.concat_ws(" ", "_host", "_path"), F.col("pattern"))
+    fits = F.rlike(F.concat("_host", "_path"), F.col("pattern"))
     won = F.when(fits, F.struct("own", "rank", (-F.col("k")).alias("k"), "name", "action"))
     best = tried.groupBy("_row").agg(*(F.first(c).alias(c) for c in [*names.values(), "_host", "_path"]), F.max(won).alias("_won"))
     own = F.coalesce(F.col("_won.own"), F.lit(False))

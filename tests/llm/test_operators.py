@@ -145,11 +145,11 @@ def test_decontamination(spark):
 
 
 def test_urls(spark):
-    texts = [None, "nothing", "http://A.com/x?q", "https://example.com/en/1", "https://www.example.com/en/1", "ftp://x.net/es/", "http://net/fr/a#b", "http://example.com", "http://evilnet/es/", "http://x.org/login/y", "http://x.net/es/"]
+    texts = [None, "nothing", "http://A.com/x?q", "https://example.com/en/1", "https://www.example.com/en/1", "ftp://x.net/es/", "http://net/fr/a#b", "http://example.com", "http://evilnet/es/", "http://x.org/login/y", "http://x.net/es/", "http://a b.com/x", "http://a.org/LOGIN\n"]
     pages = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, "http://x.net/es/", "c")], "page_id long, url string, host string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urls.filter_urls(pages).collect()}
     assert {x[3:] for x in got if x[0] == 2} == {("com/", "allow")}
-    want = {0: (None, "allow"), 1: (None, "allow"), 3: ("example.com/en/", "block"), 4: ("www.example.com/en/", "allow"), 5: ("net/es/", "block"), 6: ("net/fr/", "block"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "block"), 10: ("net/es/", "block"), None: ("net/es/", "block")}
+    want = {0: (None, "allow"), 1: (None, "allow"), 3: ("example.com/en/", "block"), 4: ("www.example.com/en/", "allow"), 5: ("net/es/", "block"), 6: ("net/fr/", "block"), 7: (None, "allow"), 8: (None, "allow"), 9: (None, "block"), 10: ("net/es/", "block"), 11: ("com/", "allow"), 12: (None, "allow"), None: ("net/es/", "block")}
     assert {x[0]: x[3:] for x in got if x[0] != 2} == want
     assert (2, "a.com", "/x", "com/", "allow") in got and urls.filter_urls(pages.where("false")).count() == 0
 
