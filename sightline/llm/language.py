@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batches, crc_mod, sample_rows
-from .features import blocks, chars, grams
+from .features import blocks
 
 SIZES, BITS, WIDTH = (2, 3), 15, 16
 #: The model is fitted on at most so many rows of known language (those with the smallest hashes of their ids).
@@ -32,7 +32,7 @@ def fit(texts: list[str], langs: list[str]):
     if not names:
         return [], np.zeros((1 << BITS, 0), "f4"), 1.0
     y = np.array([names.index(x) for x in langs])
-    found = [grams(chars(t)[: 1 << 20], SIZES, BITS) for t in texts]
+    found = [np.concatenate(list(blocks(t, SIZES, BITS))) for t in texts]
     rng = np.random.default_rng(10)
     back = np.arange(len(y)) % 5 == 4 if len(y) >= 20 else np.zeros(len(y), bool)
     rows = np.flatnonzero(~back & np.array([len(g) > 0 for g in found]))
