@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -152,25 +153,21 @@ class Index:
             size = min(WINDOW, len(own))
             best = None
             for group in runs(found, len(own)):
-                covered = {p + k: d + k for p, d in group for k in range(size)}
-                share = len(covered) / len(own)
-                literal = sum(1 for p in covered if not slots[p])
-                if share < COVERAGE or literal < min(LITERALS, len(own)):
-                    continue
-                pairs_of = [(slots[p], values[d]) for p, d in covered.items() if slots[p]]
-                there, back = defaultdict(Counter), defaultdict(Counter)
-                for a, b in pairs_of:
-                    there[a][b] += 1
-                    back[b][a] += 1
-                agree = sum(1 for a, b in pairs_of if there[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a)
-                consistent = agree / len(pairs_of) if pairs_of else 1.0
-                if consistent < CONSISTENT:
-                    continue
-                changed = sum(1 for a, b in pairs_of if a != b)
-                row = (share, len(group), len(pairs_of), changed, consistent)
-                best = max(best, row) if best else row
+                for windows, covered in alignments(group, size):
+                    share = len(covered) / len(own)
+                    literal = sum(1 for p in covered if not slots[p])
+                    if share < COVERAGE or literal < min(LITERALS, len(own)):
+                        continue
+                    pairs_of = [(slots[p], values[d]) for p, d in covered.items() if slots[p]]
+                    consistent = agreement(pairs_of)
+                    if consistent < CONSISTENT:
+                        continue
+                    changed = sum(1 for a, b in pairs_of if a != b)
+                    row = (share, windows, len(pairs_of), changed, consistent)
+                    rank = (share, consistent, -changed, windows)
+                    best = max(best, (rank, row)) if best else (rank, row)
             if best:
-                out.append((self.ids[i], *best))
+                out.append((self.ids[i], *best[1]))
         return out
 
 
@@ -186,6 +183,43 @@ def runs(found: set[tuple[int, int]], span: int) -> list[list[tuple[int, int]]]:
     return out
 
 
+def agreement(pairs: list[tuple[str, str]]) -> float:
+    """Share of the pairs (item value, text value) that agree with a one-to-one mapping of values."""
+    there, back = defaultdict(Counter), defaultdict(Counter)
+    for a, b in pairs:
+        there[a][b] += 1
+        back[b][a] += 1
+    agree = sum(1 for a, b in pairs if there[a].most_common(1)[0][0] == b and back[b].most_common(1)[0][0] == a)
+    return agree / len(pairs) if pairs else 1.0
+
+
+def alignments(group: list[tuple[int, int]], size: int):
+    """Ways to lay the item on the text: (windows, item position -> text position).
+
+    A template that repeats within itself meets the text at several offsets. Each offset is judged by itself, and with
+    the positions it lacks taken from the offsets nearest to it, as words may be put in or left out between windows."""
+    offsets: dict[int, list[int]] = defaultdict(list)
+    for p, d in group:
+        offsets[d - p].append(p)
+    covers = {o: {p + k for p in at for k in range(size)} for o, at in offsets.items()}
+    if len(covers) == 1:
+        o, at = next(iter(covers.items()))
+        yield len(group), {p: p + o for p in at}
+        return
+    places: dict[int, list[int]] = defaultdict(list)  # for each item position its offsets, in order
+    for o in sorted(covers):
+        for p in covers[o]:
+            places[p].append(o)
+    for o, at in covers.items():
+        yield len(offsets[o]), {p: p + o for p in at}
+        whole = {}
+        for p, known in places.items():
+            k = bisect_left(known, o)
+            whole[p] = p + min(known[max(0, k - 1) : k + 1], key=lambda x: abs(x - o))
+        used = {d - p for p, d in whole.items()}
+        yield sum(len(offsets[x]) for x in used), whole
+
+
 def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
     """Indexes of the benchmark's items, in blocks of a bounded number of windows; rows of null text or id are left out."""
     now, size = [], 0

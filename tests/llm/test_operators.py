@@ -144,6 +144,20 @@ def test_decontamination(spark):
     assert decontam.contaminated(docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_self_similar_items(spark):
+    years = lambda n: " ".join(f"In {2001 + k} the plant made {5 + 2 * k} tons of steel." for k in range(n))
+    items = [(n, years(n)) for n in (2, 3, 6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    other = "In 1911 the plant made 4 tons of steel. In 1912 the plant made 8 tons of steel."
+    texts = [years(2), "So it went. " + years(3) + " That was all.", years(6), other, "In 1911 the plant made 4 tons of steel."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontam.contaminated(docs, bench).collect()}
+    assert {(0, 2), (1, 2), (1, 3), (2, 2), (2, 3), (2, 6), (3, 2)} <= set(got) and not any(d == 4 for d, _ in got)
+    assert all(got[x].coverage == got[x].consistency == 1.0 and got[x].changed_slots == 0 for x in [(0, 2), (1, 3), (2, 6)])
+    assert got[3, 2].changed_slots == 4 and got[3, 2].consistency == 1.0
+    assert [r.doc_id for r in decontam.decontaminate(docs, bench).collect()] == [4]
+
+
 def test_urls(spark):
     texts = [None, "nothing", "http://A.com/x?q", "https://example.com/en/1", "https://www.example.com/en/1", "ftp://x.net/es/", "http://net/fr/a#b", "http://example.com", "http://evilnet/es/", "http://x.org/login/y", "http://x.net/es/", "http://a b.com/x", "http://a.org/LOGIN\n"]
     pages = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)] + [(None, "http://x.net/es/", "c")], "page_id long, url string, host string")
