@@ -8,6 +8,7 @@ records that the chain reaches; a magic line inside a payload is never reached,
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,9 +20,8 @@ MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
 #: Records of one file, which bounds its size and the rounds of pointer jumping.
 FILE_RECORDS = 1_000
-#: Bytes of a header; a candidate with more isn't one.
-MOST_HEADER = 1 << 16
 LENGTH = re.compile(rb"(?i)(?:^|\r\n)Content-Length: *(\d+)")
+LENGTH_FIRST, LENGTH_LATER = re.compile(rb"(?i)Content-Length: *(\d+)"), re.compile(rb"(?i)\r\nContent-Length: *(\d+)")
 FIELD = re.compile(rb"([A-Za-z-]+): *([^\r\n]*)")
 
 
@@ -78,6 +78,39 @@ def between(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.octet_length("value").cast("long").alias("size"), F.col("value").cast("binary").alias("raw"))
 
 
+class Heads:
+    """Headers of the candidates of a split, whatever their length. Those that go on beyond the next magic line share one
+    buffer, as they all end at the same place."""
+
+    def __init__(self):
+        self.text, self.scanned, self.waiting = bytearray(), 0, []
+
+    def add(self, row: list, start: bytes) -> None:
+        """A candidate and what follows its magic line, up to its first END; row[4] of each candidate that ends there is set."""
+        if self.waiting:
+            self.text += MAGIC
+        self.waiting.append((len(self.text), row))
+        self.text += start
+        while self.waiting:
+            end = self.text.find(END, max(self.scanned, self.waiting[0][0]))
+            if end < 0:
+                self.scanned = max(0, len(self.text) - len(END) + 1)
+                return
+            k = bisect_left(self.waiting, end + 1, key=lambda x: x[0])
+            self.close(self.waiting[:k], end)
+            self.waiting = self.waiting[k:]
+        self.text, self.scanned = bytearray(), 0
+
+    def close(self, ready: list[tuple[int, list]], end: int) -> None:
+        lines = list(LENGTH_LATER.finditer(self.text, ready[0][0], end))
+        at = [m.start() for m in lines]
+        for begin, row in ready:
+            k = bisect_left(at, begin)
+            found = LENGTH_FIRST.match(self.text, begin, end) or (lines[k] if k < len(lines) else None)
+            if found:
+                row[4] = end - begin + len(END) + int(found[1]) + len(END)
+
+
 def runs(files: list, blocks: list, sizes: list, state: list) -> list[int]:
     """Offset of each piece in its split; state (place, next offset) goes from batch to batch of a task."""
     out = []
@@ -99,33 +132,27 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     def walk(it):
-        state, place = [None, 0], None
+        state, place, heads = [None, 0], None, Heads()
         rows: list[list] = []
-        waiting: list[tuple[list, bytes]] = []  # candidates whose header goes on beyond the next magic line
         for batch in it:
             file, block, size, raw = (batch.column(c).to_pylist() for c in ("file", "block", "size", "raw"))
             for f, b, s, run, start in zip(file, block, size, runs(file, block, size, state), raw):
                 if place != (f, b):
-                    place, waiting = (f, b), []
+                    place, heads = (f, b), Heads()
                 row = [f, b, run, s, None]
                 rows.append(row)
-                waiting = [(r, h + MAGIC + start) for r, h in waiting] + [(row, start)]
-                still = []
-                for r, h in waiting:
-                    head = h.find(END)
-                    if head >= 0 and (found := LENGTH.search(h[:head])):
-                        r[4] = head + len(END) + int(found[1]) + len(END)
-                    elif head < 0 and len(h) < MOST_HEADER:
-                        still.append((r, h))
-                waiting = still
-            if rows and not waiting:
+                heads.add(row, start)
+            if rows and not heads.waiting:
                 yield table(rows)
                 rows = []
         if rows:
             yield table(rows)
 
-    heads = between(spark, path).withColumn("raw", F.substring("raw", 1, MOST_HEADER))
-    found = save(heads.mapInArrow(walk, "file string, block long, run long, size long, step long"), "candidates")
+    # up to the first END, found byte by byte; a piece that has none may be the middle of a header
+    text = F.col("raw").cast("string")
+    head = F.substring_index(text, END.decode(), 1)
+    head = F.when(F.octet_length(head) < F.octet_length(text), F.concat(head, F.lit(END.decode()))).otherwise(head)
+    found = save(between(spark, path).withColumn("raw", head.cast("binary")).mapInArrow(walk, "file string, block long, run long, size long, step long"), "candidates")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
     begin = F.col("base") + F.col("run")

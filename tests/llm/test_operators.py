@@ -202,6 +202,23 @@ def test_warc_digest_and_splits(spark, tmp_path):
     assert got == dict(enumerate(bodies))
 
 
+def test_warc_long_headers(spark, tmp_path):
+    rows = [(i, "http://a.org/" + "é" * n, f"body {i}") for i, n in enumerate([3, 70_000, 5, 40_000, 200_000, 9, 0, 1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_warc(pages, str(tmp_path / "written"))
+    got = {r.record_id: (r.url, bytes(r.payload).decode()) for r in warc.read_warc(spark, str(tmp_path / "written")).collect()}
+    assert got == {f"<urn:page:{i}>": (u, b) for i, u, b in rows}
+    assert {r.page_id for r in warc.round_trip(pages).collect() if r.verified} == set(range(8))
+    heads = [b"X: " + b"\xe2" * (90_000 * (i % 2)) + b" WARC/1.0\r\n" * (i % 3) for i in range(6)]
+    bodies = [b"\xff\xe2\r\n\r\n", b"WARC/1.0\r\n" * 20_000, b"WARC/1.0\r\n\r\nContent-Length: 2\r\n\r\n", b"", b"WARC/1.0\r\nContent-Length: 1\r\n\r\n", b"z"]
+    (tmp_path / "raw").mkdir()
+    with open(tmp_path / "raw" / "a.warc", "wb") as f:
+        for i, (h, b) in enumerate(zip(heads, bodies)):
+            f.write(warc.MAGIC + b"WARC-Record-ID: %d\r\n%s\r\nContent-Length: %d\r\n\r\n" % (i, h.rstrip(b"\r\n"), len(b)) + b + warc.END)
+    got = {int(r.record_id): bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path / "raw")).collect()}
+    assert got == dict(enumerate(bodies))
+
+
 def test_base_scores(docs):
     got = scoring.score_texts(docs, TOKENIZER).collect()
     w = lambda t: (t or "").encode().lower().split() + [b" "]
