@@ -8,7 +8,7 @@ mandatory trigrams scan every row.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from re import _parser
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +38,8 @@ RULES = [
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
 ]
+#: What redact() takes out: a private key goes with its body, up to its END line or, if that is missing, the text's end.
+HIDDEN = [replace(r, pattern=r.pattern + r"[\s\S]*?(?:-----END [A-Z ]*PRIVATE KEY-----|(?![\s\S]))") if r.kind == "pem" else r for r in RULES]
 #: More alternatives than this aren't spelt out; the part of the expression then asks for nothing.
 SPELT = 64
 
@@ -161,7 +163,7 @@ def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
     """docs with each span (overlapping ones joined) replaced by mark in text, and n_chars brought up to date where there is such a column."""
     cols = docs.columns
     own = {c: f"_c{k}" for k, c in enumerate(cols)}
-    found = find_secrets(docs.toDF(*own.values()), list(own.values()), text_col=own["text"])
+    found = find_secrets(docs.toDF(*own.values()), list(own.values()), HIDDEN, own["text"])
 
     def step(s, x):
         out = s["out"]

@@ -73,6 +73,17 @@ def test_secrets_equal_regex(docs):
     assert secrets.trigram_query("[0-9a-f]{32,}") == []
 
 
+def test_redact_leaves_no_key_material(spark):
+    body = "\n".join(base64.b64encode(random.Random(k).randbytes(48)).decode() for k in range(200))
+    key = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n{body}\n-----END {kind}PRIVATE KEY-----"
+    cut = f"-----BEGIN RSA PRIVATE KEY-----\r\n{body}"
+    texts = [f"é a {key('')} b", f"{key('RSA ')}\nand {key('EC ')}", f"c {cut}\n", f"d {key('').replace(chr(10), chr(92) + 'n')} e", "-----END PRIVATE KEY----- f"]
+    rows = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars int")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact(rows).collect()}
+    want = ["é a <secret> b", "<secret>\nand <secret>", "c <secret>", "d <secret> e", texts[4]]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
 def test_fingerprints(docs):
     some = docs.where("doc_id IS NOT NULL AND NOT (doc_id = 3 AND text IS NULL)").dropDuplicates(["doc_id"])
     rows = {r.doc_id: r for r in fingerprints.fingerprint_edits(some).collect()}
