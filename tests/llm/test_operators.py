@@ -241,18 +241,6 @@ def test_base_scores(docs):
     assert all(r.score < 0 for r in got) and scoring.score_texts(empty(docs), TOKENIZER).count() == 0
 
 
-def test_attention_is_a_distribution():
-    from sightline.llm import attention
-
-    r = np.random.default_rng(0)
-    rows = [r.integers(0, 9, 40) for _ in range(30)]
-    m = attention.train(rows, 12, steps=5)
-    attention.set_counts(m, np.bincount(np.concatenate(rows), minlength=12).astype("f8"))
-    start = rows[0][:35]
-    total = sum(10 ** (m.score([np.append(start, k)])[0] - m.score([start])[0]) for k in range(12))
-    assert abs(total - 1) < 1e-4
-
-
 def test_classifiers_on_held_out_rows(spark):
     d = "/root/testdata/sf0.01"
     rows = queries.op6_toxicity(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("held_out").collect()
