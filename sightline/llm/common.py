@@ -7,6 +7,8 @@ import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +66,37 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA24BAED4963EE407)
         x = (x ^ (x >> np.uint64(32))) * np.uint64(0x9FB21C651E98DF25)
     return x ^ (x >> np.uint64(31))
+
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype="u1")
+_LOWER[65:91] += 32
+
+
+def split_words(texts: pa.Array, lower: bool = True, as_is: str | None = None) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The words of a batch of texts, cut at ASCII white space: all in a row, with their distinct forms numbered by Arrow,
+    and bounds: text k has the words from bounds[k] to bounds[k + 1]. Null: empty.
+
+    lower: A-Z are lower-cased, but for texts that hold `as_is`."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    at = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, "u1")[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, "u1")
+    at = at - at[0]
+    blank = _BLANK[raw]
+    first = ~blank
+    first[1:] &= blank[:-1]
+    begins = at[:-1][at[:-1] < at[1:]]
+    first[begins] = ~blank[begins]
+    kept = ~blank
+    if lower:
+        low = _LOWER[raw]
+        if as_is is not None and (held := pc.match_substring(texts, as_is).to_numpy(zero_copy_only=False)).any():
+            own = np.repeat(held, np.diff(at))
+            low[own] = raw[own]
+        raw = low
+    letters = raw[kept]
+    starts = np.append(np.flatnonzero(first[kept]), len(letters)).astype("i8")
+    words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)])
+    return words.dictionary_encode(), np.searchsorted(np.flatnonzero(first), at)

@@ -8,6 +8,8 @@ each document at multiples of the sequence length; a document that crosses a bou
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -15,45 +17,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, save
+from .common import batches, save, split_words
 
-#: Words whose ids a Python worker keeps; others are encoded again.
-CACHED_WORDS = 500_000
+#: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
+CACHED_WORDS = 400_000
 _coders: dict[str, "WordCoder"] = {}
 
 
+@dataclass
+class Encoded:
+    """Ids of a batch of texts in a row: text k has ids[at[k] : at[k + 1]]; sizes: the number of ids of each
+    word; words and bounds: as split_words() gives them."""
+
+    ids: np.ndarray
+    at: np.ndarray
+    sizes: np.ndarray
+    words: pa.DictionaryArray
+    bounds: np.ndarray
+
+
 class WordCoder:
     """Ids of texts for a tokenizer that lower-cases, and never joins characters across ASCII white space.
 
-    So a text's ids are its words' ids in a row, and each word is encoded once a batch at most."""
+    So a text's ids are its words' ids in a row. Only distinct words that this worker hasn't met are encoded, and
+    numpy puts the ids together."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.coder.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for t in texts:
-            t = (t or "").encode("utf-8", "surrogatepass")
-            # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
-            split.append((t if b"<|" in t else t.lower()).split())
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = {w for words in split for w in words}
+        self.size = self.coder.get_vocab_size(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
+        self.start, self.count, self.uses = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "i8")
+
+    def _add(self, words: list[str], ids: list) -> None:
+        n, m = len(self.row), np.fromiter(map(len, ids), "i4", len(ids))
+        while n + len(words) > len(self.start):
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
+        whole = int(m.sum())
+        while self.filled + whole > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + whole] = np.fromiter(chain.from_iterable(ids), self.kind, whole)
+        self.start[n : n + len(words)] = self.filled + np.cumsum(m) - m
+        self.count[n : n + len(words)] = m
+        self.filled += whole
+        self.row.update(zip(words, range(n, n + len(words))))
+
+    def _ids(self, word: str) -> list[int]:
+        r = self.row[word]
+        return self.pool[self.start[r] : self.start[r] + self.count[r]].tolist()
+
+    def _learn(self, new: list[str]) -> None:
         # a comma or stop after a letter is a piece of its own
-        marked = [w for w in new if w[-1:] in b".," and w[-2:-1].isalpha()]
-        plain = list((new - set(marked)) | {x for w in marked for x in (w[:-1], w[-1:])} - known.keys())
+        marked = [w for w in new if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha()]
+        parts = {x for w in marked for x in (w[:-1], w[-1])}
+        plain = sorted((set(new).difference(marked) | parts).difference(self.row))
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
-            coded = self.coder.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            known.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, coded))
-        known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            self._add(part, [e.ids for e in self.coder.encode_batch_fast(part, add_special_tokens=False)])
+        marked = [w for w in marked if w not in self.row]
+        self._add(marked, [self._ids(w[:-1]) + self._ids(w[-1]) for w in marked])
+
+    def _trim(self) -> None:
+        """Keeps the half of the words that was used most."""
+        words = np.array(list(self.row), object)
+        kept = np.sort(np.argsort(-self.uses[: len(words)], kind="stable")[: CACHED_WORDS // 2])
+        uses, ids = self.uses[kept], [self._ids(w) for w in words[kept]]
+        self.forget()
+        self._add(words[kept].tolist(), ids)
+        self.uses[: len(kept)] = uses
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in the tables."""
+        if len(self.row) > CACHED_WORDS:
+            self._trim()
+        new = [w for w in words if w not in self.row]
+        if new:
+            self._learn(new)
+        return np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
+
+    def encode(self, texts: pa.Array) -> Encoded:
+        # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
+        words, bounds = split_words(texts, as_is="<|")
+        rows = self.rows(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        self.uses[rows] += np.bincount(at, minlength=len(rows))
+        sizes = self.count[rows][at]
+        ends = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])
+        place = np.repeat(self.start[rows][at] - ends[:-1], sizes)
+        place += np.arange(ends[-1])
+        return Encoded(self.pool[place], ends[bounds], sizes, words, bounds)
 
 
 def coder(path: str) -> WordCoder:
@@ -66,29 +124,36 @@ def coder(path: str) -> WordCoder:
     return _coders[path]
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary rows values[at[k] : at[k + 1]]."""
+    values = np.ascontiguousarray(values)
+    return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype("i8")), pa.py_buffer(values)]).cast(pa.binary())
+
+
+def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """Pieces of documents in sequences of `length` tokens.
 
-    Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids (array<int>). Every document's
-    ids, followed by end_id, lie in exactly one piece each. Only the last sequence can be short. A null or empty
-    text is one end_id; repeated rows and equal or null ids are documents of their own; an empty table gives no
+    Returns id_col, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked, ids (array<int>). Every
+    document's ids, followed by end_id, lie in exactly one piece each. Only the last sequence can be short. A null or
+    empty text is one end_id; repeated rows and equal or null ids are documents of their own; an empty table gives no
     rows; columns other than the two named are not read.
     """
     spark = docs.sparkSession
-    batches(spark)
+    batches(spark, 1000)
     source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
     id_type = source.schema["_id"].dataType.simpleString()
 
     def tokenise(rows):
-        at, run = TaskContext.get().partitionId(), 0
+        part, run = TaskContext.get().partitionId(), 0
         words = coder(tokenizer)
-        end = np.array([end_id], words.kind).tobytes()
         for batch in rows:
-            ids = [x + end for x in words.encode(batch.column("_text").to_pylist())]
-            n = np.array([len(x) // words.kind.itemsize for x in ids], "i8")
-            before = run + np.cumsum(n) - n
-            run += int(n.sum())
-            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(ids, pa.binary()), pa.array(n), pa.array(np.full(len(n), at, "i4")), pa.array(before)], ["_id", "ids", "n", "at", "before"])
+            found = words.encode(batch.column("_text"))
+            at = found.at + np.arange(len(found.at))
+            n = np.diff(at)
+            ids = blobs(np.insert(found.ids, found.at[1:], end_id), at)
+            before = run + at[:-1]
+            run += int(at[-1])
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), ids, pa.array(n), pa.array(np.full(len(n), part, "i4")), pa.array(before)], ["_id", "ids", "n", "at", "before"])
 
     tokens = save(source.mapInArrow(tokenise, f"_id {id_type}, ids binary, n long, at int, before long"), "tokens")
     totals = tokens.groupBy("at").agg(F.sum("n").alias("n"))
@@ -96,25 +161,31 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     base = totals.select("at", (F.sum("n").over(Window.orderBy("at")) - F.col("n")).alias("base"))
 
     def cut(rows):
-        width = None
         for batch in rows:
-            out: list[list] = [[] for _ in range(8)]
-            for i, ids, n, first in zip(batch.column("_id").to_pylist(), batch.column("ids").to_pylist(), batch.column("n").to_pylist(), batch.column("first").to_pylist()):
-                width = width or len(ids) // n
-                ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                at = 0
-                while at < n:
-                    sequence, offset = divmod(first + at, length)
-                    step = min(length - offset, n - at)
-                    part = ids[at : at + step]
-                    for column, x in zip(out, (i, at, step, zlib.crc32(part.tobytes()), n, sequence, offset, part.astype("i4"))):
-                        column.append(x)
-                    at += step
-            kinds = [batch.schema.field("_id").type, *[pa.int64()] * 6, pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"])
+            n, first = batch.column("n").to_numpy(), batch.column("first").to_numpy()
+            # a document's pieces begin at its start and at each multiple of length within it
+            pieces = (first + n - 1) // length - first // length + 1
+            own = np.repeat(np.arange(len(n)), pieces)
+            k = np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            sequence = first[own] // length + k
+            begin, end = np.maximum(sequence * length, first[own]), np.minimum((sequence + 1) * length, (first + n)[own])
+            start = begin - first[own]
+            parts, now, ids = [], -1, None
+            for o, a, z in zip(own.tolist(), start.tolist(), (end - first[own]).tolist()):
+                if o != now:
+                    raw = batch.column("ids")[o].as_py()
+                    now, ids = o, np.frombuffer(raw, f"<u{len(raw) // n[o]}").astype("<u4")
+                parts.append(ids[a:z])
+            crc = np.fromiter((zlib.crc32(x) for x in parts), "i8", len(parts))
+            columns = [batch.column("_id").take(pa.array(own)), *map(pa.array, (start, end - begin, crc, n[own], sequence, begin - sequence * length))]
+            names = ["_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(end - begin)]).astype("i4")), pa.array(np.concatenate(parts).astype("i4"))))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names)
 
     placed = tokens.join(F.broadcast(base), "at").select("_id", "ids", "n", (F.col("base") + F.col("before")).alias("first"))
-    schema = f"_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
+    schema = f"_id {id_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
     return placed.mapInArrow(cut, schema).withColumnRenamed("_id", id_col)
 
 

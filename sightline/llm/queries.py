@@ -18,7 +18,7 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer()).drop("ids")
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer(), with_ids=False)
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
