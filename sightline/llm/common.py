@@ -68,9 +68,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_LOWER = np.arange(256, dtype="u1")
+_SPACED = np.arange(256, dtype="u1")
+_SPACED[[9, 10, 11, 12, 13]] = 32
+_LOWER = _SPACED.copy()
 _LOWER[65:91] += 32
 
 
@@ -82,21 +82,21 @@ def split_words(texts: pa.Array, lower: bool = True, as_is: str | None = None) -
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     at = np.frombuffer(texts.buffers()[1], "i8")[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, "u1")[at[0] : at[-1]] if data is not None and len(at) else np.zeros(0, "u1")
+    raw = np.frombuffer(data, "u1")[at[0] : at[-1]] if data is not None else np.zeros(0, "u1")
     at = at - at[0]
-    blank = _BLANK[raw]
-    first = ~blank
-    first[1:] &= blank[:-1]
-    begins = at[:-1][at[:-1] < at[1:]]
-    first[begins] = ~blank[begins]
-    kept = ~blank
-    if lower:
-        low = _LOWER[raw]
-        if as_is is not None and (held := pc.match_substring(texts, as_is).to_numpy(zero_copy_only=False)).any():
-            own = np.repeat(held, np.diff(at))
-            low[own] = raw[own]
-        raw = low
-    letters = raw[kept]
-    starts = np.append(np.flatnonzero(first[kept]), len(letters)).astype("i8")
-    words = pa.Array.from_buffers(pa.large_string(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(letters)])
-    return words.dictionary_encode(), np.searchsorted(np.flatnonzero(first), at)
+    spaced = (_LOWER if lower else _SPACED)[raw]
+    if lower and as_is is not None and (held := pc.match_substring(texts, as_is).to_numpy(zero_copy_only=False)).any():
+        own = np.repeat(held, np.diff(at))
+        spaced[own] = _SPACED[raw[own]]
+    spaced = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(at), pa.py_buffer(spaced)])
+    parts = pc.split_pattern(spaced, " ")
+    words, bounds = parts.flatten().dictionary_encode(), parts.offsets.to_numpy().astype("i8")
+    # what is between two blanks, or a blank and an end, is no word
+    code = pc.index(words.dictionary, pa.scalar("", words.dictionary.type)).as_py()
+    if code >= 0:
+        found = words.indices.to_numpy()
+        kept = found != code
+        found = found[kept]
+        words = pa.DictionaryArray.from_arrays(pa.array(found - (found > code)), pa.concat_arrays([words.dictionary.slice(0, code), words.dictionary.slice(code + 1)]))
+        bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
+    return words, bounds

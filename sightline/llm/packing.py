@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import batches, save, split_words
 
 #: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
@@ -52,7 +52,7 @@ class WordCoder:
 
     def forget(self) -> None:
         self.row: dict[str, int] = {}
-        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
+        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0  # ids of words, one after the other
         self.start, self.count, self.uses = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "i8")
 
     def _add(self, words: list[str], ids: list) -> None:
@@ -85,12 +85,15 @@ class WordCoder:
 
     def _trim(self) -> None:
         """Keeps the half of the words that was used most."""
-        words = np.array(list(self.row), object)
-        kept = np.sort(np.argsort(-self.uses[: len(words)], kind="stable")[: CACHED_WORDS // 2])
-        uses, ids = self.uses[kept], [self._ids(w) for w in words[kept]]
+        n = len(self.row)
+        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: CACHED_WORDS // 2])
+        words, start, count, uses, pool = np.fromiter(self.row, object, n)[kept].tolist(), self.start[kept], self.count[kept], self.uses[kept], self.pool
         self.forget()
-        self._add(words[kept].tolist(), ids)
-        self.uses[: len(kept)] = uses
+        ends = np.cumsum(count, dtype="i8")
+        self.pool = pool[np.repeat(start - ends + count, count) + np.arange(ends[-1])]
+        self.filled = len(self.pool)
+        self.start, self.count, self.uses = ends - count, count, uses // 2
+        self.row = dict(zip(words, range(len(words))))
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Places of distinct words in the tables."""
@@ -104,7 +107,7 @@ class WordCoder:
     def encode(self, texts: pa.Array) -> Encoded:
         # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
         words, bounds = split_words(texts, as_is="<|")
-        rows = self.rows(words.dictionary.to_pylist())
+        rows = self.rows(words.dictionary.to_numpy(zero_copy_only=False).tolist())
         at = words.indices.to_numpy()
         self.uses[rows] += np.bincount(at, minlength=len(rows))
         sizes = self.count[rows][at]
