@@ -100,3 +100,65 @@ def split_words(texts: pa.Array, lower: bool = True, as_is: str | None = None) -
         words = pa.DictionaryArray.from_arrays(pa.array(found - (found > code)), pa.concat_arrays([words.dictionary.slice(0, code), words.dictionary.slice(code + 1)]))
         bounds = np.concatenate([[0], np.cumsum(kept)])[bounds]
     return words, bounds
+
+
+class WordTable:
+    """What a Python worker knows of words: for each a row of numbers, laid one after the other in a pool.
+
+    A subclass says in learn() what a new word's numbers are. Of more than `most` words the half used least is forgotten."""
+
+    def __init__(self, kind: np.dtype, most: int):
+        self.kind, self.most = np.dtype(kind), most
+        self.forget()
+
+    def forget(self) -> None:
+        self.row: dict[str, int] = {}
+        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
+        self.start, self.count, self.uses = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "i8")
+
+    def learn(self, new: list[str]) -> None:
+        raise NotImplementedError
+
+    def add(self, words: list[str], numbers: np.ndarray, count: np.ndarray) -> None:
+        """Words with their numbers, one after the other, and how many of them are each word's."""
+        n = len(self.row)
+        while n + len(words) > len(self.start):
+            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
+        while self.filled + len(numbers) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.pool[self.filled : self.filled + len(numbers)] = numbers
+        self.start[n : n + len(words)] = self.filled + np.cumsum(count) - count
+        self.count[n : n + len(words)] = count
+        self.filled += len(numbers)
+        self.row.update(zip(words, range(n, n + len(words))))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The places in the pool of words' numbers in a row, and how many are each word's."""
+        count = self.count[rows]
+        ends = np.cumsum(count, dtype="i8")
+        place = np.repeat(self.start[rows] - ends + count, count)
+        place += np.arange(len(place))
+        return place, count
+
+    def places(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
+
+    def trim(self) -> None:
+        n = len(self.row)
+        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.most // 2])
+        place, count = self.gather(kept)
+        words, uses, numbers = np.fromiter(self.row, object, n)[kept].tolist(), self.uses[kept], self.pool[place]
+        self.forget()
+        self.add(words, numbers, count)
+        self.uses[: len(words)] = uses // 2
+
+    def of(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """gather() of all words of a batch, in order; only distinct words are looked up."""
+        if len(self.row) > self.most:
+            self.trim()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if new := [w for w in distinct if w not in self.row]:
+            self.learn(new)
+        rows, at = self.places(distinct), words.indices.to_numpy()
+        self.uses[rows] += np.bincount(at, minlength=len(rows))
+        return self.gather(rows[at])

@@ -3,11 +3,13 @@
 Numbers, names and units of a text become typed placeholders, so a question asked again with other values keeps its
 template. Windows of template tokens are hash-joined with those of the benchmark; where enough of an item's windows
 are found, the slots must map consistently: one value of the item to one value of the document and back.
+
+A text's windows are made in its task. Only those whose hash falls in a bucket that some window of the benchmark has
+(a bitmap of fixed size) leave it, with the values of their slots, for the join.
 """
 
 from __future__ import annotations
 
-import gc
 import re
 from bisect import bisect_left
 from collections import Counter, defaultdict
@@ -18,16 +20,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import WordTable, batches, save, split_words
 
 #: Template tokens of a window; an item with fewer is one window of its own length.
 WINDOW = 8
-#: Least share of an item's template tokens within windows found, and least literal tokens among them.
-COVERAGE, LITERALS = 0.6, 3
+#: Least share of an item's template tokens within windows found, and least literal tokens among them unless the item is
+#: there word for word; an item of fewer words is only found where it is the whole text.
+COVERAGE, LITERALS, WORDS = 0.6, 3, 3
 #: Least share of slots that must agree with a one-to-one mapping of values.
 CONSISTENT = 0.8
-#: Windows of the benchmark that a task holds at once; a larger benchmark is taken in blocks.
-BLOCK_WINDOWS = 2_000_000
+#: Bits of a window's hash that number its bucket.
+BUCKET_BITS = 22
+#: Words that a Python worker keeps.
+CACHED_WORDS = 300_000
 
 NUMBER = re.compile(r"^[+-]?[$€£]?\d+(?:[.,:/]\d+)*%?$")
 MEASURE = re.compile(r"^([+-]?[$€£]?\d+(?:[.,]\d+)*)([A-Za-z°µ]{1,5})$")
@@ -38,65 +43,70 @@ NUMERALS = frozenset("one two three four five six seven eight nine ten eleven tw
 N, NAME, UNIT = "<number>", "<name>", "<unit>"
 
 
-def pieces(word: str) -> tuple[tuple[tuple[str, str], ...], tuple[tuple[str, str], ...], bool]:
-    """Template tokens (token, value) of a word at the start of a sentence, and elsewhere, and whether it ends one."""
+def pieces(word: str) -> tuple[tuple[str, str], ...]:
+    """Template tokens (token, value) of a word; a literal's value is ''. A capital letter makes a name, at the start of a
+    sentence too, as names stand there as well."""
     core = word if word.isalpha() else TRIM.sub("", word)
-    ends = word.rstrip("\"')]»”’").endswith((".", "!", "?", ":"))
     if not core:
-        return (), (), ends
+        return ()
     low = core.lower()
     number = not core.isalpha() and (core[0].isdigit() or core[0] in "+-$€£")
     if number and NUMBER.match(core) or low in NUMERALS:
-        both = ((N, low),)
-    elif number and (m := MEASURE.match(core)) and m[2].lower() in UNITS:
-        both = ((N, m[1]), (UNIT, m[2].lower()))
-    elif low in UNITS and len(low) > 2:
-        both = ((UNIT, low),)
-    else:
-        both = ((low, ""),)
-        if core[0].isupper() and len(core) > 1:
-            return both, ((NAME, low),), ends
-    return both, both, ends
-
-
-def _code(token: str) -> int:
+        return ((N, low),)
+    if number and (m := MEASURE.match(core)) and m[2].lower() in UNITS:
+        return ((N, m[1]), (UNIT, m[2].lower()))
+    if low in UNITS and len(low) > 2:
+        return ((UNIT, low),)
+    return ((NAME, low),) if core[0].isupper() and len(core) > 1 else ((low, ""),)
+
+
+def code(token: str) -> int:
     return xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
 
 
-def _form(tokens) -> tuple[bytes, tuple[str, ...]]:
-    return b"".join(_code(t).to_bytes(8, "little") for t, _ in tokens), tuple(v for _, v in tokens)
+class Templates(WordTable):
+    """Template tokens of texts, as hashes; values of slots by their place in the pool. Of names or numbers in a row one
+    token is made, with all their values."""
+
+    RUNS = np.array([code(N), code(NAME)], "u8")
 
+    def __init__(self):
+        super().__init__("u8", CACHED_WORDS)
 
-class Templates:
-    """Template tokens of texts; each word is looked at once."""
+    def forget(self) -> None:
+        super().forget()
+        self.values: dict[int, str] = {}
 
-    def __init__(self, kept: int = 300_000):
-        self.kept, self.known = kept, {}
-        gc.set_threshold(200_000)  # the many small tuples kept here need no scans for cycles
+    def trim(self) -> None:
+        self.forget()
 
-    def _parts(self, text: str | None) -> list[tuple]:
-        """For each word its hashes and values, as a sentence's first word or not."""
-        known, words = self.known, (text or "").split()
-        for word in set(words).difference(known):
-            first, later, ends = pieces(word)
-            one = _form(first)
-            known[word] = (one, one if later is first else _form(later), ends)
-        found = [known[w] for w in words]
-        if len(known) > self.kept:
-            known.clear()
-        starts = [True, *(x[2] for x in found[:-1])]
-        return [x[0] if s else x[1] for x, s in zip(found, starts)]
+    def learn(self, new: list[str]) -> None:
+        found = [pieces(w) for w in new]
+        flat = [x for tokens in found for x in tokens]
+        self.values.update((self.filled + k, v) for k, (_, v) in enumerate(flat) if v)
+        self.add(new, np.fromiter((code(t) for t, _ in flat), "u8", len(flat)), np.fromiter(map(len, found), "i4", len(found)))
 
-    def codes(self, text: str | None) -> np.ndarray:
-        """Hashes of the template tokens."""
-        return np.frombuffer(b"".join([x[0] for x in self._parts(text)]), "u8")
+    def lay(self, texts: pa.Array) -> "Laid":
+        words, bounds = split_words(texts, lower=False)
+        place, sizes = self.of(words)
+        at = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds]
+        codes = self.pool[place]
+        first = np.ones(len(codes), bool)
+        first[1:] = (codes[1:] != codes[:-1]) | ~np.isin(codes[1:], self.RUNS)
+        first[at[:-1][at[:-1] < at[1:]]] = True
+        starts = np.append(np.flatnonzero(first), len(codes))
+        return Laid(codes[starts[:-1]], np.searchsorted(starts, at), place, starts, self.values)
 
-    def values(self, text: str | None) -> list[str]:
-        """The slots' values, '' for literals."""
-        return [v for x in self._parts(text) for v in x[1]]
 
-    def of(self, text: str | None) -> tuple[np.ndarray, list[str]]:
-        return self.codes(text), self.values(text)
+class Laid:
+    """Codes of a batch of texts in a row; text k has codes[at[k] : at[k + 1]]."""
+
+    def __init__(self, codes, at, place, starts, values):
+        self.codes, self.at, self.place, self.starts, self._values = codes, at, place, starts, values
+
+    def value(self, k: int) -> str:
+        """A token's value, '' for a literal."""
+        return " ".join([v for p in self.place[self.starts[k] : self.starts[k + 1]].tolist() if (v := self._values.get(p))])
 
 
 def rolled(codes: np.ndarray, size: int) -> np.ndarray:
@@ -112,70 +122,11 @@ def rolled(codes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-class Index:
-    """Windows of some benchmark items: hash -> (item, position)."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        words = Templates()
-        self.items: dict[int, tuple[np.ndarray, list[str]]] = {}
-        at: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.sizes: set[int] = set()
-        for i, (_, text) in enumerate(items):
-            codes, values = words.of(text)
-            if not len(codes):
-                continue
-            size = min(WINDOW, len(codes))
-            self.sizes.add(size)
-            self.items[i] = codes, values
-            for p, h in enumerate(rolled(codes, size).tolist()):
-                at[h].append((i, p))
-        self.ids = [x[0] for x in items]
-        self.at = dict(at)
-        self.hashes = np.array(sorted(self.at), "u8")
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(self.hashes >> np.uint64(44)).astype("i8")] = True
-
-    def find(self, text: str | None, words: Templates) -> list[tuple]:
-        """(item id, coverage, matched windows, slots, changed slots, share of consistent slots) of each item whose template is in the text."""
-        codes = words.codes(text)
-        pairs: dict[int, set[tuple[int, int]]] = defaultdict(set)
-        for size in self.sizes:
-            h = rolled(codes, size)
-            maybe = np.flatnonzero(self.maybe[(h >> np.uint64(44)).astype("i8")])
-            for d in maybe.tolist():
-                for i, p in self.at.get(int(h[d]), ()):
-                    if min(WINDOW, len(self.items[i][0])) == size:
-                        pairs[i].add((p, d))
-        values = words.values(text) if pairs else []
-        out = []
-        for i, found in sorted(pairs.items()):
-            own, slots = self.items[i]
-            size = min(WINDOW, len(own))
-            best = None
-            for group in runs(found, len(own)):
-                for windows, covered in alignments(group, size):
-                    share = len(covered) / len(own)
-                    literal = sum(1 for p in covered if not slots[p])
-                    if share < COVERAGE or literal < min(LITERALS, len(own)):
-                        continue
-                    pairs_of = [(slots[p], values[d]) for p, d in covered.items() if slots[p]]
-                    consistent = agreement(pairs_of)
-                    if consistent < CONSISTENT:
-                        continue
-                    changed = sum(1 for a, b in pairs_of if a != b)
-                    row = (share, windows, len(pairs_of), changed, consistent)
-                    rank = (share, consistent, -changed, windows)
-                    best = max(best, (rank, row)) if best else (rank, row)
-            if best:
-                out.append((self.ids[i], *best[1]))
-        return out
-
-
-def runs(found: set[tuple[int, int]], span: int) -> list[list[tuple[int, int]]]:
+def runs(found: list[tuple[int, int]], span: int) -> list[list[tuple[int, int]]]:
     """Windows (item position, text position) grouped by where in the text the item would start, within half its length."""
     out: list[list[tuple[int, int]]] = []
     last = None
-    for start, p, d in sorted((d - p, p, d) for p, d in found):
+    for start, p, d in sorted((d - p, p, d) for p, d in set(found)):
         if last is None or start - last > max(2, span // 2):
             out.append([])
         out[-1].append((p, d))
@@ -220,70 +171,139 @@ def alignments(group: list[tuple[int, int]], size: int):
         yield sum(len(offsets[x]) for x in used), whole
 
 
-def index_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"):
-    """Indexes of the benchmark's items, in blocks of a bounded number of windows; rows of null text or id are left out."""
-    now, size = [], 0
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for r in rows.orderBy("i", "t").toLocalIterator():
-        now.append((r[0], r[1]))
-        size += len(r[1].split())
-        if size >= BLOCK_WINDOWS:
-            yield Index(now)
-            now, size = [], 0
-    if now:
-        yield Index(now)
+def judged(found: list[tuple[int, int]], slots: list[str], values: dict[int, str], words: int, length: int) -> tuple | None:
+    """(coverage, windows, slots, changed slots, consistency) of the best way that an item with `slots` lies on a text of
+    `length` tokens, or None. found: windows (item position, text position); values: slots of the text by position."""
+    size, best = min(WINDOW, len(slots)), None
+    for group in runs(found, len(slots)):
+        for windows, covered in alignments(group, size):
+            share = len(covered) / len(slots)
+            pairs = [(slots[p], values[d]) for p, d in covered.items() if slots[p]]
+            changed = sum(1 for a, b in pairs if a != b)
+            consistent = agreement(pairs)
+            if share < COVERAGE or consistent < CONSISTENT or len(slots) != length and words < WORDS:
+                continue
+            if len(covered) - len(pairs) < min(LITERALS, len(slots)) and not (share == 1.0 and changed == 0):
+                continue
+            rank = (share, consistent, -changed, windows)
+            if best is None or rank > best[0]:
+                best = rank, (share, windows, len(pairs), changed, consistent)
+    return best and best[1]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document row and benchmark item whose template it holds: id_col, item_id, coverage, windows, slots, changed_slots, consistency.
+def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """A written table: item (a number of the row and form), item_id, slots, words, size, p, hash: a row for each window.
+
+    An item has two forms, as it is and in lower case, where there are no names. Rows of null id or text are left out."""
+    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    kind = rows.schema["_id"].dataType.simpleString()
 
-    changed_slots above 0: the item asked again with other values. Null or empty texts hold nothing; null and equal ids
-    give rows of their own; an empty benchmark or table gives no rows; equal items are all named; columns other than
-    those named are not read. Very long texts are taken whole.
-    """
-    spark = docs.sparkSession
-    batches(spark)
-    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    kind = source.schema["_id"].dataType.simpleString()
-    schema = f"_id {kind}, item_id long, coverage double, windows long, slots long, changed_slots long, consistency double"
-    out = None
-    for index in index_blocks(benchmark):
-        part = source.mapInArrow(_matcher(spark.sparkContext.broadcast(index)), schema)
-        out = part if out is None else out.unionByName(part)
-    return (spark.createDataFrame([], schema) if out is None else out).withColumnRenamed("_id", id_col)
-
-
-def _matcher(sent):
     def run(it):
-        words, index = Templates(), sent.value
+        forms = Templates()
         for batch in it:
-            at, rows = [], []
-            for k, text in enumerate(batch.column("_text").to_pylist()):
-                if text:
-                    found = index.find(text, words)
-                    at += [k] * len(found)
-                    rows += found
-            cols = list(zip(*rows)) or [[]] * 6
-            kinds = [pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([batch.column("_id").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["_id", "item_id", "coverage", "windows", "slots", "changed_slots", "consistency"])
-
-    return run
+            texts = batch.column("_text").to_pylist()
+            for form, given in enumerate((texts, [t.lower() for t in texts])):
+                laid = forms.lay(pa.array(given, pa.string()))
+                out: list[list] = [[] for _ in range(7)]
+                for k, row in enumerate(batch.column("_row").to_pylist()):
+                    a, z = int(laid.at[k]), int(laid.at[k + 1])
+                    if a == z or form and given[k] == texts[k]:
+                        continue
+                    size = min(WINDOW, z - a)
+                    slots, words = [laid.value(x) for x in range(a, z)], len(given[k].split())
+                    for p, h in enumerate(rolled(laid.codes[a:z], size).view("i8").tolist()):
+                        for column, x in zip(out, (2 * row + form, k, slots, words, size, p, h)):
+                            column.append(x)
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+                columns = [pa.array(x, t) for x, t in zip(out, kinds)]
+                columns[1] = batch.column("_id").take(columns[1])
+                yield pa.RecordBatch.from_arrays(columns, ["item", "item_id", "slots", "words", "size", "p", "hash"])
+
+    return save(rows.mapInArrow(run, f"item long, item_id {kind}, slots array<string>, words long, size long, p long, hash long"), "benchmark")
+
+
+def matches(source: DataFrame, windows: DataFrame) -> DataFrame:
+    """source (_row, _id, _text) against the benchmark's windows: _row, _id, item_id, coverage, windows, slots, changed_slots, consistency."""
+    spark = source.sparkSession
+    kind, item_kind = source.schema["_id"].dataType.simpleString(), windows.schema["item_id"].dataType.simpleString()
+    # at most 2 ** BUCKET_BITS numbers for each size of window, and at most WINDOW sizes
+    bucket = F.shiftrightunsigned("hash", 64 - BUCKET_BITS).cast("int").alias("bucket")
+    asked = windows.select("size", bucket).distinct().toArrow()
+    sieves = {}
+    for size in sorted(set(asked.column("size").to_pylist())):
+        sieve = np.zeros(1 << BUCKET_BITS, bool)
+        sieve[asked.column("bucket").to_numpy()[asked.column("size").to_numpy() == size]] = True
+        sieves[size] = np.packbits(sieve, bitorder="little")
+    sent = spark.sparkContext.broadcast(sieves)
 
+    def run(it):
+        forms = Templates()
+        for batch in it:
+            laid = forms.lay(batch.column("_text"))
+            n = np.diff(laid.at)
+            out: list[list] = [[] for _ in range(6)]
+            for size, sieve in sent.value.items():
+                h = rolled(laid.codes, size)
+                b = h >> np.uint64(64 - BUCKET_BITS)
+                hit = np.flatnonzero((sieve[b >> np.uint64(3)] >> (b & np.uint64(7)).astype("u1")) & 1)
+                own = np.searchsorted(laid.at, hit, "right") - 1
+                within = hit + size <= laid.at[own + 1]
+                for x, k in zip(hit[within].tolist(), own[within].tolist()):
+                    for column, v in zip(out, (k, size, int(h[x].view("i8")), x - int(laid.at[k]), int(n[k]), [laid.value(y) for y in range(x, x + size)])):
+                        column.append(v)
+            at = pa.array(out[0], pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), batch.column("_id").take(at), *(pa.array(x, t) for x, t in zip(out[1:], kinds))], ["_row", "_id", "size", "hash", "d", "length", "values"])
+
+    found = source.mapInArrow(run, f"_row long, _id {kind}, size long, hash long, d long, length long, values array<string>")
+    met = found.join(windows.select("item", "size", "hash", "p"), ["hash", "size"])
+    # one document and one item
+    each = met.groupBy("_row", "item").agg(F.first("_id").alias("_id"), F.first("length").alias("length"), F.collect_list(F.struct("p", "d", "values")).alias("found"))
+    items = windows.where("p = 0").select("item", "item_id", F.col("slots").alias("own"), "words")
+    whole = f"_row long, _id {kind}, item_id {item_kind}, coverage double, windows long, slots long, changed_slots long, consistency double"
+
+    def judge(it):
+        for batch in it:
+            at, rows = [], []
+            for k, (hits, own, words, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("found", "own", "words", "length")))):
+                values = {x["d"] + j: v for x in hits for j, v in enumerate(x["values"])}
+                row = judged([(x["p"], x["d"]) for x in hits], own, values, words, length)
+                if row:
+                    at.append(k)
+                    rows.append(row)
+            cols = list(zip(*rows)) or [[]] * 5
+            kinds = [pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(taken) for c in ("_row", "_id", "item_id")), *(pa.array(c, t) for c, t in zip(cols, kinds))], ["_row", "_id", "item_id", "coverage", "windows", "slots", "changed_slots", "consistency"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows that hold an item; same columns. Rows are judged one by one, so null and equal ids are safe."""
-    spark = docs.sparkSession
-    batches(spark)
-    cols = docs.columns
-    for index in index_blocks(benchmark):
-        docs = docs.mapInArrow(_keeper(spark.sparkContext.broadcast(index), cols.index("text")), docs.schema)
-    return docs
+    return each.join(items, "item").mapInArrow(judge, whole)
 
 
-def _keeper(sent, text_at: int):
-    def run(it):
-        words, index = Templates(), sent.value
-        for batch in it:
-            yield batch.filter(pa.array([not (t and index.find(t, words)) for t in batch.column(text_at).to_pylist()], pa.bool_()))
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each document row and benchmark item whose template it holds: id_col, item_id, coverage, windows, slots, changed_slots, consistency.
 
-    return run
+    changed_slots above 0: the item asked again with other values. An item that is there word for word counts whatever it
+    is made of. Null or empty texts hold nothing; null and equal ids give rows of their own; an empty benchmark or table
+    gives no rows; items of equal ids give one row, the best; item ids of any type; columns other than those named are
+    not read. Very long texts are taken whole.
+    """
+    batches(docs.sparkSession, 1000)
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    found = matches(source, benchmark_windows(benchmark))
+    columns = ["coverage", "consistency", "changed_slots", "windows", "slots"]
+    best = F.max(F.struct("coverage", "consistency", (-F.col("changed_slots")).alias("changed_slots"), "windows", "slots")).alias("best")
+    out = found.groupBy("_row", "item_id").agg(F.first("_id").alias(id_col), best)
+    chosen = {c: F.col(f"best.{c}") for c in columns} | {"changed_slots": -F.col("best.changed_slots")}
+    return out.select(id_col, "item_id", *(chosen[c].alias(c) for c in ("coverage", "windows", "slots", "changed_slots", "consistency")))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """docs without the rows that hold an item; same columns. What a text holds depends on nothing else, so equal texts go
+    together, and null and equal ids are safe."""
+    batches(docs.sparkSession, 1000)
+    key = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    source = docs.select(F.monotonically_increasing_id().alias("_row"), key.alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    gone = save(matches(source, benchmark_windows(benchmark)).select(F.col("_id").alias("_sha")).distinct(), "leaks")
+    own = [f"_c{k}" for k in range(len(docs.columns))]
+    kept = docs.toDF(*own).withColumn("_sha", F.sha2(F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")), 256))
+    return kept.join(gone, "_sha", "left_anti").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))

@@ -17,10 +17,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batches, save, split_words
+from .common import WordTable, batches, save, split_words
 
 #: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 _coders: dict[str, "WordCoder"] = {}
 
 
@@ -36,85 +36,36 @@ class Encoded:
     bounds: np.ndarray
 
 
-class WordCoder:
+class WordCoder(WordTable):
     """Ids of texts for a tokenizer that lower-cases, and never joins characters across ASCII white space.
 
-    So a text's ids are its words' ids in a row. Only distinct words that this worker hasn't met are encoded, and
-    numpy puts the ids together."""
+    So a text's ids are its words' ids in a row. Only distinct words that this worker hasn't met are encoded."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.coder = Tokenizer.from_file(path)
         self.size = self.coder.get_vocab_size(with_added_tokens=True)
-        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
-        self.forget()
-
-    def forget(self) -> None:
-        self.row: dict[str, int] = {}
-        self.pool, self.filled = np.zeros(1 << 16, self.kind), 0  # ids of words, one after the other
-        self.start, self.count, self.uses = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "i8")
-
-    def _add(self, words: list[str], ids: list) -> None:
-        n, m = len(self.row), np.fromiter(map(len, ids), "i4", len(ids))
-        while n + len(words) > len(self.start):
-            self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
-        whole = int(m.sum())
-        while self.filled + whole > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.filled : self.filled + whole] = np.fromiter(chain.from_iterable(ids), self.kind, whole)
-        self.start[n : n + len(words)] = self.filled + np.cumsum(m) - m
-        self.count[n : n + len(words)] = m
-        self.filled += whole
-        self.row.update(zip(words, range(n, n + len(words))))
-
-    def _ids(self, word: str) -> list[int]:
-        r = self.row[word]
-        return self.pool[self.start[r] : self.start[r] + self.count[r]].tolist()
-
-    def _learn(self, new: list[str]) -> None:
+        super().__init__("<u2" if self.size <= 1 << 16 else "<u4", CACHED_WORDS)
+
+    def learn(self, new: list[str]) -> None:
         # a comma or stop after a letter is a piece of its own
         marked = [w for w in new if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha()]
-        parts = {x for w in marked for x in (w[:-1], w[-1])}
-        plain = sorted((set(new).difference(marked) | parts).difference(self.row))
+        plain = {w[:-1] for w in marked}.union(".,", new).difference(marked)
+        plain = [w for w in plain if w not in self.row]
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
-            self._add(part, [e.ids for e in self.coder.encode_batch_fast(part, add_special_tokens=False)])
-        marked = [w for w in marked if w not in self.row]
-        self._add(marked, [self._ids(w[:-1]) + self._ids(w[-1]) for w in marked])
-
-    def _trim(self) -> None:
-        """Keeps the half of the words that was used most."""
-        n = len(self.row)
-        kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: CACHED_WORDS // 2])
-        words, start, count, uses, pool = np.fromiter(self.row, object, n)[kept].tolist(), self.start[kept], self.count[kept], self.uses[kept], self.pool
-        self.forget()
-        ends = np.cumsum(count, dtype="i8")
-        self.pool = pool[np.repeat(start - ends + count, count) + np.arange(ends[-1])]
-        self.filled = len(self.pool)
-        self.start, self.count, self.uses = ends - count, count, uses // 2
-        self.row = dict(zip(words, range(len(words))))
-
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Places of distinct words in the tables."""
-        if len(self.row) > CACHED_WORDS:
-            self._trim()
-        new = [w for w in words if w not in self.row]
-        if new:
-            self._learn(new)
-        return np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
+            found = [e.ids for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
+            count = np.fromiter(map(len, found), "i4", len(found))
+            self.add(part, np.fromiter(chain.from_iterable(found), self.kind, int(count.sum())), count)
+        place, count = self.gather(np.stack([self.places([w[:-1] for w in marked]), self.places([w[-1] for w in marked])], 1).ravel())
+        self.add(marked, self.pool[place], count.reshape(-1, 2).sum(1, dtype="i4"))
 
     def encode(self, texts: pa.Array) -> Encoded:
         # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
         words, bounds = split_words(texts, as_is="<|")
-        rows = self.rows(words.dictionary.to_numpy(zero_copy_only=False).tolist())
-        at = words.indices.to_numpy()
-        self.uses[rows] += np.bincount(at, minlength=len(rows))
-        sizes = self.count[rows][at]
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])
-        place = np.repeat(self.start[rows][at] - ends[:-1], sizes)
-        place += np.arange(ends[-1])
-        return Encoded(self.pool[place], ends[bounds], sizes, words, bounds)
+        place, sizes = self.of(words)
+        return Encoded(self.pool[place], np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds], sizes, words, bounds)
 
 
 def coder(path: str) -> WordCoder:
@@ -127,6 +78,11 @@ def coder(path: str) -> WordCoder:
     return _coders[path]
 
 
+def forget_words() -> None:
+    """Frees what a worker keeps for its coders."""
+    _coders.clear()
+
+
 def blobs(values: np.ndarray, at: np.ndarray) -> pa.Array:
     """Binary rows values[at[k] : at[k + 1]]."""
     values = np.ascontiguousarray(values)
