@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -157,8 +158,10 @@ class WordTable:
         if len(self.row) > self.most:
             self.trim()
         distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if new := [w for w in distinct if w not in self.row]:
+        rows, at = np.fromiter(map(self.row.get, distinct, repeat(-1)), "i8", len(distinct)), words.indices.to_numpy()
+        if len(unknown := np.flatnonzero(rows < 0)):
+            new = [distinct[k] for k in unknown.tolist()]
             self.learn(new)
-        rows, at = self.places(distinct), words.indices.to_numpy()
+            rows[unknown] = self.places(new)
         self.uses[rows] += np.bincount(at, minlength=len(rows))
         return self.gather(rows[at])

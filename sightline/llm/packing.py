@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, batches, save, split_words
 
 #: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 1_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
@@ -50,9 +50,9 @@ class WordCoder(WordTable):
 
     def learn(self, new: list[str]) -> None:
         # a comma or stop after a letter is a piece of its own
-        marked = [w for w in new if w[-1] in ".," and w[-2:-1].isascii() and w[-2:-1].isalpha()]
-        plain = {w[:-1] for w in marked}.union(".,", new).difference(marked)
-        plain = [w for w in plain if w not in self.row]
+        marked = [w for w in new if w.endswith((".", ",")) and w[-2:-1].isascii() and w[-2:-1].isalpha()]
+        plain = [w for w in {w[:-1] for w in marked}.union(".,") if w not in self.row]
+        plain = list(set(plain).union(new).difference(marked))
         for k in range(0, len(plain), 20_000):
             part = plain[k : k + 20_000]
             found = [e.ids for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
