@@ -22,6 +22,10 @@ from .common import batches, mix, save
 HOT_ROWS, HOT_PARTS, SUB_BITS = 2_000, 20_000, 6
 #: Node pairs with so few leaf pairs are compared at once; frontiers are cut to so many node pairs.
 LEAF, FRONTIER = 64, 200_000
+#: Pairs of members that are compared at once.
+LEAVES = 2_000_000
+#: Similarity estimates are taken as they are from SURE above the threshold on, and checked from as much below it.
+SURE, CHECKED = 0.1, 0.13
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -46,6 +50,18 @@ def fingerprint(text: str | None, size: int = 3, seed: int = 42) -> int:
     return int(majority(np.fromiter((xxhash.xxh64_intdigest(x, seed) for x in found), "u8", len(found)).reshape(-1, 1))[0]) if found else 0
 
 
+def cut(leaves: np.ndarray) -> np.ndarray:
+    """Node pairs (a, b, c, d), those with more than LEAVES pairs of members cut into some with fewer."""
+    rows = np.maximum(1, LEAVES // np.maximum(leaves[:, 3] - leaves[:, 2], 1))
+    parts = -(-(leaves[:, 1] - leaves[:, 0]) // rows)
+    out = np.repeat(leaves, parts, axis=0)
+    k = np.arange(len(out)) - np.repeat(np.cumsum(parts) - parts, parts)
+    step = np.repeat(rows, parts)
+    out[:, 0] += k * step
+    out[:, 1] = np.minimum(out[:, 1], out[:, 0] + step)
+    return out
+
+
 def trie_pairs(codes: np.ndarray, starts: list[tuple[int, int, int, int, int]], bit: int, budget: int):
     """Pairs of indices (i, j) of codes within budget bits, in chunks. starts: node pairs (a, b, c, d, differing bits so far), whose members are sorted and agree above `bit`; a == c for a node with itself."""
     stack = [(np.array(starts, "i8").reshape(-1, 5), bit)]
@@ -58,8 +74,9 @@ def trie_pairs(codes: np.ndarray, starts: list[tuple[int, int, int, int, int]],
         a, b, c, d, diff = front.T
         small = ((b - a) * (d - c) <= LEAF) | (bit < 0)
         if small.any():
-            for part in np.array_split(front[small], max(1, int(((b - a) * (d - c))[small].sum()) // 2_000_000)):
-                a, b, c, d, _ = part.T
+            leaves = cut(front[small, :4])
+            for part in np.array_split(leaves, max(1, int(((leaves[:, 1] - leaves[:, 0]) * (leaves[:, 3] - leaves[:, 2])).sum()) // LEAVES)):
+                a, b, c, d = part.T
                 n = (b - a) * (d - c)
                 own = np.repeat(np.arange(len(part)), n)
                 k = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
@@ -99,18 +116,23 @@ class Forest:
             x = self.up[x]
         return x
 
-    def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        for x, y in zip(i.tolist(), j.tolist()):
+    def join(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Joins pairs in order; the places of those that weren't joined before."""
+        new = []
+        for k, (x, y) in enumerate(zip(i.tolist(), j.tolist())):
             x, y = self.find(x), self.find(y)
             if x != y:
                 self.up[max(x, y)] = min(x, y)
+                new.append(k)
+        return np.array(new, "i8")
 
 
 def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFrame:
-    """Links between nodes by self-joins of tries: (u, v), in each task a spanning forest of what it finds.
+    """Links between nodes by self-joins of tries: (u, v, weight), in each task a spanning forest of what it finds.
 
     codes: node long, codes array<long> (for each trie a code in the top `bits` bits), more array<long>. alike: a
-    function of two arrays of rows of `more` that says which pairs count; without one, all within the budget.
+    function of two arrays of rows of `more` that gives each pair's weight; those of 1 count before the others, greater
+    weights before lesser ones, those of 0 not at all. Without it all pairs within the budget weigh 1.
     """
     widths = [bits // (budget + 1) + (k < bits % (budget + 1)) for k in range(budget + 1)]
 
@@ -158,7 +180,7 @@ def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFram
         more = table.column("more").combine_chunks()
         width = len(more.values) // len(more) if len(more) else 0
         more = more.values.to_numpy().view("u8").reshape(len(node), width)
-        forest = Forest(len(node))
+        certain, forest = Forest(len(node)), Forest(len(node))  # by links that weigh 1, by all
         starts: dict[int, list] = {}
         for a, b in zip(at.tolist(), to.tolist()):
             r, x, y = int(cols[1][a]), int(cols[3][a]), int(cols[4][a])
@@ -169,20 +191,21 @@ def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFram
                 m = a + int(np.searchsorted(side, y))
                 if a < m < b:
                     starts.setdefault(63 - widths[r] - SUB_BITS, []).append((a, m, m, b, (x ^ y).bit_count()))
+        out: list[tuple] = []
         for bit, pairs in starts.items():
             for i, j in trie_pairs(code, pairs, bit, budget):
                 for k in range(0, len(i), 200_000):
                     p, q = i[k : k + 200_000], j[k : k + 200_000]
-                    apart = forest.roots(p) != forest.roots(q)
+                    apart = (certain.roots(p) != certain.roots(q)) & (node[p] != node[q])
                     p, q = p[apart], q[apart]
-                    if alike is not None and len(p):
-                        ok = alike(more[p], more[q])
-                        p, q = p[ok], q[ok]
-                    forest.join(p, q)
-        roots = forest.roots(np.arange(len(node)))
-        joined = np.flatnonzero((roots != np.arange(len(node))) & (node[roots] != node))
-        if len(joined):
-            yield pa.RecordBatch.from_arrays([pa.array(node[joined]), pa.array(node[roots[joined]])], ["u", "v"])
+                    w = np.ones(len(p)) if alike is None or not len(p) else alike(more[p], more[q])
+                    for chosen, trees in ((w >= 1, (certain, forest)), ((w > 0) & (w < 1), (forest,))):
+                        order = np.flatnonzero(chosen)[np.argsort(-w[chosen], kind="stable")]
+                        for tree in trees[::-1]:
+                            joined = order[tree.join(p[order], q[order])]
+                        out.append((node[p[joined]], node[q[joined]], w[joined]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out)], ["u", "v", "weight"])
 
     def walk(it):
         kept, rows_kept = [], 0
@@ -204,7 +227,7 @@ def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFram
         if kept:
             yield from work(pa.Table.from_batches(kept).combine_chunks())
 
-    return rows.mapInArrow(walk, "u long, v long")
+    return rows.mapInArrow(walk, "u long, v long, weight double")
 
 
 def components(links: DataFrame, name: str = "links") -> DataFrame:
@@ -213,7 +236,7 @@ def components(links: DataFrame, name: str = "links") -> DataFrame:
     A node's smallest neighbour is found by an aggregate and joined back, so no task gathers a node's neighbours; each
     round is written to the shared folder."""
     now = save(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-    for _ in range(200):
+    while True:  # each round at least halves what is left of a chain
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -253,7 +276,8 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def sketches(docs: DataFrame, keep: list[str], text_col: str, size: int, tables: int, seed: int) -> DataFrame:
-    """A written table of each row: _row (its number), node (hash of its text), more (tables/2 words of SimHash bits and the number of distinct shingles), and the columns `keep` as _k0, _k1 ..."""
+    """A written table of each row: _row (its number), node (hash of its text), more (tables/2 words of SimHash bits and
+    the number of distinct shingles), _text, and the columns `keep` as _k0, _k1 ..."""
     batches(docs.sparkSession)
     names = [f"_k{k}" for k in range(len(keep))]
     source = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
@@ -268,46 +292,83 @@ def sketches(docs: DataFrame, keep: list[str], text_col: str, size: int, tables:
                 wide = majority(np.stack([mix(h, k) for k in range(words)], 1)) if found else np.zeros(words, "u8")
                 nodes.append(xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7))
                 mores.append(np.append(wide, np.uint64(len(found))).view("i8"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(np.array(nodes, "u8").view("i8")), pa.array(mores, pa.list_(pa.int64()))], [*names, "node", "more"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), batch.column("_text"), pa.array(np.array(nodes, "u8").view("i8")), pa.array(mores, pa.list_(pa.int64()))], [*names, "_text", "node", "more"])
 
-    schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "node long, more array<long>"])
+    schema = ", ".join([*(f"{n} {source.schema[n].dataType.simpleString()}" for n in names), "_text string, node long, more array<long>"])
     return save(source.mapInArrow(prints, schema).withColumn("_row", F.monotonically_increasing_id()), "sketches")
 
 
-def alike_nodes(marked: DataFrame, tables: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that are linked to others."""
+def estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of pairs of rows (words of SimHash bits, size of the set): the share of bits that differ gives
+    the angle between the sets."""
+    apart = np.bitwise_count(p[:, :-1] ^ q[:, :-1]).sum(1) / (64.0 * (p.shape[1] - 1))
+    a, b = p[:, -1].astype("f8"), q[:, -1].astype("f8")
+    common = np.cos(np.pi * apart) * np.sqrt(a * b)
+    return common / np.maximum(a + b - common, 1)
+
+
+def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity: float) -> DataFrame:
+    """(node, root) of the nodes that are linked to others.
+
+    Pairs that their bits show to be well over the threshold are linked; of those near it, the likeliest pair between
+    two groups is checked by its texts' sets of shingles."""
     words = tables // 2
-    nodes = marked.groupBy("node").agg(F.min("more").alias("more")).where(F.col("more")[words] > 0)
+    kept = max(2, tables // 3)  # words of bits that go into the tries' tasks
+    nodes = marked.groupBy("node").agg(F.min("more").alias("more"), F.min("_row").alias("_row")).where(F.col("more")[words] > 0)
     halves = F.flatten(F.transform(F.slice("more", 1, words), lambda x: F.array(x.bitwiseAND(F.lit(-1 << 32)), F.shiftleft(x, 32))))
+    sure, least = min(similarity + SURE, 1.0), similarity - CHECKED
+
+    def weight(p, q):
+        j = estimate(p, q)
+        return np.where(j >= sure, 1.0, np.where(j >= least, np.minimum(j, 0.999), 0.0))
+
+    some = F.concat(F.slice("more", 1, kept), F.slice("more", words + 1, 1))
+    links = save(trie_links(nodes.select("node", halves.alias("codes"), some.alias("more")), 32, 2, weight), "links")
+    groups = components(links.where("weight = 1"), "sure")
+    root = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    doubt = links.where("weight < 1").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    doubt = doubt.select("u", "v", "weight", F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).where("a != b")
+    doubt = doubt.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("weight", "u", "v")).alias("p"))
+    doubt = save(doubt.select("a", "b", "p.u", "p.v"), "doubt")
+    asked = doubt.select(F.col("u").alias("node")).unionByName(doubt.select(F.col("v").alias("node"))).distinct()
+    chosen = nodes.select("node", "_row").join(asked, "node", "left_semi")
+    texts = marked.select("_row", "_text").join(chosen, "_row")
+
+    def sets(it):
+        for batch in it:
+            found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles(x, size)), "u8")).view("i8") for x in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
 
-    def alike(p, q):
-        apart = np.bitwise_count(p[:, :words] ^ q[:, :words]).sum(1) / (64.0 * words)
-        a, b = p[:, words].astype("f8"), q[:, words].astype("f8")
-        common = np.cos(np.pi * apart) * np.sqrt(a * b)
-        return common / np.maximum(a + b - common, 1) >= similarity
-
-    return components(trie_links(nodes.select("node", halves.alias("codes"), "more"), 32, 2, alike))
+    own = save(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    true = doubt.join(side("u"), "u").join(side("v"), "v").where(common >= similarity * (F.size("u_set") + F.size("v_set") - common))
+    return components(links.where("weight = 1").select("u", "v").unionByName(true.select("u", "v")))
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 16, seed: int = 42) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 20, seed: int = 42) -> DataFrame:
     """Groups of documents alike by their word shingles: id_col, node (hash of the text), group (the smallest node reached).
 
     Near copies of Jaccard similarity 0.8 differ in about 10 of 64 SimHash bits, too many for one trie. So each text has
-    `tables` SimHashes of 32 bits, each in a trie of its own with a budget of 2 bits, and a pair found by any of them is
-    judged by all bits: their share that differs gives the angle between the shingle sets, and with the sets' sizes the
-    Jaccard similarity. Equal texts are one node. Texts without words are one group only if equal.
+    `tables` SimHashes of 32 bits, each in a trie of its own with a budget of 2 bits. A pair found by any of them is
+    estimated by further bits, and checked by its shingles where the estimate is near the threshold. Equal texts are one
+    node. Texts without words are one group only if equal.
     Null text: empty; null and equal ids are rows of their own; an empty table gives no rows; other columns aren't read.
     """
     marked = sketches(docs, [id_col], text_col, size, tables, seed)
-    return marked.select("_k0", "node").join(alike_nodes(marked, tables, similarity), "node", "left").select(F.col("_k0").alias(id_col), "node", F.coalesce("root", "node").alias("group"))
+    return marked.select("_k0", "node").join(alike_nodes(marked, tables, size, seed, similarity), "node", "left").select(F.col("_k0").alias(id_col), "node", F.coalesce("root", "node").alias("group"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 16, seed: int = 42) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 20, seed: int = 42) -> DataFrame:
     """docs with one row of each group of near_copies(): that with the smallest id, a null id last; same columns."""
-    cols = docs.columns
-    marked = sketches(docs, cols, text_col, size, tables, seed)
-    own = F.col(f"_k{cols.index(id_col)}")
-    light = marked.select("_row", "node", own.alias("_id")).join(alike_nodes(marked, tables, similarity), "node", "left")
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
+    kept = [n for k, n in enumerate(names) if k != text_at]
+    plain = docs.toDF(*names)
+    marked = sketches(plain.withColumn("_null", F.col(names[text_at]).isNull()), [*kept, "_null"], names[text_at], size, tables, seed)
+    given = {n: F.col(f"_k{k}") for k, n in enumerate([*kept, "_null"])}
+    given[names[text_at]] = F.when(~given.pop("_null"), F.col("_text")).cast(docs.schema[text_col].dataType)
+    light = marked.select("_row", "node", given[names[at]].alias("_id")).join(alike_nodes(marked, tables, size, seed, similarity), "node", "left")
     first = light.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    kept = marked.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
-    return kept.select(*(F.col(f"_k{k}").alias(c) for k, c in enumerate(cols)))
+    chosen = marked.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
+    return chosen.select(*(given[n].alias(c) for n, c in zip(names, docs.columns)))

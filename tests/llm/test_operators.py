@@ -256,3 +256,45 @@ def test_classifiers_on_odd_rows(spark, docs):
     got = language.identify_language(docs).collect()
     assert len(got) == docs.count() and all(r.lang_pred == "und" for r in got if r.doc_id in (0, 1, 2))
     assert toxicity.score_toxicity(empty(docs), labels).count() == 0 and language.identify_language(empty(docs)).count() == 0
+
+
+def test_near_copies_beside_exact_similarity(spark):
+    r = random.Random(4)
+    rows, sets = [], {}
+    for g in range(60):
+        base = [f"w{r.randrange(5000)}" for _ in range(r.choice([40, 150, 400]))]
+        for k in range(4):
+            words = list(base)
+            for _ in range(k * r.randrange(0, 5)):
+                words[r.randrange(len(words))] = f"x{r.randrange(9999)}"
+            rows.append((10 * g + k, " ".join(words)))
+            sets[10 * g + k] = set(near.shingles(rows[-1][1], 5))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    group = {x.doc_id: x.group for x in near.near_copies(docs).collect()}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    pairs = [(10 * g + a, 10 * g + b) for g in range(60) for a in range(4) for b in range(a)]
+    true = [p for p in pairs if alike(*p) >= 0.8]
+    assert sum(group[a] == group[b] for a, b in true) >= 0.95 * len(true) > 60
+    for a, members in Counter(group.values()).items():  # a group hangs together by pairs that are alike
+        ids = [i for i in group if group[i] == a]
+        seen, todo = {ids[0]}, [ids[0]]
+        while todo:
+            x = todo.pop()
+            for y in ids:
+                if y not in seen and alike(x, y) >= 0.78:
+                    seen.add(y)
+                    todo.append(y)
+        assert len(seen) == members
+    odd = docs.withColumns({c: F.lit("clash") for c in ("node", "_row", "_text", "_null", "group", "_k0")})
+    kept = near.drop_near_copies(odd)
+    assert kept.columns == odd.columns and {x.doc_id for x in kept.collect()} == {min(i for i in group if group[i] == g) for g in group.values()}
+
+
+def test_equal_codes_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near, "LEAVES", 50)
+    codes = np.sort(np.repeat(np.arange(5, dtype="u8") << np.uint64(40), 30))
+    found = np.zeros((150, 150), bool)
+    for i, j in near.trie_pairs(codes, [(0, 150, 0, 150, 0)], 63, 1):
+        found[i, j] = True
+    want = np.bitwise_count(codes[:, None] ^ codes) <= 1
+    assert (found == (want & (np.arange(150)[:, None] < np.arange(150)))).all()
