@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from datetime import datetime, timezone
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,8 +20,10 @@ from .common import batches, new_path, save
 
 MAGIC = b"WARC/1.0\r\n"
 END = b"\r\n\r\n"
-#: Records of one file, which bounds its size and the rounds of pointer jumping.
-FILE_RECORDS = 1_000
+#: Bytes of payload that a file is aimed at.
+FILE_BYTES = 64 << 20
+#: Digits of a length beyond which no record can be.
+MOST_DIGITS = 15
 LENGTH = re.compile(rb"(?i)(?:^|\r\n)Content-Length: *(\d+)")
 LENGTH_FIRST, LENGTH_LATER = re.compile(rb"(?i)Content-Length: *(\d+)"), re.compile(rb"(?i)\r\nContent-Length: *(\d+)")
 FIELD = re.compile(rb"([A-Za-z-]+): *([^\r\n]*)")
@@ -34,8 +38,15 @@ def digest(payload: Column) -> Column:
     return F.translate(F.concat(*fours), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0) -> None:
-    """A record for each row, gzip-compressed files of bounded size. Of rows with equal payloads of at least `least`
+def number(digits: bytes | str) -> int | None:
+    """A length told in a header; None if no record could be so long."""
+    digits = digits.lstrip(b"0" if isinstance(digits, bytes) else "0")
+    return int(digits or 0) if len(digits) <= MOST_DIGITS else None
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = 0, date: str | None = None) -> None:
+    """A record for each row, in gzip-compressed files of about FILE_BYTES (one member a file, as Spark's text writer has
+    it). date: of all records, by default now. Of rows with equal payloads of at least `least`
     bytes that with the largest id (of equal ids that with the largest url, of equal urls any one) is a response, the
     others are revisits without payload.
 
@@ -59,13 +70,15 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
     line = lambda name, value: F.when(value.isNotNull(), F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))).otherwise("")
     urn = lambda i: F.concat(F.lit("<urn:page:"), F.coalesce(i.cast("string"), F.lit("null")), F.lit(">"))
     refers = F.when(again & (F.col("_last._o") > LOWEST), urn(F.col("_last._o")))
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = F.concat(
-        F.lit(MAGIC.decode()), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("_id"))),
+        F.lit(MAGIC.decode()), F.lit(f"WARC-Date: {date}\r\n"), line("WARC-Type", F.when(again, "revisit").otherwise("response")), line("WARC-Record-ID", urn(F.col("_id"))),
         line("WARC-Target-URI", F.regexp_replace("_url", "[\\x00-\\x20\\x7f]", "%20")), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "_digest")),
         line("WARC-Payload-Length", F.col("_bytes").cast("string")), line("WARC-Refers-To", refers), line("Content-Length", F.when(again, 0).otherwise(F.col("_bytes")).cast("string")),
     )
     records = records.select(F.concat(head, F.lit("\r\n"), F.when(again, "").otherwise(F.col("_body"))).alias("value"))
-    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    n, total = source.agg(F.count("*"), F.coalesce(F.sum("_bytes"), F.lit(0))).first()
+    records.write.option("lineSep", END.decode()).option("compression", "gzip").option("maxRecordsPerFile", max(1_000, FILE_BYTES * n // max(total, 1))).text(path)
 
 
 def between(spark: SparkSession, path: str) -> DataFrame:
@@ -107,8 +120,14 @@ class Heads:
         for begin, row in ready:
             k = bisect_left(at, begin)
             found = LENGTH_FIRST.match(self.text, begin, end) or (lines[k] if k < len(lines) else None)
-            if found:
-                row[4] = end - begin + len(END) + int(found[1]) + len(END)
+            length = number(found[1]) if found else None
+            if length is not None:
+                row[4] = end - begin + len(END) + length + len(END)
+
+    def leave(self) -> None:
+        """At a split's end: row[5] of each candidate whose header goes on beyond it is what was seen of the header."""
+        for begin, row in self.waiting:
+            row[5] = bytes(self.text[begin:])
 
 
 def runs(files: list, blocks: list, sizes: list, state: list) -> list[int]:
@@ -125,8 +144,8 @@ def runs(files: list, blocks: list, sizes: list, state: list) -> list[int]:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """A row for each magic line: file, block, run (offset of what follows it, in its split), at (offset of the magic
     line in the file), size, next (offset of the successor; null if the header can't be read). No payloads."""
-    names = ["file", "block", "run", "size", "step"]
-    kinds = [pa.string(), *[pa.int64()] * 4]
+    names = ["file", "block", "run", "size", "step", "begun"]
+    kinds = [pa.string(), *[pa.int64()] * 4, pa.binary()]
 
     def table(rows):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
@@ -138,27 +157,77 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             file, block, size, raw = (batch.column(c).to_pylist() for c in ("file", "block", "size", "raw"))
             for f, b, s, run, start in zip(file, block, size, runs(file, block, size, state), raw):
                 if place != (f, b):
+                    heads.leave()
                     place, heads = (f, b), Heads()
-                row = [f, b, run, s, None]
+                row = [f, b, run, s, None, None]
                 rows.append(row)
                 heads.add(row, start)
             if rows and not heads.waiting:
                 yield table(rows)
                 rows = []
+        heads.leave()
         if rows:
             yield table(rows)
 
-    # up to the first END, found byte by byte; a piece that has none may be the middle of a header
-    text = F.col("raw").cast("string")
-    head = F.substring_index(text, END.decode(), 1)
-    head = F.when(F.octet_length(head) < F.octet_length(text), F.concat(head, F.lit(END.decode()))).otherwise(head)
-    found = save(between(spark, path).withColumn("raw", head.cast("binary")).mapInArrow(walk, "file string, block long, run long, size long, step long"), "candidates")
+    pieces = starts(spark, path)
+    found = save(pieces.mapInArrow(walk, "file string, block long, run long, size long, step long, begun binary"), "candidates")
     blocks = found.groupBy("file", "block").agg(F.sum(F.col("size") + len(MAGIC)).alias("n"))
     base = blocks.select("file", "block", (F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")).alias("base"))
     begin = F.col("base") + F.col("run")
+    opened = found.where("begun IS NOT NULL").select("file", "block", "run", "begun")
+    found = found.drop("begun")
+    if not opened.isEmpty():
+        found = found.join(closed(opened, pieces).withColumnRenamed("step", "_step"), ["file", "block", "run"], "left").withColumn("step", F.coalesce("step", "_step")).drop("_step")
     return save(found.join(base, ["file", "block"]).select("file", "block", "run", (begin - len(MAGIC)).alias("at"), "size", (begin + F.col("step")).alias("next")), "marks")
 
 
+def starts(spark: SparkSession, path: str) -> DataFrame:
+    """between(), with each piece cut after its first END, found byte by byte; a piece that has none may be the middle of a header."""
+    text = F.col("raw").cast("string")
+    head = F.substring_index(text, END.decode(), 1)
+    head = F.when(F.octet_length(head) < F.octet_length(text), F.concat(head, F.lit(END.decode()))).otherwise(head)
+    return between(spark, path).withColumn("raw", head.cast("binary"))
+
+
+def closed(opened: DataFrame, pieces: DataFrame) -> DataFrame:
+    """(file, block, run, step) of candidates whose header goes on beyond their split: it ends with what the splits after
+    it begin with. opened: file, block, run, begun."""
+
+    def lead(it):
+        place, text, ended = None, bytearray(), False
+        for batch in it:
+            for f, b, raw in zip(*(batch.column(c).to_pylist() for c in ("file", "block", "raw"))):
+                if place != (f, b):
+                    if place:
+                        yield pa.RecordBatch.from_arrays([pa.array([place[0]]), pa.array([place[1]]), pa.array([bytes(text)])], ["file", "block", "lead"])
+                    place, text, ended = (f, b), bytearray(), False
+                if not ended:
+                    text += MAGIC + raw
+                    ended = END in raw
+        if place:
+            yield pa.RecordBatch.from_arrays([pa.array([place[0]]), pa.array([place[1]]), pa.array([bytes(text)])], ["file", "block", "lead"])
+
+    leads = pieces.join(opened.select("file").distinct(), "file", "left_semi").mapInArrow(lead, "file string, block long, lead binary")
+
+    def close(heads: pd.DataFrame, later: pd.DataFrame) -> pd.DataFrame:
+        later, out = later.sort_values("block"), []
+        for h in heads.itertuples():
+            text, row = bytearray(h.begun), [None] * 5
+            for x in later.itertuples():
+                if END in text:
+                    break
+                if x.block > h.block:
+                    text += x.lead
+            if END in text:
+                one = Heads()
+                one.add(row, bytes(text))
+            out.append((h.file, h.block, h.run, row[4]))
+        return pd.DataFrame(out, columns=["file", "block", "run", "step"]).astype({"step": "Int64"})
+
+    # a file's splits begin with headers or parts of payloads: as many short texts as the file has splits
+    return opened.groupBy("file").cogroup(leads.groupBy("file")).applyInPandas(close, "file string, block long, run long, step long")
+
+
 def reached(marks: DataFrame) -> DataFrame:
     """(file, at) of the candidates that the chain from offset 0 of their file reaches. marks: file, at, next.
 
@@ -192,12 +261,12 @@ def parse(raw: bytes, whole: bool = False) -> tuple | None:
     found = LENGTH.search(raw[:head]) if head >= 0 else None
     if not found:
         return None
-    start, length = head + len(END), int(found[1])
-    if start + length > len(raw) or whole and start + length + len(END) != len(raw):
+    start, length = head + len(END), number(found[1])
+    if length is None or start + length > len(raw) or whole and start + length + len(END) != len(raw):
         return None
     x = {k.decode().lower(): v.decode("utf-8", "replace") for k, v in FIELD.findall(raw[:head])}
     declared = x.get("warc-payload-length", "")
-    return x.get("warc-record-id"), x.get("warc-target-uri"), x.get("warc-type"), x.get("warc-payload-digest"), int(declared) if declared.isdecimal() else length, x.get("warc-refers-to"), raw[start : start + length]
+    return x.get("warc-record-id"), x.get("warc-target-uri"), x.get("warc-type"), x.get("warc-payload-digest"), number(declared) if declared.isdecimal() and number(declared) is not None else length, x.get("warc-refers-to"), raw[start : start + length]
 
 
 def batch_of(records: list[tuple], more: dict | None = None) -> pa.RecordBatch:

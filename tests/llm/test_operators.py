@@ -298,3 +298,29 @@ def test_equal_codes_are_compared_in_parts(spark, monkeypatch):
         found[i, j] = True
     want = np.bitwise_count(codes[:, None] ^ codes) <= 1
     assert (found == (want & (np.arange(150)[:, None] < np.arange(150)))).all()
+
+
+def test_warc_hostile_lengths(spark, tmp_path):
+    long = "WARC/1.0\r\nContent-Length: " + "9" * 20 + "\r\n\r\nabc"
+    bodies = [long, "WARC/1.0\r\nContent-Length: " + "7" * 5000 + "\r\n\r\nabc", "WARC/1.0\r\nContent-Length: 999999999999999\r\n\r\nabc", "WARC/1.0\r\nContent-Length: x\r\n\r\n", "plain"]
+    pages = spark.createDataFrame([(i, "http://a.org/" + "u" * (70_000 * (i == 2)), b) for i, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: (r.payload_digest, r.verified) for r in warc.round_trip(pages).collect()}
+    assert got == {i: (base64.b32encode(hashlib.sha1(b.encode()).digest()).decode(), True) for i, b in enumerate(bodies)}
+    warc.write_warc(pages, str(tmp_path / "a"), date="2024-01-02T03:04:05Z")
+    assert spark.read.text(str(tmp_path / "a")).where("value = 'WARC-Date: 2024-01-02T03:04:05Z'").count() == 5
+
+
+def test_warc_headers_over_split_ends(spark, tmp_path):
+    rows = []
+    with open(tmp_path / "a.warc", "wb") as f:
+        for i in range(120):
+            head = b"X: " + b"h" * (37 * i % 900) + b" WARC/1.0\r\nY: " + b"g" * (i % 50) + (b" WARC/1.0\r\nZ: " + b"k" * 700 if i % 3 == 0 else b"")
+            body = b"b" * (i * 53 % 400)
+            rows.append(body)
+            f.write(warc.MAGIC + b"WARC-Record-ID: %d\r\n%s\r\nContent-Length: %d\r\n\r\n" % (i, head, len(body)) + body + warc.END)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        got = {int(r.record_id): bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == dict(enumerate(rows))
