@@ -7,8 +7,6 @@ threshold of rejection are calibrated on training texts held back from the fit.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +21,6 @@ MAX_ROWS = 3_000
 STEPS, BATCH, GRAMS = 500, 64, 96
 #: Share of the held-back texts that are right among those not rejected.
 WANTED = 0.99
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit(texts: list[str], langs: list[str]):
@@ -75,11 +72,13 @@ def fit(texts: list[str], langs: list[str]):
 
 
 def train(docs: DataFrame, held, lang_col: str = "lang", max_rows: int = MAX_ROWS):
-    """Fits on a bounded sample of the rows of known language where `held` is not true; the sample alone comes to the driver."""
+    """Fits on a bounded sample of the rows of known language where `held` is not true; the sample alone comes to the driver.
+
+    Of rows of one id that with the least text is taken."""
     usable = F.coalesce(~held, F.lit(False)) & F.col(lang_col).isNotNull() & F.col("text").isNotNull()
     picked = sample_rows(docs.where(usable).select("doc_id").distinct(), F.col("doc_id"), max_rows)
     rows = docs.where(usable).select("doc_id", "text", lang_col).join(F.broadcast(picked), "doc_id", "left_semi")
-    got = sorted(rows.collect())[: 2 * max_rows]
+    got = sorted(rows.groupBy("doc_id").agg(F.min(F.struct("text", lang_col)).alias("r")).select("doc_id", "r.*").collect())
     return fit([r[1] for r in got], [r[2] for r in got])
 
 
@@ -96,7 +95,7 @@ def predict(docs: DataFrame, model, keep: list[str]) -> DataFrame:
         for batch in it:
             said, score = [], []
             for t in batch.column("_text").to_pylist():
-                if not t or not langs or not LETTER.search(t):
+                if not t or not langs or not any(map(str.isalpha, t)):
                     said.append("und")
                     score.append(0.0)
                     continue

@@ -79,14 +79,15 @@ def fit_segments(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, flo
 
 
 def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Fits on a bounded sample of the labelled rows where `held` (a column of docs) is not true. The sample alone comes to the driver."""
+    """Fits on a bounded sample of the labelled rows where `held` (a column of docs) is not true. The sample alone comes to the driver.
+
+    Of rows of one id that with the least text is taken."""
     named = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("_y"))
     named = named.groupBy("doc_id").agg(F.max("_y").alias("_y"))
     ids = docs.where(F.coalesce(~held, F.lit(False))).select("doc_id").join(named, "doc_id").distinct()
     picked = sample_rows(ids, F.col("doc_id"), max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi").join(F.broadcast(named.join(picked.select("doc_id"), "doc_id", "left_semi")), "doc_id")
-    got = sorted(rows.select("doc_id", F.coalesce("text", F.lit("")), "_y").collect())
-    got = got[: 2 * max_rows]
+    got = sorted(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))), F.max("_y")).collect())
     texts, labels_of = [r[1] for r in got], np.array([r[2] for r in got])
     del got
     return fit(texts, labels_of)
@@ -94,6 +95,17 @@ def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", ma
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], threshold: float = 0.7) -> DataFrame:
     """The columns `keep`, score (0 to 1) and predicted (1 from threshold on). Null or empty texts get the score of no n-gram but their ends."""
+    names, out = _scored(docs, model, keep, threshold)
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "score", "predicted")
+
+
+def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose score reaches the threshold; same columns, whatever their names."""
+    names, out = _scored(docs, model, docs.columns, threshold)
+    return out.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
+def _scored(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], threshold: float) -> tuple[dict[str, str], DataFrame]:
     batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = {c: f"_k{k}" for k, c in enumerate(keep)}
@@ -108,8 +120,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], thr
             p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names.values()), pa.array(p), pa.array((p >= threshold).astype("i4"))], [*names.values(), "score", "predicted"])
 
-    out = source.mapInArrow(run, f"{schema}, score double, predicted int")
-    return out.select(*(F.col(n).alias(c) for c, n in names.items()), "score", "predicted")
+    return names, source.mapInArrow(run, f"{schema}, score double, predicted int")
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
