@@ -77,8 +77,8 @@ def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(id_col, packed(bins(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("fingerprint"))
 
 
-def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
-    """rows (_id long, _text, more) with, for each of `carried`, next_<name> of the row that follows by descending _id, then _text; after the last the first. Null ids come last.
+def with_next(rows: DataFrame, derived: dict[str, Column], carried: list[str]) -> DataFrame:
+    """rows (_id long, _text) and the columns `derived` of them with, for each of `carried`, next_<name> of the row that follows by descending _id, then _text; after the last the first. Null ids come last.
 
     Rows are dealt to buckets of neighbouring ids; each bucket also gets a copy of the next bucket's first row."""
     spark = rows.sparkSession
@@ -108,9 +108,9 @@ def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     heads = dealt.join(F.broadcast(before), F.col("_id").eqNullSafe(F.col("_top")) & (F.col("_bucket") == F.col("_own")))
     firsts = heads.groupBy("_to").agg(F.min_by(F.struct(*rows.columns), F.col("_text")).alias("_row")).select(F.col("_to").alias("_bucket"), F.lit(1).alias("_extra"), "_row.*")
     w = Window.partitionBy("_bucket").orderBy("_extra", F.col("_id").desc_nulls_last(), "_text")
-    out = dealt.unionByName(firsts)
+    out = dealt.unionByName(firsts).withColumns(derived)
     out = out.select("*", F.lead(F.struct(*carried)).over(w).alias("_next")).where("_extra = 0")
-    return out.select(*rows.columns, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
+    return out.select(*rows.columns, *derived, *(F.col(f"_next.{c}").alias(f"next_{c}") for c in carried))
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -121,8 +121,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     followed by itself; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    rows = rows.withColumn("_bins", bins(F.col("_text")))
-    both = with_next(rows, ["_text", "_bins"])
+    both = with_next(rows, {"_bins": bins(F.col("_text"))}, ["_text", "_bins"])
     n = F.length("_text")
     tail = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring("_text", F.lit(1), n - tail), F.substring(F.col("next__text"), F.lit(1), tail))
