@@ -68,13 +68,14 @@ class WordCoder(WordTable):
         return Encoded(self.pool[place], np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds], sizes, words, bounds)
 
 
-def coder(path: str) -> WordCoder:
-    """One for each Python worker."""
+def coder(path: str, most: int = CACHED_WORDS) -> WordCoder:
+    """One for each Python worker, which keeps `most` words."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _coders:
         _coders[path] = WordCoder(path)
+    _coders[path].most = most
     return _coders[path]
 
 
