@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 #: The pattern of a word: a run of anything but ASCII white space (bytes.split() cuts alike).
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
+#: Rows of ids or hashes that are broadcast at most.
+SMALL_ROWS = 500_000
 _local: dict[str, str] = {}
 
 
@@ -40,6 +42,11 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
+    """A written table of few bytes a row, to be broadcast if it has no more than `rows` rows; else Spark chooses."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def batches(spark: SparkSession, rows: int = 500) -> None:
     """Keeps Arrow batches small, as texts may be very long."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:

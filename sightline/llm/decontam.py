@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordTable, batches, save, split_words
+from .common import WordTable, batches, counted, save, split_words
 
 #: Template tokens of a window; an item with fewer is one window of its own length.
 WINDOW = 8
@@ -306,4 +306,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     gone = save(matches(source, benchmark_windows(benchmark)).select(F.col("_id").alias("_sha")).distinct(), "leaks")
     own = [f"_c{k}" for k in range(len(docs.columns))]
     kept = docs.toDF(*own).withColumn("_sha", F.sha2(F.coalesce(F.col(own[docs.columns.index(text_col)]).cast("string"), F.lit("")), 256))
-    return kept.join(gone, "_sha", "left_anti").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))
+    return kept.join(counted(gone), "_sha", "left_anti").select(*(F.col(o).alias(c) for o, c in zip(own, docs.columns)))

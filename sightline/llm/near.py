@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, mix, save
+from .common import batches, counted, mix, save
 
 #: A first block with more rows than this, and than one part in HOT_PARTS of all rows, is split by SUB_BITS bits.
 HOT_ROWS, HOT_PARTS, SUB_BITS = 2_000, 20_000, 6
@@ -331,8 +331,8 @@ def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity
     doubt = doubt.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("weight", "u", "v")).alias("p"))
     doubt = save(doubt.select("a", "b", "p.u", "p.v"), "doubt")
     asked = doubt.select(F.col("u").alias("node")).unionByName(doubt.select(F.col("v").alias("node"))).distinct()
-    chosen = nodes.select("node", "_row").join(asked, "node", "left_semi")
-    texts = marked.select("_row", "_text").join(chosen, "_row")
+    chosen = save(nodes.select("node", "_row").join(asked, "node", "left_semi"), "asked")
+    texts = marked.select("_row", "_text").join(counted(chosen), "_row")
 
     def sets(it):
         for batch in it:
@@ -370,5 +370,5 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     given[names[text_at]] = F.when(~given.pop("_null"), F.col("_text")).cast(docs.schema[text_col].dataType)
     light = marked.select("_row", "node", given[names[at]].alias("_id")).join(alike_nodes(marked, tables, size, seed, similarity), "node", "left")
     first = light.groupBy(F.coalesce("root", "node").alias("group")).agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first"))
-    chosen = marked.join(first.select(F.col("first._row").alias("_row")), "_row", "left_semi")
-    return chosen.select(*(given[n].alias(c) for n, c in zip(names, docs.columns)))
+    dropped = save(light.select("_row").join(first.select(F.col("first._row").alias("_row")), "_row", "left_anti"), "dropped")
+    return marked.join(counted(dropped), "_row", "left_anti").select(*(given[n].alias(c) for n, c in zip(names, docs.columns)))

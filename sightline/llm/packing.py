@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import WordTable, batches, save, split_words
 
 #: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 800_000
 _coders: dict[str, "WordCoder"] = {}
 
 

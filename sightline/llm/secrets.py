@@ -14,6 +14,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import counted, save
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -140,7 +142,8 @@ def find_secrets(docs: DataFrame, keep: list[str], rules: list[Rule] | None = No
     source = docs.select(*(F.col(c).alias(n) for c, n in names.items()), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
     # the key only finds candidates: texts that share it by chance are verified in vain
     keyed = source.withColumn("_key", F.xxhash64(*([next(iter(names.values()))] if names else []), "_text"))
-    found = keyed.join(candidates(keyed.select("_key", "_text"), rules), "_key", "left")
+    held = save(candidates(keyed.select("_key", "_text"), rules), "candidates")
+    found = keyed.join(counted(held), "_key", "left")
     full = [r.kind for r in rules if not trigram_query(r.pattern)]
     each = [F.when(F.lit(True) if r.kind in full else F.coalesce(F.array_contains("_rules", r.kind), F.lit(False)), _spans(r, k)).otherwise(F.array().cast(NONE)) for k, r in enumerate(rules)]
     return found.select(*(F.col(n).alias(c) for c, n in names.items()), F.col("_text").alias("_scanned"), F.array_sort(F.concat(*each)).alias("spans"))
