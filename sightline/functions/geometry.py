@@ -53,3 +53,55 @@ def direction(dx: Column, dy: Column) -> Column:
 
 def size_label(m: Column) -> Column:
     return F.when(m < 0.1, "small").when(m < 0.3, "medium").otherwise("large")
+
+
+def corners(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    """x1, y1, x2, y2 of a box of left, top, width and height."""
+    return [x, y, x + w, y + h]
+
+
+def corners_of_centre(x: Column, y: Column, w: Column, h: Column) -> list[Column]:
+    return [x - w / 2, y - h / 2, x + w / 2, y + h / 2]
+
+
+def centre(box: list[Column]) -> tuple[Column, Column]:
+    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+
+
+def pixel(x: Column, size: int) -> Column:
+    """A share of the picture's size in whole pixels, cut off."""
+    return (x * size).cast("long")
+
+
+def position_text(box: list[Column], digits: int = 4) -> Column:
+    return F.format_string(f"position: [%.{digits}f, %.{digits}f]", *centre(box))
+
+
+def cosine(a: Column, b: Column, least: float = 1e-8) -> Column:
+    """Cosine similarity of two arrays of numbers."""
+    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + least)
+
+
+def heat_point(heat: Column, width: int) -> tuple[Column, Column]:
+    """Column and row of the first greatest value of a flattened map."""
+    at = F.array_position(heat, F.array_max(heat)) - 1
+    return at % width, F.floor(at / width)
+
+
+def sampled(k: Column, fps: float, sample_fps: float) -> Column:
+    """The video's frame of the k-th frame sampled, cut off."""
+    return F.floor(k * (fps / sample_fps))
+
+
+def chunks(n: Column, size: int, overlap: int) -> Column:
+    """array<struct<chunk, first_frame, last_frame>> (end exclusive) of n frames: each begins overlap frames before the last one's end."""
+    step = size - overlap
+    last = F.ceil(F.greatest(n - overlap, F.lit(1)) / step) - 1
+    return F.transform(F.sequence(F.lit(0).cast("long"), last), lambda c: F.struct(c.alias("chunk"), (c * step).alias("first_frame"), F.least(c * step + size, n.cast("long")).alias("last_frame")))
+
+
+def split_scene(start: Column, end: Column, longest: float) -> Column:
+    """array<struct<start_time, end_time>> of pieces of a scene, each of at most `longest` seconds."""
+    pieces = F.sequence(F.lit(0).cast("long"), F.ceil((end - start) / longest) - 1)
+    return F.transform(pieces, lambda k: F.struct((start + k * longest).alias("start_time"), F.least(start + (k + 1) * longest, end).alias("end_time")))

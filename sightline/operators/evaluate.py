@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import overlap_seconds
+from ..functions.geometry import frame_iou, overlap_seconds
 from .features import KEY
 from .timeline import banded
 
@@ -43,7 +43,121 @@ def scores(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
 
 
 def confusion(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """For each ground truth the prediction of any kind with the longest overlap (the first of equals): gt_type, pred_type (missed: null), n."""
+    """For each ground truth the prediction of any kind with the longest overlap (the first of equals): gt_type, pred_type, n.
+
+    Missed: pred_type null. A prediction that no ground truth takes is a false alarm: gt_type null."""
     pairs = candidates(gt, pred).where("seconds > 0")
-    best = pairs.groupBy(*KEY, F.col("b_gt_key").alias("gt_key")).agg(F.max_by("a_gesture_type", F.struct("seconds", -F.col("a_start_time"), -F.col("a_gesture_key"))).alias("pred_type"))
-    return gt.join(best, [*KEY, "gt_key"], "left").groupBy(F.col("gesture_type").alias("gt_type"), "pred_type").agg(F.count("*").alias("n"))
+    taken = F.max_by(F.struct(F.col("a_gesture_type").alias("pred_type"), F.col("a_gesture_key").alias("gesture_key")), F.struct("seconds", -F.col("a_start_time"), -F.col("a_gesture_key"))).alias("t")
+    best = pairs.groupBy(*KEY, F.col("b_gt_key").alias("gt_key")).agg(taken).select(*KEY, "gt_key", "t.*")
+    met = gt.select(*KEY, "gt_key", F.col("gesture_type").alias("gt_type")).join(best, [*KEY, "gt_key"], "left").select("gt_type", "pred_type")
+    false = pred.join(best.select(*KEY, "gesture_key").distinct(), [*KEY, "gesture_key"], "left_anti").select(F.lit(None).cast("string").alias("gt_type"), F.col("gesture_type").alias("pred_type"))
+    return met.unionByName(false).groupBy("gt_type", "pred_type").agg(F.count("*").alias("n"))
+
+
+def confusion_matrix(cells: DataFrame, kinds: list[str]) -> DataFrame:
+    """A row for each kind of ground truth (false alarms: null), a column for each kind predicted, and missed."""
+    named = cells.withColumn("pred_type", F.coalesce("pred_type", F.lit("missed")))
+    return named.groupBy("gt_type").pivot("pred_type", [*kinds, "missed"]).agg(F.sum("n")).na.fill(0, [*kinds, "missed"])
+
+
+#: Labels of gaze and the kinds of event that may stand for them.
+STANDS_FOR = {"mutual": ["mutual_gaze"], "share": ["joint_attention"], "refer": ["joint_attention", "gaze_following"]}
+#: Parts of a segment, in seconds.
+PARTS = [0, 40, 80, 120]
+
+
+def _key_of(c):
+    return F.regexp_replace(c, "[ .]", "_")
+
+
+def match_keys(videos: DataFrame, keys: DataFrame) -> DataFrame:
+    """videos (video_id) with gt_video: the key (column gt_video of keys) that is equal, else equal with blanks for
+    underscores, else the least of those equal with underscores for blanks and stops; null if there is none."""
+    loose = keys.groupBy(_key_of(F.col("gt_video")).alias("_loose")).agg(F.min("gt_video").alias("_third"))
+    own = keys.select("gt_video").distinct()
+    out = videos.join(own.withColumnRenamed("gt_video", "_first"), F.col("video_id") == F.col("_first"), "left")
+    out = out.join(own.withColumnRenamed("gt_video", "_second"), F.translate("video_id", "_", " ") == F.col("_second"), "left")
+    out = out.join(loose, _key_of(F.col("video_id")) == F.col("_loose"), "left")
+    return out.select(*videos.columns, F.coalesce("_first", "_second", "_third").alias("gt_video"))
+
+
+def local_times(events: DataFrame, segments: DataFrame) -> DataFrame:
+    """events with segment and local_time: of the segment that began last before or at their start; the first, and the
+    time as it is, if none did. segments: video_id, segment, offset_seconds."""
+    marks = segments.select(*KEY, F.col("offset_seconds").alias("_t"), F.lit(0).alias("_kind"), F.struct("segment", "offset_seconds").alias("_s"))
+    rows = events.withColumns({"_t": F.col("start_time").cast("double"), "_kind": F.lit(1), "_s": F.lit(None).cast(marks.schema["_s"].dataType)})
+    w = Window.partitionBy(*KEY).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_s", F.last("_s", ignorenulls=True).over(w)).where("_kind = 1")
+    return both.withColumns({"segment": F.coalesce("_s.segment", F.lit(1)), "local_time": F.col("start_time") - F.coalesce("_s.offset_seconds", F.lit(0.0))}).drop("_t", "_kind", "_s")
+
+
+def part_of(local):
+    """The part of a segment that a local time lies in, like `40-80s`; null beyond."""
+    out = F.when(F.lit(False), F.lit(""))
+    for a, z in zip(PARTS, PARTS[1:]):
+        out = out.when((local >= a) & (local < z), f"{a}-{z}s")
+    return out
+
+
+def scores_by_part(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """scores() for each part of the segments (column part of both sides), matched within the part."""
+    both = lambda d: d.where("part IS NOT NULL").withColumn("gesture_type", F.concat_ws("|", "part", "gesture_type"))
+    g, p = both(gt), both(pred)
+    out = scores(g, p, greedy_match(g, p)).where("gesture_type IS NOT NULL")
+    cut = F.split("gesture_type", "[|]", 2)
+    return out.withColumns({"part": cut[0], "gesture_type": cut[1]})
+
+
+def keep_matched(gestures: DataFrame, gt: DataFrame, n: int = 3) -> DataFrame:
+    """Gestures that match a ground truth of their kind, in order, one to one; in a video without any, a sample of n.
+    choice says which: gt_match or fallback_sample. Both sides on one clock."""
+    from .timeline import fallback_sample
+
+    found = greedy_match(gt, gestures).select(*KEY, "gesture_key")
+    kept = gestures.join(found, [*KEY, "gesture_key"], "left_semi").withColumn("choice", F.lit("gt_match"))
+    rest = gestures.join(found.select(*KEY).distinct(), KEY, "left_anti")
+    return kept.unionByName(fallback_sample(rest, n).drop("rank").withColumn("choice", F.lit("fallback_sample")))
+
+
+def match_gaze(gt: DataFrame, pred: DataFrame, least: float = 0.3) -> DataFrame:
+    """Each labelled segment in order takes the free event of a kind that stands for it with the best overlap in frames.
+
+    gt: video_id, gt_no, kind, start_frame, end_frame. pred: video_id, event_id, event_type, start_frame, end_frame.
+    Returns video_id, gt_no, kind, event_id, iou. Only pairs over the threshold are looked at one by one."""
+    stands = gt.sparkSession.createDataFrame([(k, e) for k, es in STANDS_FOR.items() for e in es], "kind string, event_type string")
+    band = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / 300), F.floor(F.col(z) / 300)))
+    a = gt.join(F.broadcast(stands), "kind").select(*KEY, "kind", "event_type", "gt_no", F.col("start_frame").alias("a1"), F.col("end_frame").alias("a2")).withColumn("_band", band("a1", "a2"))
+    b = pred.select(*KEY, "event_type", "event_id", F.col("start_frame").alias("b1"), F.col("end_frame").alias("b2")).withColumn("_band", band("b1", "b2"))
+    iou = frame_iou(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"))
+    pairs = a.join(b, [*KEY, "event_type", "_band"]).where((F.col("a1") <= F.col("b2")) & (F.col("b1") <= F.col("a2"))).select(*KEY, "gt_no", "kind", "event_id", iou.alias("iou")).where(F.col("iou") >= least).distinct()
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        done, used, out = set(), set(), []
+        for r in pdf.sort_values(["gt_no", "iou", "event_id"], ascending=[True, False, True]).itertuples(index=False):
+            if r.gt_no not in done and r.event_id not in used:
+                done.add(r.gt_no)
+                used.add(r.event_id)
+                out.append(r)
+        return pd.DataFrame(out, columns=pdf.columns)
+
+    return pairs.groupBy(*KEY).applyInPandas(take, pairs.schema)
+
+
+def gaze_counts(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """For each video: gt_segments and events that can match, and on which sides it occurs (both, gt, pred)."""
+    kinds = [e for es in STANDS_FOR.values() for e in es]
+    g = gt.groupBy(*KEY).agg(F.count_if(F.col("kind").isin(list(STANDS_FOR))).alias("gt_segments"))
+    p = pred.groupBy(*KEY).agg(F.count_if(F.col("event_type").isin(kinds)).alias("events"))
+    out = g.join(p, KEY, "full_outer")
+    return out.withColumn("side", F.when(F.col("events").isNull(), "gt").when(F.col("gt_segments").isNull(), "pred").otherwise("both")).na.fill(0, ["gt_segments", "events"])
+
+
+def gaze_scores(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
+    """Counts, precision, recall, F1 and mean overlap for each video of both sides, and in all (video_id null): summed counts,
+    and the mean of the videos' overlaps above 0."""
+    found = matched.groupBy(*KEY).agg(F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"))
+    each = gaze_counts(gt, pred).where("side = 'both'").drop("side").join(found, KEY, "left").na.fill(0, ["matched", "mean_iou"])
+    whole = each.agg(F.lit(None).cast("string").alias("video_id"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("gt_segments", "events", "matched")), F.coalesce(F.avg(F.when(F.col("mean_iou") > 0, F.col("mean_iou"))), F.lit(0.0)).alias("mean_iou"))
+    ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
+    out = each.unionByName(whole).withColumns({"precision": ratio(F.col("matched"), F.col("events")), "recall": ratio(F.col("matched"), F.col("gt_segments"))})
+    return out.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))

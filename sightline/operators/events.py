@@ -94,3 +94,9 @@ def all_events(rows: DataFrame, frames: DataFrame) -> DataFrame:
     each = [sudden_gaze_shifts(rows), joint_attention(rows, frames), gaze_following(rows), attention_capture(rows), mutual_gaze(rows)]
     w = Window.partitionBy(*KEY).orderBy("start_time", "event_id")
     return reduce(DataFrame.unionByName, each).withColumn("place", F.row_number().over(w) - 1)
+
+
+def candidates(events: DataFrame, least: float = 0.75, n: int = 15) -> DataFrame:
+    """The n most confident events of each video, from `least` confidence on, with their rank."""
+    w = Window.partitionBy(*KEY).orderBy(F.col("confidence").desc(), "start_time", "event_id")
+    return events.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)

@@ -119,6 +119,18 @@ def filter_timeline(timeline: DataFrame, proximity: float = 3.0, n: int = 25) ->
     return cap(drop_doubles(timeline, protected), n)
 
 
+def summary(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """For each video: gaze_events, gestures, pairs, first start, last end and the length estimated from it."""
+    counts = pairs.groupBy(*KEY).agg(F.count("*").alias("pairs"))
+    out = rows.groupBy(*KEY).agg(F.count_if(F.col("source") == "gaze").alias("gaze_events"), F.count_if(F.col("source") == "gesture").alias("gestures"), F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end"), (F.max("end_time") + 5).alias("duration"))
+    return out.join(counts, KEY, "left").na.fill(0, ["pairs"])
+
+
+def person_ids(rows: DataFrame) -> DataFrame:
+    """The persons of each video's timeline, sorted."""
+    return rows.select(*KEY, F.explode("persons").alias("p")).groupBy(*KEY).agg(F.array_sort(F.collect_set("p")).alias("persons"))
+
+
 def active_at(frames: DataFrame, events: DataFrame) -> DataFrame:
     """Events that are on at a frame's time, both ends included. frames: pos, ts; events: item, start_time, end_time."""
     spans = events.select(*KEY, "item", "start_time", "end_time", F.explode(F.sequence(F.floor(F.col("start_time") / BAND), F.floor(F.col("end_time") / BAND))).alias("_band"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events, features
+from ..session import save
 from ..sources import adapters
 
 QUERIES, ORACLE = {}, {}
@@ -185,8 +186,8 @@ def e6_mutual_gaze(spark, sf_dir):
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.features(gaze(spark, sf_dir))
-    return events.all_events(rows, features.frame_features(rows))
+    rows = save(features.features(gaze(spark, sf_dir)), "features")  # five detectors read them
+    return events.all_events(rows, save(features.frame_features(rows), "frames"))
 
 
 @query(f"{ALL} select {TOLD} from every")
@@ -201,7 +202,4 @@ def a6_event_counts(spark, sf_dir):
 
 @query(f"{ALL}, t as (select *, row_number() over (partition by video_id order by confidence desc, start_time, event_id) rank from every where confidence >= 75e-2) select video_id, cast(event_id as bigint) event_id, rank from t where rank <= 15")
 def t4_candidates(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("video_id").orderBy(F.col("confidence").desc(), "start_time", "event_id")
-    return detected(spark, sf_dir).where("confidence >= 0.75").withColumn("rank", F.row_number().over(w).cast("long")).where("rank <= 15").select("video_id", "event_id", "rank")
+    return events.candidates(detected(spark, sf_dir)).select("video_id", "event_id", "rank")

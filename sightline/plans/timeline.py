@@ -93,14 +93,15 @@ def e9_filter_timeline(spark, sf_dir):
     return timeline.filter_timeline(merged(spark, sf_dir)).select("video_id", F.col("place").cast("long").alias("place"), "source", "item", "protected")
 
 
-@query(f"{BASE} select video_id, count(*) filter (source = 'gaze') gaze_events, count(*) filter (source = 'gesture') gestures, min(start_time) first_start, max(end_time) last_end, max(end_time) + 5 duration from tl group by video_id")
+@query(f"{BASE}, pc as (select video_id, count(*) n from pairs group by 1) select video_id, count(*) filter (source = 'gaze') gaze_events, count(*) filter (source = 'gesture') gestures, coalesce(max(n), 0) pairs, min(start_time) first_start, max(end_time) last_end, max(end_time) + 5 duration from tl left join pc using (video_id) group by video_id")
 def a18_graph_summary(spark, sf_dir):
-    return merged(spark, sf_dir).groupBy("video_id").agg(F.count_if(F.col("source") == "gaze").alias("gaze_events"), F.count_if(F.col("source") == "gesture").alias("gestures"), F.min("start_time").alias("first_start"), F.max("end_time").alias("last_end"), (F.max("end_time") + 5).alias("duration"))
+    rows = merged(spark, sf_dir)
+    return timeline.summary(rows, timeline.cross_modal_pairs(rows))
 
 
 @query(f"{BASE} select video_id, array_to_string(list_sort(list(distinct p)), ',') persons from (select video_id, unnest(persons) p from tl) group by video_id")
 def a19_person_ids(spark, sf_dir):
-    return merged(spark, sf_dir).select("video_id", F.explode("persons").alias("p")).groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_set("p")), ",").alias("persons"))
+    return timeline.person_ids(merged(spark, sf_dir)).withColumn("persons", F.array_join("persons", ","))
 
 
 @query(f"{BASE}, g as (select distinct video_id, dense_rank() over (partition by video_id order by frame_pos) - 1 pos, ts from ({adapters.sql(adapters.GAZE)})) select g.video_id, pos, gesture_key item from g join s on s.video_id = g.video_id and ts between start_time and end_time")
@@ -109,7 +110,7 @@ def j16_active_events(spark, sf_dir):
     return timeline.active_at(frames, gestures(spark, sf_dir).withColumnRenamed("gesture_key", "item"))
 
 
-@query(f"{BASE}, c as (select gt.video_id, gt.gt_key, s.gesture_type, s.start_time, s.gesture_key, least(gt.end_time, s.end_time) - greatest(gt.start_time, s.start_time) sec from gt join s on s.video_id = gt.video_id and s.start_time < gt.end_time and gt.start_time < s.end_time), b as (select *, row_number() over (partition by video_id, gt_key order by sec desc, start_time, gesture_key) r from c) select gt.gesture_type gt_type, b.gesture_type pred_type, count(*) n from gt left join b on b.video_id = gt.video_id and b.gt_key = gt.gt_key and r = 1 group by all")
+@query(f"{BASE}, c as (select gt.video_id, gt.gt_key, s.gesture_type, s.start_time, s.gesture_key, least(gt.end_time, s.end_time) - greatest(gt.start_time, s.start_time) sec from gt join s on s.video_id = gt.video_id and s.start_time < gt.end_time and gt.start_time < s.end_time), b as (select *, row_number() over (partition by video_id, gt_key order by sec desc, start_time, gesture_key) r from c), m as (select gt.gesture_type gt_type, b.gesture_type pred_type from gt left join b on b.video_id = gt.video_id and b.gt_key = gt.gt_key and r = 1 union all select null, gesture_type from s where not exists (select 1 from b where r = 1 and b.video_id = s.video_id and b.gesture_key = s.gesture_key)) select gt_type, pred_type, count(*) n from m group by all")
 def a13_confusion(spark, sf_dir):
     return evaluate.confusion(gt(spark, sf_dir), gestures(spark, sf_dir))
 
@@ -138,11 +139,6 @@ def a9_person_counts(spark, sf_dir):
     return reports.person_counts(gaze(spark, sf_dir))
 
 
-@query("with f as (select cast(floor(event_id/500) as bigint) video, event_id % 500 frame, case event_type when 'view' then 'mutual' when 'click' then 'share' when 'signup' then 'refer' when 'purchase' then 'single' else 'none' end kind from events where event_id % 7 < 5), g as (select *, lag(frame) over (partition by video order by frame) lf, lag(kind) over (partition by video order by frame) lk from f), i as (select *, sum(case when lf is null or lk <> kind or frame - lf > 5 then 1 else 0 end) over (partition by video order by frame) isl from g) select video, kind, min(frame) first_frame, max(frame) last_frame, count(*) frames from i where kind <> 'none' group by video, kind, isl having count(*) >= 2")
-def w10_label_segments(spark, sf_dir):
-    return reports.label_segments(spark.read.parquet(f"{sf_dir}/events.parquet"))
-
-
 @query("select s_nationkey video, s_suppkey segment, coalesce(sum(case when s_acctbal >= 0 then 60 + s_suppkey % 60 else 120 end) over (partition by s_nationkey order by s_suppkey rows between unbounded preceding and 1 preceding), 0) + 0e0 offset_seconds from supplier")
 def w8_segment_offsets(spark, sf_dir):
     from ..operators.islands import offsets

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: What the jobs expect of a session; each can be set otherwise.
 SETTINGS = {
@@ -37,3 +38,22 @@ def prepare(spark: SparkSession) -> SparkSession:
         spark.conf.set(k, v)
     ship(spark)
     return spark
+
+
+_local: dict[str, str] = {}
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new folder in that of spark.checkpoint.dir; only where that is unset (tests), in a local one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        app = spark.sparkContext.applicationId
+        root = _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="spark-"))
+    return f"{root.rstrip('/')}/sightline/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame, name: str) -> DataFrame:
+    """df written in the shared folder and read back, where several queries read it."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
