@@ -32,7 +32,7 @@ CONSISTENT = 0.8
 #: Bits of a window's hash that number its bucket.
 BUCKET_BITS = 22
 #: Words that a Python worker keeps.
-CACHED_WORDS = 300_000
+CACHED_WORDS = 100_000
 
 NUMBER = re.compile(r"^[+-]?[$€£]?\d+(?:[.,:/]\d+)*%?$")
 MEASURE = re.compile(r"^([+-]?[$€£]?\d+(?:[.,]\d+)*)([A-Za-z°µ]{1,5})$")
