@@ -25,7 +25,9 @@ LEAF, FRONTIER = 64, 200_000
 #: Pairs of members that are compared at once.
 LEAVES = 2_000_000
 #: Similarity estimates are taken as they are from SURE above the threshold on, and checked from as much below it.
-SURE, CHECKED = 0.1, 0.13
+SURE, CHECKED = 0.14, 0.15
+#: Words of 64 bits by which a trie estimates its pairs, others in each trie.
+ESTIMATED = 4
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -127,11 +129,11 @@ class Forest:
         return np.array(new, "i8")
 
 
-def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFrame:
+def trie_links(codes: DataFrame, bits: int, budget: int, alike=None, more=lambda t: F.array().cast("array<long>")) -> DataFrame:
     """Links between nodes by self-joins of tries: (u, v, weight), in each task a spanning forest of what it finds.
 
     codes: node long, codes array<long> (for each trie a code in the top `bits` bits), more array<long>. alike: a
-    function of two arrays of rows of `more` that gives each pair's weight; those of 1 count before the others, greater
+    function of two arrays of rows of more(t), columns of longs that the t-th trie gets, that gives each pair's weight; those of 1 count before the others, greater
     weights before lesser ones, those of 0 not at all. Without it all pairs within the budget weigh 1.
     """
     widths = [bits // (budget + 1) + (k < bits % (budget + 1)) for k in range(budget + 1)]
@@ -146,7 +148,8 @@ def trie_links(codes: DataFrame, bits: int, budget: int, alike=None) -> DataFram
 
         return F.array(*(F.struct(F.lit(r).alias("r"), turn(r).alias("code")) for r in range(budget + 1)))
 
-    rows = codes.select("node", "more", F.posexplode("codes").alias("t", "c")).select("node", "more", "t", F.inline(views(F.col("c"))))
+    rows = codes.select("node", F.posexplode("codes").alias("t", "c")) if alike is None else codes.select("node", "more", F.posexplode("codes").alias("t", "c"))
+    rows = rows.select("node", more(F.col("t")).alias("more"), "t", F.inline(views(F.col("c"))))
     first = F.expr(f"shiftrightunsigned(code, CASE r {' '.join(f'WHEN {r} THEN {64 - w}' for r, w in enumerate(widths))} END)")
     rows = rows.withColumn("block", first)
     counts = rows.groupBy("t", "r", "block").count()
@@ -313,7 +316,6 @@ def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity
     Pairs that their bits show to be well over the threshold are linked; of those near it, the likeliest pair between
     two groups is checked by its texts' sets of shingles."""
     words = tables // 2
-    kept = max(2, tables // 3)  # words of bits that go into the tries' tasks
     nodes = marked.groupBy("node").agg(F.min("more").alias("more"), F.min("_row").alias("_row")).where(F.col("more")[words] > 0)
     halves = F.flatten(F.transform(F.slice("more", 1, words), lambda x: F.array(x.bitwiseAND(F.lit(-1 << 32)), F.shiftleft(x, 32))))
     sure, least = min(similarity + SURE, 1.0), similarity - CHECKED
@@ -322,8 +324,11 @@ def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity
         j = estimate(p, q)
         return np.where(j >= sure, 1.0, np.where(j >= least, np.minimum(j, 0.999), 0.0))
 
-    some = F.concat(F.slice("more", 1, kept), F.slice("more", words + 1, 1))
-    links = save(trie_links(nodes.select("node", halves.alias("codes"), some.alias("more")), 32, 2, weight), "links")
+    def some(t):
+        """The words after that which has the trie's own code, and the size of the set."""
+        return F.array(*(F.get("more", (F.floor(t / 2) + 1 + k) % words) for k in range(min(ESTIMATED, words))), F.get("more", F.lit(words)))
+
+    links = save(trie_links(nodes.select("node", halves.alias("codes"), "more"), 32, 2, weight, some), "links")
     groups = components(links.where("weight = 1"), "sure")
     root = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     doubt = links.where("weight < 1").join(root("u"), "u", "left").join(root("v"), "v", "left")
