@@ -5,11 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zlib
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -110,35 +110,45 @@ def split_words(texts: pa.Array, lower: bool = True, as_is: str | None = None) -
     return words, bounds
 
 
+def hashes_of(words: list[str]) -> np.ndarray:
+    """XXH64 of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), "u8", len(words))
+
+
 class WordTable:
     """What a Python worker knows of words: for each a row of numbers, laid one after the other in a pool.
 
-    A subclass says in learn() what a new word's numbers are. Of more than `most` words the half used least is forgotten."""
+    Words are known by 64-bit hashes, kept in order, at some 40 bytes a word; a new word among a million is taken for
+    another with a chance of 5e-14. A subclass says in learn() what a new word's numbers are. Of more than `most` words
+    the half used least is forgotten."""
 
     def __init__(self, kind: np.dtype, most: int):
         self.kind, self.most = np.dtype(kind), most
         self.forget()
 
     def forget(self) -> None:
-        self.row: dict[str, int] = {}
+        self.size_known, self.keys, self.rows = 0, np.zeros(0, "u8"), np.zeros(0, "i4")
         self.pool, self.filled = np.zeros(1 << 16, self.kind), 0
         self.start, self.count, self.uses = np.zeros(1 << 16, "i8"), np.zeros(1 << 16, "i4"), np.zeros(1 << 16, "i8")
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str], hashes: np.ndarray) -> None:
         raise NotImplementedError
 
-    def add(self, words: list[str], numbers: np.ndarray, count: np.ndarray) -> None:
-        """Words with their numbers, one after the other, and how many of them are each word's."""
-        n = len(self.row)
-        while n + len(words) > len(self.start):
+    def add(self, hashes: np.ndarray, numbers: np.ndarray, count: np.ndarray) -> None:
+        """Hashes of new words with their numbers, one after the other, and how many of them are each word's."""
+        n, m = self.size_known, len(hashes)
+        while n + m > len(self.start):
             self.start, self.count, self.uses = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count, self.uses))
         while self.filled + len(numbers) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
         self.pool[self.filled : self.filled + len(numbers)] = numbers
-        self.start[n : n + len(words)] = self.filled + np.cumsum(count) - count
-        self.count[n : n + len(words)] = count
+        self.start[n : n + m] = self.filled + np.cumsum(count) - count
+        self.count[n : n + m] = count
         self.filled += len(numbers)
-        self.row.update(zip(words, range(n, n + len(words))))
+        order = np.argsort(hashes, kind="stable")
+        at = np.searchsorted(self.keys, hashes[order])
+        self.keys, self.rows = np.insert(self.keys, at, hashes[order]), np.insert(self.rows, at, n + order)
+        self.size_known = n + m
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The places in the pool of words' numbers in a row, and how many are each word's."""
@@ -148,27 +158,37 @@ class WordTable:
         place += np.arange(len(place))
         return place, count
 
-    def places(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.row.__getitem__, words), "i8", len(words))
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The row of each word, -1 if it isn't known."""
+        out = np.full(len(hashes), -1, "i8")
+        if len(self.keys):
+            order = np.argsort(hashes)  # neighbours are found near each other
+            sought = hashes[order]
+            near = np.minimum(np.searchsorted(self.keys, sought), len(self.keys) - 1)
+            same = self.keys[near] == sought
+            out[order[same]] = self.rows[near[same]]
+        return out
 
     def trim(self) -> None:
-        n = len(self.row)
+        n = self.size_known
         kept = np.sort(np.argsort(-self.uses[:n], kind="stable")[: self.most // 2])
         place, count = self.gather(kept)
-        words, uses, numbers = np.fromiter(self.row, object, n)[kept].tolist(), self.uses[kept], self.pool[place]
+        keys = np.empty(n, "u8")
+        keys[self.rows] = self.keys
+        keys, uses, numbers = keys[kept], self.uses[kept], self.pool[place]
         self.forget()
-        self.add(words, numbers, count)
-        self.uses[: len(words)] = uses // 2
+        self.add(keys, numbers, count)
+        self.uses[: len(keys)] = uses // 2
 
-    def of(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray]:
-        """gather() of all words of a batch, in order; only distinct words are looked up."""
-        if len(self.row) > self.most:
+    def of(self, words: pa.DictionaryArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """gather() of all words of a batch, in order, and the hashes of the distinct ones; only these are looked up."""
+        if self.size_known > self.most:
             self.trim()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        rows, at = np.fromiter(map(self.row.get, distinct, repeat(-1)), "i8", len(distinct)), words.indices.to_numpy()
+        distinct, at = words.dictionary.to_numpy(zero_copy_only=False).tolist(), words.indices.to_numpy()
+        hashes = hashes_of(distinct)
+        rows = self.find(hashes)
         if len(unknown := np.flatnonzero(rows < 0)):
-            new = [distinct[k] for k in unknown.tolist()]
-            self.learn(new)
-            rows[unknown] = self.places(new)
+            self.learn([distinct[k] for k in unknown.tolist()], hashes[unknown])
+            rows[unknown] = self.find(hashes[unknown])
         self.uses[rows] += np.bincount(at, minlength=len(rows))
-        return self.gather(rows[at])
+        return *self.gather(rows[at]), hashes

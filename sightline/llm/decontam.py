@@ -80,15 +80,15 @@ class Templates(WordTable):
     def trim(self) -> None:
         self.forget()
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str], hashes: np.ndarray) -> None:
         found = [pieces(w) for w in new]
         flat = [x for tokens in found for x in tokens]
         self.values.update((self.filled + k, v) for k, (_, v) in enumerate(flat) if v)
-        self.add(new, np.fromiter((code(t) for t, _ in flat), "u8", len(flat)), np.fromiter(map(len, found), "i4", len(found)))
+        self.add(hashes, np.fromiter((code(t) for t, _ in flat), "u8", len(flat)), np.fromiter(map(len, found), "i4", len(found)))
 
     def lay(self, texts: pa.Array) -> "Laid":
         words, bounds = split_words(texts, lower=False)
-        place, sizes = self.of(words)
+        place, sizes, _ = self.of(words)
         at = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds]
         codes = self.pool[place]
         first = np.ones(len(codes), bool)

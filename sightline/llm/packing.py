@@ -17,23 +17,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, batches, save, split_words
+from .common import WordTable, batches, hashes_of, save, split_words
 
 #: Words whose ids a Python worker keeps; beyond that the half that was used least is forgotten and encoded again.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_000_000
 _coders: dict[str, "WordCoder"] = {}
 
 
 @dataclass
 class Encoded:
     """Ids of a batch of texts in a row: text k has ids[at[k] : at[k + 1]]; sizes: the number of ids of each
-    word; words and bounds: as split_words() gives them."""
+    word; words and bounds: as split_words() gives them; hashes: of the distinct words."""
 
     ids: np.ndarray
     at: np.ndarray
     sizes: np.ndarray
     words: pa.DictionaryArray
     bounds: np.ndarray
+    hashes: np.ndarray
 
 
 class WordCoder(WordTable):
@@ -48,34 +49,37 @@ class WordCoder(WordTable):
         self.size = self.coder.get_vocab_size(with_added_tokens=True)
         super().__init__("<u2" if self.size <= 1 << 16 else "<u4", CACHED_WORDS)
 
-    def learn(self, new: list[str]) -> None:
+    def learn(self, new: list[str], hashes: np.ndarray) -> None:
         # a comma or stop after a letter is a piece of its own
-        marked = [w for w in new if w.endswith((".", ",")) and w[-2:-1].isascii() and w[-2:-1].isalpha()]
-        plain = [w for w in {w[:-1] for w in marked}.union(".,") if w not in self.row]
-        plain = list(set(plain).union(new).difference(marked))
+        split = np.fromiter((w.endswith((".", ",")) and w[-2:-1].isascii() and w[-2:-1].isalpha() for w in new), bool, len(new))
+        marked = [new[k] for k in np.flatnonzero(split).tolist()]
+        plain = list({w[:-1] for w in marked}.union(".,").difference(new))
+        own = hashes_of(plain)
+        unknown = np.flatnonzero(self.find(own) < 0)
+        plain = [plain[k] for k in unknown.tolist()] + [new[k] for k in np.flatnonzero(~split).tolist()]
+        own = np.concatenate([own[unknown], hashes[~split]])
         for k in range(0, len(plain), 20_000):
-            part = plain[k : k + 20_000]
-            found = [e.ids for e in self.coder.encode_batch_fast(part, add_special_tokens=False)]
+            found = [e.ids for e in self.coder.encode_batch_fast(plain[k : k + 20_000], add_special_tokens=False)]
             count = np.fromiter(map(len, found), "i4", len(found))
-            self.add(part, np.fromiter(chain.from_iterable(found), self.kind, int(count.sum())), count)
-        place, count = self.gather(np.stack([self.places([w[:-1] for w in marked]), self.places([w[-1] for w in marked])], 1).ravel())
-        self.add(marked, self.pool[place], count.reshape(-1, 2).sum(1, dtype="i4"))
+            self.add(own[k : k + 20_000], np.fromiter(chain.from_iterable(found), self.kind, int(count.sum())), count)
+        parts = np.stack([self.find(hashes_of([w[:-1] for w in marked])), self.find(hashes_of([w[-1] for w in marked]))], 1)
+        place, count = self.gather(parts.ravel())
+        self.add(hashes[split], self.pool[place], count.reshape(-1, 2).sum(1, dtype="i4"))
 
     def encode(self, texts: pa.Array) -> Encoded:
         # A-Z may be lower-cased first, as the tokenizer does; but not in what may be a special token
         words, bounds = split_words(texts, as_is="<|")
-        place, sizes = self.of(words)
-        return Encoded(self.pool[place], np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds], sizes, words, bounds)
+        place, sizes, hashes = self.of(words)
+        return Encoded(self.pool[place], np.concatenate([[0], np.cumsum(sizes, dtype="i8")])[bounds], sizes, words, bounds, hashes)
 
 
-def coder(path: str, most: int = CACHED_WORDS) -> WordCoder:
-    """One for each Python worker, which keeps `most` words."""
+def coder(path: str) -> WordCoder:
+    """One for each Python worker."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     if path not in _coders:
         _coders[path] = WordCoder(path)
-    _coders[path].most = most
     return _coders[path]
 
 
