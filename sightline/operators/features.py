@@ -140,3 +140,8 @@ def person_summary(obs: DataFrame) -> DataFrame:
     """First and last frame, length, and shares of rows with a face and with a gaze in frame, in percent."""
     share = lambda c: F.bround(100.0 * F.count_if(c) / F.count("*"), 1)
     return obs.groupBy(*KEY, "person_id").agg(F.min("frame_idx").alias("first_frame"), F.max("frame_idx").alias("last_frame"), F.countDistinct("frame_idx").alias("track_length"), share(F.col("face_detected")).alias("face_pct"), share(F.col("valid")).alias("inframe_pct"))
+
+
+def high_convergence(frames: DataFrame, least: float = 0.7, faces: int = 2) -> DataFrame:
+    """Frames of two faces or more whose gaze converges."""
+    return frames.where((F.col("convergence") > least) & (F.col("num_faces") >= faces))

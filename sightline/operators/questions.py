@@ -210,3 +210,41 @@ def clip_questions(questions: DataFrame) -> DataFrame:
         *KEY, "clip_name", F.round(offset, 2).alias("clip_offset"), F.round(F.col("clip_end") - offset, 2).alias("clip_duration"), "format", shift_times(F.col("question"), offset).alias("question"),
         shifted("answer").alias("answer"), F.coalesce(chosen, shifted("answer_text")).alias("answer_text"), F.col("_options").alias("options"), F.array(F.round(start - offset, 2), F.round(end - offset, 2)).alias("time_range"),
     )
+
+
+def prompt_routes(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """video_id, prompt: the prompts that a video's density of events calls for.
+
+    events: video_id, source (gaze or gesture), event_type, target_type, target_person_id; pairs: video_id, a row for each
+    pair across both. Null or other sources count for nothing; a video without events has no prompts."""
+    gaze, gesture = F.col("source") == "gaze", F.col("source") == "gesture"
+    counts = events.groupBy("video_id").agg(
+        F.count_if(gaze).alias("g"), F.count_if(gesture).alias("h"), F.count_if(gaze & F.col("event_type").isin("joint_attention", "attention_capture")).alias("open"),
+        F.count_if(gesture & (F.col("target_type") == "person") & F.col("target_person_id").isNotNull()).alias("people"),
+    )
+    n = pairs.groupBy("video_id").agg(F.count("*").alias("n"))
+    g, h, both = F.col("g"), F.col("h"), (F.col("g") > 0) & (F.col("h") > 0) & (F.col("n") >= 2)
+    rules = {"prompt_A": (g > 0) & (g <= 2), "prompt_B": g > 2, "prompt_B_OE": (g > 2) & (F.col("open") > 0), "prompt_C": (h > 0) & (h <= 3), "prompt_D": h > 3, "prompt_D_OE": (h > 3) & (F.col("people") >= 2), "prompt_E": both, "prompt_E_OE": both}
+    names = F.array(*(F.when(rule, F.lit(name)) for name, rule in rules.items()))
+    return counts.join(n, "video_id", "left").select("video_id", F.explode(F.array_compact(names)).alias("prompt"))
+
+
+#: What each kind of event means, as a checker is told.
+MEANINGS = {
+    "sudden_gaze_shift": "A person suddenly changed where they're looking",
+    "joint_attention": "Multiple people looking at the same target",
+    "gaze_following": "One person looks where another person is looking",
+    "attention_capture": "One person's action caused others to look at them",
+    "mutual_gaze": "Two people looking at each other",
+}
+
+
+def event_texts(events: DataFrame) -> DataFrame:
+    """Adds text, what a checker is told of an event: kind and meaning (the kind itself if it has none), times, persons.
+
+    events: event_type (null: unknown), start_time, end_time (null: 0), persons (array)."""
+    kind = F.coalesce("event_type", F.lit("unknown"))
+    meaning = F.coalesce(F.create_map(*(F.lit(x) for kv in MEANINGS.items() for x in kv))[kind], kind)
+    seconds = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    people = F.array_join(F.transform("persons", lambda p: F.concat(F.lit("P"), p.cast("string"))), ", ")
+    return events.withColumn("text", F.format_string("Type: %s = %s; time: %.2fs - %.2fs; persons: %s", kind, meaning, seconds("start_time"), seconds("end_time"), F.coalesce(people, F.lit(""))))

@@ -156,3 +156,83 @@ def auc(rows: DataFrame) -> DataFrame:
     pos, neg = F.sum("p"), F.sum("n")
     area = F.sum(F.col("n") * (F.col("above") + F.col("p") / 2)) / (pos * neg)
     return at.agg(area.alias("auc"), (F.sum(F.col("p") * F.col("tp") / F.col("seen")) / pos).alias("average_precision"))
+
+
+class Faces:
+    """Who is tracked in a video: last box, smoothed embedding and frame last seen by id; and those gone, by embedding.
+
+    place() takes a frame's detections at a time. A track not seen for more than `patience` frames is gone; its id comes
+    back with a face that is alike (cosine distance under `far`)."""
+
+    def __init__(self, patience: int, overlap: float = 0.3, far: float = 0.7, looks: float = 0.4, kept: float = 0.7):
+        self.patience, self.overlap, self.far, self.looks, self.kept = patience, overlap, far, looks, kept
+        self.live: dict[int, list] = {}
+        self.gone: dict[int, np.ndarray] = {}
+        self.fresh = 0
+
+    def place(self, frame: int, boxes: np.ndarray, looks: list[np.ndarray | None]) -> list[int]:
+        """The id of each detection of a frame; frames come in order."""
+        for k in [k for k, (_, _, seen) in self.live.items() if frame - 1 - seen > self.patience]:
+            if self.live[k][1] is not None:
+                self.gone[k] = self.live[k][1]
+            del self.live[k]
+        ids, out = list(self.live), [-1] * len(boxes)
+        if ids:
+            fit = _fits(np.stack([self.live[k][0] for k in ids]), boxes)
+            apart = np.array([[_apart(self.live[k][1], x) for x in looks] for k in ids])
+            both = np.array([[self.live[k][1] is not None and x is not None for x in looks] for k in ids])
+            cost = np.where(both, (1 - self.looks) * (1 - fit) + self.looks * apart, 1 - fit)
+            for a, b in assign(cost, np.inf):
+                if fit[a, b] >= self.overlap or (looks[b] is not None and apart[a, b] < self.far):
+                    old = self.live[ids[a]][1]
+                    mean = old if looks[b] is None else looks[b] if old is None else self.kept * old + (1 - self.kept) * looks[b]
+                    self.live[ids[a]], out[b] = [boxes[b], mean, frame], ids[a]
+        for b in [b for b, k in enumerate(out) if k < 0]:
+            out[b] = self._named(looks[b])
+            self.live[out[b]] = [boxes[b], looks[b], frame]
+        return out
+
+    def _named(self, look: np.ndarray | None) -> int:
+        if look is not None and self.gone:
+            k = min(self.gone, key=lambda k: _apart(look, self.gone[k]))
+            if _apart(look, self.gone[k]) < self.far:
+                del self.gone[k]
+                return k
+        self.fresh += 1
+        return self.fresh - 1
+
+
+def _fits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of each box of a with each of b."""
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    shared = np.prod(np.maximum(high - low, 0), axis=2)
+    whole = np.prod(a[:, 2:] - a[:, :2], axis=1)[:, None] + np.prod(b[:, 2:] - b[:, :2], axis=1)[None] - shared
+    return np.where(whole > 0, shared / np.where(whole > 0, whole, 1), 0.0)
+
+
+def _apart(a: np.ndarray | None, b: np.ndarray | None) -> float:
+    """Cosine distance, 1 where an embedding is missing."""
+    if a is None or b is None:
+        return 1.0
+    return 1 - float(a @ b) / ((float(np.linalg.norm(a)) + 1e-8) * (float(np.linalg.norm(b)) + 1e-8))
+
+
+TRACKED = "video_id string, frame long, det_id long, face_id long"
+
+
+def placed(faces: Faces, pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of TRACKED for the detections of a video, frame by frame."""
+    pdf = pdf.sort_values(["frame", "det_id"])
+    ids = []
+    for frame, rows in pdf.groupby("frame", sort=True):
+        looks = [None if x is None else np.asarray(x, "f8") for x in rows["embedding"]]
+        ids += faces.place(int(frame), rows[BOX].to_numpy("f8"), looks)
+    return pdf[["video_id", "frame", "det_id"]].assign(face_id=np.array(ids, "i8"))
+
+
+def track_faces(detections: DataFrame, patience: int = 999_999) -> DataFrame:
+    """An id for each face over the frames of a video. detections: video_id, frame, det_id, box, embedding (or null).
+
+    Each frame depends on the one before, so a video is one group: one of minutes, some hundred frames of some faces.
+    Frames without faces have no rows. streaming.state.track_faces does the same on a stream."""
+    return detections.select(*KEY, "frame", "det_id", *BOX, "embedding").groupBy(*KEY).applyInPandas(lambda pdf: placed(Faces(patience), pdf), TRACKED)

@@ -203,3 +203,9 @@ def a6_event_counts(spark, sf_dir):
 @query(f"{ALL}, t as (select *, row_number() over (partition by video_id order by confidence desc, start_time, event_id) rank from every where confidence >= 75e-2) select video_id, cast(event_id as bigint) event_id, rank from t where rank <= 15")
 def t4_candidates(spark, sf_dir):
     return events.candidates(detected(spark, sf_dir)).select("video_id", "event_id", "rank")
+
+
+@query(f"{BASE} select video_id, pos, num_faces, round(convergence,6) convergence from f where convergence > 7e-1 and num_faces >= 2")
+def f16_high_convergence(spark, sf_dir):
+    out = features.high_convergence(features.frame_features(features.features(gaze(spark, sf_dir))))
+    return rounded(out, "convergence").select("video_id", F.col("pos").cast("long").alias("pos"), "num_faces", "convergence")

@@ -138,3 +138,28 @@ def x17_parse_replies(spark, sf_dir):
     body = F.when(F.col("turn") % 2 == 0, F.to_json(F.struct(one.alias("qa_pairs")))).otherwise(F.to_json(one))
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.concat(pre, body, post).alias("reply"))
     return rows.select("conv_id", "turn", F.inline(questions.parse_reply(F.col("reply"), "struct<question:string,answer:string>")))
+
+
+#: Events of clips of two seconds, so that few and many in a clip both occur.
+CLIP = "concat(video_id, '-', cast(cast(floor(start_time/2) as bigint) as varchar(10)))"
+ROUTED = f"""select {CLIP} video_id, 'gaze' source, event_type, person_a person, cast(null as varchar(10)) target_type, cast(null as bigint) target_person_id from ({adapters.GAZE_EVENTS})
+union all select {CLIP}, 'gesture', gesture_type, initiator_id, target_type, target_person_id from ({adapters.GESTURES})"""
+
+
+@query(f"""with e as ({adapters.sql(ROUTED)}), p as (select a.video_id, count(*) n from e a join e b using (video_id, person) where a.source = 'gaze' and b.source = 'gesture' group by 1),
+c as (select video_id, count(*) filter (source = 'gaze') g, count(*) filter (source = 'gesture') h, count(*) filter (event_type in ('joint_attention', 'attention_capture')) o, count(*) filter (target_type = 'person' and target_person_id is not null) k from e group by 1),
+j as (select c.*, coalesce(n, 0) n from c left join p using (video_id))
+select video_id, 'prompt_A' prompt from j where g between 1 and 2 union all select video_id, 'prompt_B' from j where g >= 3 union all select video_id, 'prompt_B_OE' from j where g >= 3 and o > 0
+union all select video_id, 'prompt_C' from j where h between 1 and 3 union all select video_id, 'prompt_D' from j where h >= 4 union all select video_id, 'prompt_D_OE' from j where h >= 4 and k >= 2
+union all select video_id, unnest(['prompt_E', 'prompt_E_OE']) from j where g > 0 and h > 0 and n >= 2""")
+def f14_prompt_routes(spark, sf_dir):
+    events = _rows(spark, sf_dir, ROUTED)
+    pairs = events.where("source = 'gaze'").select("video_id", "person").join(events.where("source = 'gesture'").select("video_id", "person"), ["video_id", "person"])
+    return questions.prompt_routes(events, pairs)
+
+
+@query(f"""select video_id, event_id, printf('Type: %s = %s; time: %.2fs - %.2fs; persons: P%d, P%d', event_type, case event_type when 'sudden_gaze_shift' then 'A person suddenly changed where they''re looking'
+when 'joint_attention' then 'Multiple people looking at the same target' when 'gaze_following' then 'One person looks where another person is looking'
+when 'attention_capture' then 'One person''s action caused others to look at them' else 'Two people looking at each other' end, start_time, end_time, person_a, person_b) text from ({adapters.sql(EVENTS)})""")
+def x35_event_texts(spark, sf_dir):
+    return questions.event_texts(_events(spark, sf_dir)).select("video_id", "event_id", "text")
