@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, fingerprints, language, near, packing, scoring, secrets, sql, toxicity, urls, warc
+from . import align, decontam, fingerprints, language, near, packing, scoring, secrets, sql, toxicity, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,5 +57,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language)}
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language, op12_align)}
 ORACLE: dict[str, str] = sql.ORACLE
