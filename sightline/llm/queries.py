@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import align, decontam, fingerprints, language, near, packing, scoring, secrets, sql, toxicity, urls, warc
+from . import align, chat, decontam, fingerprints, language, near, packing, scoring, secrets, sql, toxicity, trie, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,9 +58,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(table(spark, sf_dir, "documents"))
 
 
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.align_tokenizers(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language, op12_align)}
+def op13_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(sql.HOSTILE).alias("text"))
+    return chat.read_back(chat.format_turns(turns.unionByName(more)))
+
+
+QUERIES = {f.__name__: f for f in (op1_pack, op2_decontaminate, op3_secrets, op4_score, op5_fingerprints, op6_toxicity, op7_urls, op8_simhash, op9_warc, op10_language, op11_trie, op12_align, op13_chat)}
 ORACLE: dict[str, str] = sql.ORACLE
