@@ -83,6 +83,16 @@ def cosine(a: Column, b: Column, least: float = 1e-8) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)) + least)
 
 
+def direction_vector(ax: Column, ay: Column, bx: Column, by: Column) -> tuple[Column, Column]:
+    """From a to b."""
+    return bx - ax, by - ay
+
+
+def in_frame(score: Column, least: float = 0.5) -> Column:
+    """Whether a gaze lies in the picture, by the score of a prediction."""
+    return score > least
+
+
 def heat_point(heat: Column, width: int) -> tuple[Column, Column]:
     """Column and row of the first greatest value of a flattened map."""
     at = F.array_position(heat, F.array_max(heat)) - 1

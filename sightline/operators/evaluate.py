@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import frame_iou, overlap_seconds
 from .features import KEY
+from .islands import merge_intervals, take_free
 from .timeline import banded
 
 
@@ -17,20 +17,20 @@ def candidates(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return pairs.withColumn("seconds", overlap_seconds(F.col("a_start_time"), F.col("a_end_time"), F.col("b_start_time"), F.col("b_end_time")))
 
 
-def greedy_match(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Each prediction in time order takes the first free ground truth of its kind that it overlaps: gesture_key, gt_key, seconds."""
-    pairs = candidates(gt, pred).where("a_gesture_type = b_gesture_type").select(*KEY, F.col("a_gesture_type").alias("gesture_type"), F.col("a_gesture_key").alias("gesture_key"), F.col("b_gt_key").alias("gt_key"), F.col("a_start_time").alias("p"), F.col("b_start_time").alias("g"), "seconds")
+def in_islands(gt: DataFrame, pred: DataFrame, keys: list[str]) -> DataFrame:
+    """pred with _island: the run of intervals of both sides, which touch or overlap one after the other, that it lies in. keys:
+    columns of both sides within which they can match. What is matched in one run has no bearing on another."""
+    both = pred.withColumn("_gt", F.lit(False)).unionByName(gt.select(*keys, "start_time", "end_time", F.lit(True).alias("_gt")), allowMissingColumns=True)
+    return merge_intervals(both, keys, ["end_time"], slack=0.0, name="_island").where("NOT _gt").drop("_gt")
 
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, used, out = set(), set(), []
-        for r in pdf.sort_values(["p", "gesture_key", "g", "gt_key"]).itertuples(index=False):
-            if r.gesture_key not in done and r.gt_key not in used:
-                done.add(r.gesture_key)
-                used.add(r.gt_key)
-                out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)
 
-    return pairs.groupBy(*KEY, "gesture_type").applyInPandas(take, pairs.schema).drop("p", "g")
+def greedy_match(gt: DataFrame, pred: DataFrame, listed: bool = False) -> DataFrame:
+    """Each prediction in order takes the first free ground truth of its kind that it overlaps: gesture_key, gt_key, seconds.
+
+    Both in order of time, or, listed, in that of their keys (places in their documents)."""
+    pairs = candidates(gt, in_islands(gt, pred, [*KEY, "gesture_type"])).where("a_gesture_type = b_gesture_type").select(*KEY, F.col("a_gesture_type").alias("gesture_type"), F.col("a_gesture_key").alias("gesture_key"), F.col("b_gt_key").alias("gt_key"), F.col("a_start_time").alias("p"), F.col("b_start_time").alias("g"), "seconds", F.col("a__island").alias("_island"))
+    order = ["gesture_key", "gt_key"] if listed else ["p", "gesture_key", "g", "gt_key"]
+    return take_free(pairs, [*KEY, "gesture_type", "_island"], [F.col(c) for c in order], "gesture_key", "gt_key").drop("p", "g", "_island")
 
 
 def scores(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
@@ -47,11 +47,12 @@ def confusion(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
     Missed: pred_type null. A prediction that no ground truth takes is a false alarm: gt_type null."""
     pairs = candidates(gt, pred).where("seconds > 0")
-    taken = F.max_by(F.struct(F.col("a_gesture_type").alias("pred_type"), F.col("a_gesture_key").alias("gesture_key")), F.struct("seconds", -F.col("a_start_time"), -F.col("a_gesture_key"))).alias("t")
+    taken = F.min_by(F.struct(F.col("a_gesture_type").alias("pred_type"), F.col("a_gesture_key").alias("gesture_key")), F.struct(-F.col("seconds"), "a_start_time", "a_gesture_key")).alias("t")
     best = pairs.groupBy(*KEY, F.col("b_gt_key").alias("gt_key")).agg(taken).select(*KEY, "gt_key", "t.*")
-    met = gt.select(*KEY, "gt_key", F.col("gesture_type").alias("gt_type")).join(best, [*KEY, "gt_key"], "left").select("gt_type", "pred_type")
-    false = pred.join(best.select(*KEY, "gesture_key").distinct(), [*KEY, "gesture_key"], "left_anti").select(F.lit(None).cast("string").alias("gt_type"), F.col("gesture_type").alias("pred_type"))
-    return met.unionByName(false).groupBy("gt_type", "pred_type").agg(F.count("*").alias("n"))
+    met = gt.select(*KEY, "gt_key", F.col("gesture_type").alias("gt_type")).join(best, [*KEY, "gt_key"], "left").withColumn("_met", F.lit(True))
+    # predictions that no ground truth took come in from the right; the pairs are made once
+    both = met.join(pred.select(*KEY, "gesture_key", F.col("gesture_type").alias("_own")), [*KEY, "gesture_key"], "full_outer")
+    return both.groupBy("gt_type", F.when(F.col("_met"), F.col("pred_type")).otherwise(F.col("_own")).alias("pred_type")).agg(F.count("*").alias("n"))
 
 
 def confusion_matrix(cells: DataFrame, kinds: list[str]) -> DataFrame:
@@ -99,21 +100,21 @@ def part_of(local):
     return out
 
 
-def scores_by_part(gt: DataFrame, pred: DataFrame) -> DataFrame:
+def scores_by_part(gt: DataFrame, pred: DataFrame, listed: bool = False) -> DataFrame:
     """scores() for each part of the segments (column part of both sides), matched within the part."""
     both = lambda d: d.where("part IS NOT NULL").withColumn("gesture_type", F.concat_ws("|", "part", "gesture_type"))
     g, p = both(gt), both(pred)
-    out = scores(g, p, greedy_match(g, p)).where("gesture_type IS NOT NULL")
+    out = scores(g, p, greedy_match(g, p, listed)).where("gesture_type IS NOT NULL")
     cut = F.split("gesture_type", "[|]", 2)
     return out.withColumns({"part": cut[0], "gesture_type": cut[1]})
 
 
-def keep_matched(gestures: DataFrame, gt: DataFrame, n: int = 3) -> DataFrame:
+def keep_matched(gestures: DataFrame, gt: DataFrame, n: int = 3, listed: bool = False) -> DataFrame:
     """Gestures that match a ground truth of their kind, in order, one to one; in a video without any, a sample of n.
     choice says which: gt_match or fallback_sample. Both sides on one clock."""
     from .timeline import fallback_sample
 
-    found = greedy_match(gt, gestures).select(*KEY, "gesture_key")
+    found = greedy_match(gt, gestures, listed).select(*KEY, "gesture_key")
     kept = gestures.join(found, [*KEY, "gesture_key"], "left_semi").withColumn("choice", F.lit("gt_match"))
     rest = gestures.join(found.select(*KEY).distinct(), KEY, "left_anti")
     return kept.unionByName(fallback_sample(rest, n).drop("rank").withColumn("choice", F.lit("fallback_sample")))
@@ -123,24 +124,17 @@ def match_gaze(gt: DataFrame, pred: DataFrame, least: float = 0.3) -> DataFrame:
     """Each labelled segment in order takes the free event of a kind that stands for it with the best overlap in frames.
 
     gt: video_id, gt_no, kind, start_frame, end_frame. pred: video_id, event_id, event_type, start_frame, end_frame.
-    Returns video_id, gt_no, kind, event_id, iou. Only pairs over the threshold are looked at one by one."""
-    stands = gt.sparkSession.createDataFrame([(k, e) for k, es in STANDS_FOR.items() for e in es], "kind string, event_type string")
-    band = lambda a, z: F.explode(F.sequence(F.floor(F.col(a) / 300), F.floor(F.col(z) / 300)))
-    a = gt.join(F.broadcast(stands), "kind").select(*KEY, "kind", "event_type", "gt_no", F.col("start_frame").alias("a1"), F.col("end_frame").alias("a2")).withColumn("_band", band("a1", "a2"))
-    b = pred.select(*KEY, "event_type", "event_id", F.col("start_frame").alias("b1"), F.col("end_frame").alias("b2")).withColumn("_band", band("b1", "b2"))
-    iou = frame_iou(F.col("a1"), F.col("a2"), F.col("b1"), F.col("b2"))
-    pairs = a.join(b, [*KEY, "event_type", "_band"]).where((F.col("a1") <= F.col("b2")) & (F.col("b1") <= F.col("a2"))).select(*KEY, "gt_no", "kind", "event_id", iou.alias("iou")).where(F.col("iou") >= least).distinct()
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        done, used, out = set(), set(), []
-        for r in pdf.sort_values(["gt_no", "iou", "event_id"], ascending=[True, False, True]).itertuples(index=False):
-            if r.gt_no not in done and r.event_id not in used:
-                done.add(r.gt_no)
-                used.add(r.event_id)
-                out.append(r)
-        return pd.DataFrame(out, columns=pdf.columns)
-
-    return pairs.groupBy(*KEY).applyInPandas(take, pairs.schema)
+    Returns video_id, gt_no, kind, event_id, iou. Only pairs over the threshold are looked at one by one, those of one run of
+    overlapping segments and events together."""
+    stands = F.create_map(*(x for k, es in STANDS_FOR.items() for x in (F.lit(k), F.array(*map(F.lit, es)))))
+    # kinds that can want the same event are looked at together
+    group = lambda c: F.when(c.isin("mutual", "mutual_gaze"), "mutual").otherwise("other")
+    a = gt.where(F.col("kind").isin(list(STANDS_FOR))).select(*KEY, "kind", "gt_no", F.col("start_frame").alias("start_time"), F.col("end_frame").alias("end_time"), group(F.col("kind")).alias("_group"))
+    b = pred.select(*KEY, "event_type", "event_id", F.col("start_frame").alias("start_time"), F.col("end_frame").alias("end_time"), group(F.col("event_type")).alias("_group")).where(F.col("event_type").isin([e for es in STANDS_FOR.values() for e in es]))
+    pairs = banded(in_islands(a, b, [*KEY, "_group"]), a, 0.0, 300).where(F.array_contains(stands[F.col("b_kind")], F.col("a_event_type")))
+    pairs = pairs.select(*KEY, F.col("b_gt_no").alias("gt_no"), F.col("b_kind").alias("kind"), F.col("a_event_id").alias("event_id"), frame_iou(F.col("b_start_time"), F.col("b_end_time"), F.col("a_start_time"), F.col("a_end_time")).alias("iou"), F.col("a__group").alias("_group"), F.col("a__island").alias("_island")).where(F.col("iou") >= least)
+    taken = take_free(pairs, [*KEY, "_group", "_island"], [F.col("gt_no"), -F.col("iou"), F.col("event_id")], "gt_no", "event_id")
+    return taken.drop("_group", "_island")
 
 
 def gaze_counts(gt: DataFrame, pred: DataFrame) -> DataFrame:

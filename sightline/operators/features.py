@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import distance
+from ..functions.geometry import direction_vector, distance
 
 KEY = ["video_id"]
 #: Longest gaps, in rows and seconds, that are filled.
@@ -115,6 +115,47 @@ def frame_features(rows: DataFrame) -> DataFrame:
     )
 
 
+def plain_convergence(rows: DataFrame) -> DataFrame:
+    """For each frame: how close the known gaze points of persons with a face lie together, whatever their confidence; 0 for fewer than two."""
+    good = F.col("face") & F.col("x").isNotNull()
+    w = Window.partitionBy(*KEY, "pos")
+    x, y = F.when(good, F.col("x")), F.when(good, F.col("y"))
+    placed = rows.withColumns({"_x": x, "_y": y, "_cx": F.avg(x).over(w), "_cy": F.avg(y).over(w)})
+    far = F.median(distance(F.col("_x"), F.col("_y"), F.col("_cx"), F.col("_cy")))
+    return placed.groupBy(*KEY, "pos").agg(F.when(F.count("_x") >= 2, F.exp(-3.0 * far)).otherwise(0.0).alias("convergence"))
+
+
+def frame_times(gaze: DataFrame, sample_fps: float, video_fps: float) -> DataFrame:
+    """Adds sampled_ts (place of the frame among those that were sampled, by their rate) and video_ts (the frame's number by the video's rate)."""
+    place = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("frame_idx")) - 1
+    return gaze.withColumns({"sampled_ts": place / F.lit(sample_fps), "video_ts": F.col("frame_idx") / F.lit(video_fps)})
+
+
+def anchor_motion(rows: DataFrame) -> DataFrame:
+    """Velocity of the gaze's direction from the face, and of the face itself, between a person's observations. rows: of fill_gaps().
+
+    The gaze behind the face at frame position i is that of the person's own observation i, so it drifts once a person was
+    absent. Null if a face or gaze is missing on either side, or the face jumps (a scene cut); 0 if no time passes."""
+    own = rows.select(*KEY, "person_id", F.col("obs_pos").alias("pos"), F.col("ix").alias("_ax"), F.col("iy").alias("_ay"))
+    out = rows.join(own, [*KEY, "person_id", "pos"], "left")
+    face = F.coalesce("face_detected", F.lit(False)) & F.col("fx1").isNotNull()
+    cx, cy = F.when(face, (F.col("fx1") + F.col("fx2")) / 2), F.when(face, (F.col("fy1") + F.col("fy2")) / 2)
+    dx, dy = direction_vector(cx, cy, F.col("_ax"), F.col("_ay"))
+    out = out.withColumns({"_cx": cx, "_cy": cy, "dir_x": dx, "dir_y": dy})
+    w = Window.partitionBy(*KEY, "person_id").orderBy("obs_pos")
+    lag = lambda c: F.lag(c).over(w)
+    moved, turned, dt = distance(lag("_cx"), lag("_cy"), F.col("_cx"), F.col("_cy")), distance(lag("dir_x"), lag("dir_y"), F.col("dir_x"), F.col("dir_y")), F.col("ts") - lag("ts")
+    out = out.withColumns({"_moved": moved, "_turned": turned, "_dt": dt})
+    speed = lambda d: F.when((F.col("_moved") <= FACE_JUMP) & F.col(d).isNotNull(), F.when(F.col("_dt") > 0, F.col(d) / F.col("_dt")).otherwise(0.0))
+    return out.withColumns({"anchor_velocity": speed("_moved"), "gaze_dir_velocity": speed("_turned")}).drop("_ax", "_ay", "_cx", "_cy", "_moved", "_turned", "_dt")
+
+
+def person_table(rows: DataFrame) -> DataFrame:
+    """person_features() with the persons' summaries: the shares of their rows with a face and with a gaze in frame. rows: of velocities()."""
+    told = person_summary(rows).select(*KEY, "person_id", "face_pct", "inframe_pct")
+    return person_features(rows).join(told, [*KEY, "person_id"])
+
+
 def pair_distances(rows: DataFrame) -> DataFrame:
     """Distances of the gaze points of two persons of a frame, both with a face and confidence of 0.3."""
     good = rows.where(F.col("face") & F.col("x").isNotNull() & (F.col("conf") >= 0.3)).select(*KEY, "pos", "person_id", "x", "y")

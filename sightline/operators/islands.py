@@ -31,6 +31,19 @@ def merge_intervals(df: DataFrame, keys: list[str], order: list[str], start: str
     return df.withColumn("_new", new).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def take_free(pairs: DataFrame, keys: list[str], order: list[Column], left: str, right: str) -> DataFrame:
+    """One to one: pairs in order, each taken if neither side is taken yet. keys: columns of groups in which choices can depend
+    on one another; with islands of overlapping intervals among them, groups stay small, however much one video holds.
+
+    A group's pairs are folded in one expression: no Python, and no shuffle beyond that of the groups."""
+    names = [c for c in pairs.columns if c not in keys]
+    row = F.struct(*(c.alias(f"_{k}") for k, c in enumerate(order)), F.struct(*names).alias("_row"))
+    rows = pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["_row"]).alias("_rows"))
+    none = F.slice("_rows", 1, 0)
+    met = lambda taken, x: F.exists(taken, lambda t: (t[left] == x[left]) | (t[right] == x[right]))
+    return rows.select(*keys, F.inline(F.aggregate("_rows", none, lambda taken, x: F.when(met(taken, x), taken).otherwise(F.concat(taken, F.array(x)))))).select(*pairs.columns)
+
+
 def offsets(df: DataFrame, keys: list[str], order: str, length: Column, name: str = "offset") -> DataFrame:
     """The summed length of the rows before."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)

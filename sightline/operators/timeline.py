@@ -6,11 +6,11 @@ end_time, confidence, persons (sorted array). Self-joins within a video are band
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .features import KEY
+from .islands import merge_intervals
 
 #: Seconds of a band.
 BAND = 10
@@ -30,9 +30,9 @@ def merge(gaze_events: DataFrame, gestures: DataFrame, gaze_least: float = 0.9)
     return a.unionByName(b).withColumn("place", F.row_number().over(w) - 1)
 
 
-def banded(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
+def banded(a: DataFrame, b: DataFrame, reach: float, width: float = BAND) -> DataFrame:
     """Pairs of a (columns of a_) and b (b_) of a video whose intervals come within reach: each pair in the first band it shares."""
-    band = lambda c: F.floor(c / BAND)
+    band = lambda c: F.floor(c / width)
     x = a.select(*KEY, *(F.col(c).alias(f"a_{c}") for c in a.columns if c not in KEY)).withColumn("_band", F.explode(F.sequence(band(F.col("a_start_time") - reach), band(F.col("a_end_time") + reach))))
     y = b.select(*KEY, *(F.col(c).alias(f"b_{c}") for c in b.columns if c not in KEY)).withColumn("_band", F.explode(F.sequence(band(F.col("b_start_time")), band(F.col("b_end_time")))))
     near = (F.col("b_start_time") <= F.col("a_end_time") + reach) & (F.col("b_end_time") >= F.col("a_start_time") - reach)
@@ -77,29 +77,28 @@ def fallback_sample(gestures: DataFrame, n: int = 3) -> DataFrame:
 def drop_doubles(timeline: DataFrame, protected: DataFrame) -> DataFrame:
     """Drops the less confident of two events of a source, kind and persons that overlap, in order; never a protected one.
 
-    Each decision depends on those before, so a video's events (a few hundred) are looked at together."""
+    Each decision depends on those before, but only among events whose intervals hang together: such runs are cut out by a
+    window, and each is folded by itself. An event that meets a more confident one goes, and what it would have met after
+    that stays; until then, it drops the others that it meets."""
     rows = timeline.join(protected.select(*KEY, "place").distinct().withColumn("protected", F.lit(True)), [*KEY, "place"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place").reset_index(drop=True)
-        gone = set()
-        for _, group in pdf.groupby(["source", "kind", pdf["persons"].map(lambda p: tuple(sorted(set(p))))], sort=False):
-            items = list(group.itertuples())
-            for i, a in enumerate(items):
-                if a.Index in gone:
-                    continue
-                for b in items[i + 1 :]:
-                    if b.Index in gone or not (a.start_time < b.end_time and b.start_time < a.end_time) or (a.protected and b.protected):
-                        continue
-                    if a.confidence >= b.confidence:
-                        if not b.protected:
-                            gone.add(b.Index)
-                    elif not a.protected:
-                        gone.add(a.Index)
-                        break
-        return pdf[~pdf.index.isin(gone)]
-
-    return rows.groupBy(*KEY).applyInPandas(keep, rows.schema)
+    names = rows.columns
+    alike = [*KEY, "source", "kind", "_who"]
+    rows = merge_intervals(rows.withColumn("_who", F.array_sort(F.array_distinct("persons"))), alike, ["end_time", "place"], slack=0.0, name="_run")
+    runs = rows.groupBy(*alike, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*names).alias("e")))), lambda x: x["e"]).alias("_e"))
+    e = F.col("_e")
+
+    def decide(gone: Column, i: Column) -> Column:
+        a = F.get(e, i)
+        meets = lambda b, j: (j > i) & ~F.get(gone, j) & (a["start_time"] < b["end_time"]) & (b["start_time"] < a["end_time"]) & ~(a["protected"] & b["protected"])
+        loses = F.transform(e, lambda b, j: meets(b, j) & (a["confidence"] < b["confidence"]) & ~a["protected"])
+        stop = F.array_position(loses, True) - 1  # -1: it stays
+        drops = lambda j: meets(F.get(e, j), j) & (a["confidence"] >= F.get(e, j)["confidence"]) & ~F.get(e, j)["protected"] & ((stop < 0) | (j < stop))
+        return F.when(F.get(gone, i), gone).otherwise(F.transform(gone, lambda g, j: g | ((j == i) & (stop >= 0)) | drops(j)))
+
+    none = F.transform(e, lambda _: F.lit(False))
+    gone = F.when(F.size(e) == 1, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(e) - 1), none, decide))
+    kept = runs.withColumn("_gone", gone).select(F.filter(e, lambda _, k: ~F.get(F.col("_gone"), k)).alias("_e"))
+    return kept.select(F.inline("_e")).select(*names)
 
 
 def cap(rows: DataFrame, n: int = 25) -> DataFrame:
@@ -113,12 +112,18 @@ def cap(rows: DataFrame, n: int = 25) -> DataFrame:
 
 
 def filter_timeline(timeline: DataFrame, proximity: float = 3.0, n: int = 25) -> DataFrame:
-    """Protects events in cross-modal pairs, drops doubles, caps."""
+    """Protects events in cross-modal pairs, drops doubles, caps. cross_modal_pairs() of renumbered() rows are the graph's pairs."""
     pairs = cross_modal_pairs(timeline, proximity)
     protected = pairs.select(*KEY, F.col("gaze_place").alias("place")).unionByName(pairs.select(*KEY, F.col("gesture_place").alias("place")))
     return cap(drop_doubles(timeline, protected), n)
 
 
+def renumbered(rows: DataFrame) -> DataFrame:
+    """Rows that were left of a timeline, with places that count from 0 again."""
+    w = Window.partitionBy(*KEY).orderBy("place")
+    return rows.withColumn("place", F.row_number().over(w) - 1)
+
+
 def summary(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each video: gaze_events, gestures, pairs, first start, last end and the length estimated from it."""
     counts = pairs.groupBy(*KEY).agg(F.count("*").alias("pairs"))

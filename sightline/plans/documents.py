@@ -139,4 +139,4 @@ def s17_bad_documents(spark, sf_dir):
     path = new_path(spark, "bad")
     rows.select(F.when(F.col("o_custkey") % 5 == 0, F.substring(whole, 1, 20)).otherwise(whole).alias("value")).write.text(path)
     read = spark.read.schema(f"{documents.EVENTS}, _corrupt_record string").json(path)
-    return documents.outcome(read.withColumn("bad", documents.bad(read)))
+    return documents.outcome(read.withColumn("bad", documents.bad_document(read, documents.fields_of(documents.EVENTS))))

@@ -10,7 +10,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from ..functions.geometry import corners, in_frame
 from ..functions.text import parse_time, srt_time, video_of
 
 BOX, POINT = "array<double>", "array<double>"
@@ -20,22 +22,38 @@ EVENTS = "num_events bigint, event_counts map<string, bigint>, events array<stru
 GESTURES = "gesture_counts map<string, bigint>, event_validations array<struct<event_id: bigint, event_confirmed: boolean>>, gestures array<struct<gesture_type: string, initiator_id: bigint, start_time: string, end_time: string, target_type: string, target_person_id: bigint, target_description: string, confidence: double>>"
 CLASSES = "classifications array<struct<event_id: bigint, event_confirmed: boolean, caused_gaze_shift: boolean, responder_ids: array<bigint>, deictic_gestures: array<struct<gesture_type: string, initiator_id: bigint, target_type: string, target_person_id: bigint, target_description: string>>>>"
 TIMELINE = "timeline array<struct<source: string, item: bigint, kind: string, start_time: double, end_time: double, confidence: double, persons: array<bigint>>>"
+GRAPH = "num_events_raw bigint, num_events_filtered bigint, num_gaze bigint, num_gesture bigint, num_cross_modal_pairs bigint, events array<struct<place: bigint, source: string, item: bigint, kind: string, start_time: double, end_time: double, confidence: double, persons: array<bigint>, description: string>>, cross_modal_pairs array<struct<gaze_idx: bigint, gesture_idx: bigint, relation: string, seconds: double>>"
 QUESTIONS = "qa_pairs array<struct<question_id: string, category: string, subcategory: string, format: string, question: string, answer: string, answer_text: string, options: array<string>, time_range: array<double>>>"
 TRACKS = f"tracks map<string, array<struct<person_id: bigint, bbox: {BOX}, score: double>>>"
-GAZE_POINTS = f"frames array<struct<frame_idx: bigint, timestamp: double, gaze_point: {POINT}, inout_score: double, head_bbox: {BOX}>>"
+PREDICTIONS = f"video_path string, video_fps double, video_size {POINT}, total_frames bigint, processed_frames bigint, sample_fps double, text_prompt string, frames array<struct<frame_idx: bigint, timestamp: double, gaze_point: {POINT}, gaze_point_px: {POINT}, inout: double, head_bbox: {BOX}, head_bbox_px: {BOX}>>"
+TV_QUESTIONS = "qid bigint, vid_name string, ts array<double>, q string, a0 string, a1 string, a2 string, a3 string, a4 string, answer_idx bigint, bbox map<string, array<struct<label: string, left: double, top: double, width: double, height: double>>>"
+#: Endings of documents that later stages put beside those they read.
+DERIVED = ["_features.json", "_events.json", "_gestures.json", "_qa_dataset.json"]
 
 
-def read(spark: SparkSession, path: str, schema: str, ending: str = "*.json") -> DataFrame:
-    """A row for each document: video_id, path, the fields of schema, bad."""
+def skipped(path: Column) -> Column:
+    """Whether a path is that of a document derived from others."""
+    return F.coalesce(reduce(lambda a, b: a | b, (F.endswith(path, F.lit(e)) for e in DERIVED)), F.lit(False))
+
+
+def fields_of(schema: str) -> list[str]:
+    return StructType.fromDDL(schema).fieldNames()
+
+
+def read(spark: SparkSession, path: str, schema: str, ending: str = "*.json", derived: bool = False) -> DataFrame:
+    """A row for each document: video_id, path, the fields of schema, bad. Documents derived from others are left out, unless
+    they are what is asked for."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("pathGlobFilter", ending).option("recursiveFileLookup", True).json(path)
     rows = rows.withColumn("path", F.col("_metadata.file_path"))
-    return rows.select(video_of(F.col("path")).alias("video_id"), "path", *[c for c in rows.columns if c not in ("path", "_corrupt_record")], bad(rows).alias("bad"))
+    if not derived:
+        rows = rows.where(~skipped(F.col("path")))
+    fields = fields_of(schema)
+    return rows.select(video_of(F.col("path")).alias("video_id"), "path", *fields, bad_document(rows, fields).alias("bad"))
 
 
-def bad(rows: DataFrame) -> Column:
+def bad_document(rows: DataFrame, fields: list[str]) -> Column:
     """Whether a row read is no document: it doesn't parse, or has none of the fields."""
-    fields = [c for c in rows.columns if c not in ("video_id", "path", "_corrupt_record")]
-    return F.col("_corrupt_record").isNotNull() | reduce(lambda a, b: a & b, (F.col(c).isNull() for c in fields))
+    return F.col("_corrupt_record").isNotNull() | reduce(lambda a, b: a & b, (rows[c].isNull() for c in fields))
 
 
 def elements(documents: DataFrame, field: str, place: str | None = None) -> DataFrame:
@@ -49,8 +67,19 @@ def outcome(documents: DataFrame) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    """A document a row, named by its column video_id. At most one document for each video: a folder a video holds it."""
-    rows.withColumn("video", F.col("video_id")).write.partitionBy("video").json(path)
+    """A document a line, named by its column video_id; in folders by dataset, which are replaced one by one, if rows have that
+    column. At most one document for each video."""
+    from .sinks import save_by
+
+    if "dataset" in rows.columns:
+        save_by(rows, path, ["dataset"], ["video_id"], "json", 100_000)
+    else:
+        rows.write.json(path)
+
+
+def export(rows: DataFrame, path: str) -> None:
+    """A file for each document, for tools that look for one: files/video=<video_id>/. For few videos, as stores list files slowly."""
+    rows.withColumn("video", F.col("video_id")).write.option("maxRecordsPerFile", 1).partitionBy("video").json(path)
 
 
 def listed(field: str, order: str, columns: list[str]) -> Column:
@@ -65,7 +94,7 @@ def by_id(key: str, value: str) -> Column:
 
 
 def named(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Documents that write() made: video_id is that of the folder."""
+    """Documents that write() made, from all datasets."""
     rows = spark.read.schema(f"video_id string, {schema}").option("recursiveFileLookup", True).json(path)
     return rows.withColumn("bad", F.col("video_id").isNull())
 
@@ -122,6 +151,50 @@ def gestures(documents: DataFrame) -> DataFrame:
     return elements(documents, "gestures", "gesture_index").withColumns({"start_time": parse_time(F.col("start_time")), "end_time": parse_time(F.col("end_time"))})
 
 
+def with_defaults(gestures: DataFrame, initiator: int = -1) -> DataFrame:
+    """Gestures whose missing fields are filled in: kinds `unknown`, no text, confidence 1, times 0. initiator: -1 where they are
+    evaluated, 0 where they are written. Times may be numbers or texts; a text that is no time counts as missing."""
+    second = lambda c: F.coalesce(parse_time(F.col(c).cast("string")), F.lit(0.0))
+    given = {"gesture_type": "unknown", "target_type": "unknown", "target_description": "", "confidence": 1.0, "initiator_id": initiator}
+    return gestures.withColumns({c: F.coalesce(F.col(c), F.lit(x)) for c, x in given.items()} | {c: second(c) for c in ("start_time", "end_time")})
+
+
+def ground_truth(documents: DataFrame) -> DataFrame:
+    """Annotated gestures of documents `*.mp4.json`: gt_video (the file's name), gt_key (place in it) and their fields, filled in."""
+    rows = with_defaults(elements(documents, "gestures", "gt_key"))
+    return rows.withColumnRenamed("video_id", "gt_video").withColumn("gt_key", F.col("gt_key").cast("long"))
+
+
+def predictions(documents: DataFrame) -> DataFrame:
+    """Gaze of one subject: video_id, frame_pos, frame_idx, ts, gx, gy, inout, in_frame (score over a half), hx1..hy2 (head)."""
+    f = elements(documents, "frames", "frame_pos")
+    point = [F.get("gaze_point", F.lit(k)).alias(n) for k, n in enumerate(("gx", "gy"))]
+    head = [F.get("head_bbox", F.lit(k)).alias(n) for k, n in enumerate(("hx1", "hy1", "hx2", "hy2"))]
+    return f.select("video_id", F.col("frame_pos").cast("long").alias("frame_pos"), "frame_idx", F.col("timestamp").alias("ts"), *point, "inout", in_frame(F.col("inout")).alias("in_frame"), *head)
+
+
+def prediction_documents(rows: DataFrame, width: int, height: int) -> DataFrame:
+    """Rows of predictions() as documents; places in pixels are cut to whole ones, as the point and box are drawn there."""
+    px = lambda cs: F.array(*(F.floor(F.col(c) * (width, height)[k % 2]).cast("double") for k, c in enumerate(cs)))
+    point, head = ["gx", "gy"], ["hx1", "hy1", "hx2", "hy2"]
+    frames = listed("frames", "frame_pos", ["frame_idx", F.col("ts").alias("timestamp"), F.array(*point).alias("gaze_point"), px(point).alias("gaze_point_px"), "inout", F.array(*head).alias("head_bbox"), px(head).alias("head_bbox_px")])
+    size = F.array(F.lit(float(width)), F.lit(float(height))).alias("video_size")
+    return rows.groupBy("video_id").agg(F.count("*").alias("processed_frames"), size, frames)
+
+
+def tv_questions(spark: SparkSession, path: str, ending: str = "*.json", lines: bool = False) -> DataFrame:
+    """Questions on TV clips: files that hold an array of entries (or, lines, an entry a line); a row for each entry."""
+    return spark.read.schema(TV_QUESTIONS).option("multiLine", not lines).option("pathGlobFilter", ending).option("recursiveFileLookup", True).json(path)
+
+
+def tv_boxes(questions: DataFrame) -> DataFrame:
+    """The boxes of an entry's annotated frames: qid, frame, box_no, label, x1..y2."""
+    frames = questions.select("qid", F.explode("bbox").alias("frame", "boxes"))
+    each = frames.select("qid", F.col("frame").cast("long").alias("frame"), F.posexplode("boxes").alias("box_no", "b"))
+    box = corners(F.col("b.left"), F.col("b.top"), F.col("b.width"), F.col("b.height"))
+    return each.select("qid", "frame", F.col("box_no").cast("long").alias("box_no"), "b.label", *(c.alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"))))
+
+
 def confirmations(classified: DataFrame, validated: DataFrame) -> DataFrame:
     """One view of both kinds of documents: video_id, event_id, confirmed, caused_shift, responders (null in the second)."""
     a = elements(classified, "classifications").select("video_id", "event_id", F.col("event_confirmed").alias("confirmed"), F.col("caused_gaze_shift").alias("caused_shift"), F.col("responder_ids").alias("responders"))
@@ -168,6 +241,12 @@ def person_counts_csv(counts: DataFrame, path: str) -> None:
     counts.select("filename", "person_count").orderBy("filename").write.option("header", True).csv(path)
 
 
+def track_documents(rows: DataFrame) -> DataFrame:
+    """Rows of tracks() as documents with a map by frame."""
+    boxes = rows.groupBy("video_id", "frame").agg(F.transform(F.array_sort(F.collect_list(F.struct("person_id", F.struct("person_id", F.array("x1", "y1", "x2", "y2").alias("bbox"), "score").alias("p")))), lambda x: x["p"]).alias("tracks"))
+    return boxes.groupBy("video_id").agg(by_id("frame", "tracks"))
+
+
 def not_done(videos: DataFrame, done: DataFrame) -> DataFrame:
     """Videos without a result yet."""
     return videos.join(done.select("video_id").distinct(), "video_id", "left_anti")
