@@ -107,6 +107,11 @@ def video_of(path: Column, stages: list[str] = STAGES) -> Column:
     return F.regexp_replace(name, f"({'|'.join(stages)})$", "")
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as it is called, as Spark gives it with blanks and other marks written like %20."""
+    return F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+
+
 def flat_name(path: Column) -> Column:
     """A relative path as one name."""
     return F.translate(path, "/\\", "__")

@@ -180,6 +180,16 @@ def drop_alike(questions: DataFrame, keys: list[str], order: str, most: float =
     return questions.groupBy(*keys).applyInPandas(keep, questions.schema)
 
 
+def gesture_counts(gestures: DataFrame) -> DataFrame:
+    """Gestures of each kind by video; those without a kind don't count."""
+    return gestures.where("gesture_type IS NOT NULL").groupBy(*KEY, "gesture_type").agg(F.count("*").alias("n"))
+
+
+def verdict_counts(verdicts: DataFrame) -> DataFrame:
+    """Confirmed and rejected events by video; without a verdict an event counts as rejected."""
+    return verdicts.groupBy(*KEY).agg(F.count_if("confirmed").alias("confirmed"), F.count_if(~F.coalesce("confirmed", F.lit(False))).alias("rejected"))
+
+
 def reply_report(questions: DataFrame, keys: list[str]) -> DataFrame:
     """Questions written and valid of each reply, and of the video in all."""
     out = questions.groupBy(*keys).agg(F.count("*").alias("written"), F.count_if(F.col("reason").isNull()).alias("valid"))

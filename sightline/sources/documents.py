@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.geometry import corners, in_frame
-from ..functions.text import parse_time, srt_time, video_of
+from ..functions.text import parse_time, plain_path, srt_time, video_of
 
 BOX, POINT = "array<double>", "array<double>"
 SAMPLES = f"video_fps double, sample_fps double, persons_summary map<string, struct<first_frame: bigint, last_frame: bigint, track_length: bigint, face_detection_pct: double, inframe_gaze_pct: double>>, frames array<struct<frame_idx: bigint, timestamp: double, persons: array<struct<person_id: bigint, face_detected: boolean, face_bbox: {BOX}, gaze_point: {POINT}, inout: boolean>>>>"
@@ -44,7 +44,7 @@ def read(spark: SparkSession, path: str, schema: str, ending: str = "*.json", de
     """A row for each document: video_id, path, the fields of schema, bad. Documents derived from others are left out, unless
     they are what is asked for."""
     rows = spark.read.schema(f"{schema}, _corrupt_record string").option("multiLine", True).option("pathGlobFilter", ending).option("recursiveFileLookup", True).json(path)
-    rows = rows.withColumn("path", F.col("_metadata.file_path"))
+    rows = rows.withColumn("path", plain_path(F.col("_metadata.file_path")))
     if not derived:
         rows = rows.where(~skipped(F.col("path")))
     fields = fields_of(schema)
@@ -204,7 +204,7 @@ def confirmations(classified: DataFrame, validated: DataFrame) -> DataFrame:
 
 def gaze_labels(spark: SparkSession, path: str, kinds: list[str], ending: str = "NewAnt_*.txt") -> DataFrame:
     """Label rows of white-space columns: video_id, frame, person, kind. At least 12 fields, label `Person...`, a kind that is known."""
-    lines = spark.read.option("pathGlobFilter", ending).text(path).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"NewAnt_([^/]*)\.txt$", 1).alias("video_id"))
+    lines = spark.read.option("pathGlobFilter", ending).text(path).select("value", F.regexp_extract(plain_path(F.col("_metadata.file_path")), r"NewAnt_([^/]*)\.txt$", 1).alias("video_id"))
     return label_rows(lines, kinds)
 
 
@@ -227,7 +227,7 @@ def subtitles(texts: DataFrame) -> DataFrame:
 
 
 def read_subtitles(spark: SparkSession, path: str) -> DataFrame:
-    return subtitles(spark.read.option("wholetext", True).option("pathGlobFilter", "*.srt").option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value"))
+    return subtitles(spark.read.option("pathGlobFilter", "*.srt").option("recursiveFileLookup", True).text(path, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("path"), "value"))
 
 
 def tracks(documents: DataFrame) -> DataFrame:

@@ -5,11 +5,11 @@ A sink's folders are replaced one by one: a second run replaces the folders for
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.text import dataset_of, video_of
+from ..functions.text import dataset_of, plain_path, video_of
 from .documents import bad_document, fields_of, skipped
 
 #: Rows of a file, about; a folder has as many files as its rows ask for, and each is written by one task.
@@ -21,10 +21,10 @@ def dealt(rows: DataFrame, keys: list[str], spread: list[str], rows_a_file: int
 
     The rows are counted by folder first (a row for each folder, of which there are few), so a hot dataset is spread over many
     tasks and a small one isn't cut up. spread: columns that tell rows apart, so that a task that is run again gets the same rows."""
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / rows_a_file).alias("_files"))
-    same = [rows[k].eqNullSafe(sizes[k]) for k in keys]
-    placed = rows.join(F.broadcast(sizes), same).select(*[rows[c] for c in rows.columns], F.pmod(F.xxhash64(*[rows[c] for c in spread]), "_files").alias("_file"))
-    return placed.repartition(*keys, "_file").drop("_file")
+    sizes = rows.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.ceil(F.count("*") / rows_a_file).alias("_files"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    placed = rows.join(F.broadcast(sizes), same).withColumn("_file", F.pmod(F.xxhash64(*spread), "_files"))
+    return placed.repartition(*keys, "_file").select(*rows.columns)
 
 
 def save_by(rows: DataFrame, path: str, keys: list[str], spread: list[str], form: str = "parquet", rows_a_file: int = ROWS_A_FILE) -> None:
@@ -45,7 +45,7 @@ def arriving(spark: SparkSession, path: str, schema: str, ending: str = "*.json"
     if files:
         stream = stream.option("maxFilesPerTrigger", files)
     rows = stream.json(path)
-    kept = rows.withColumns({"path": F.col("_metadata.file_path"), "arrived": F.col("_metadata.file_modification_time")})
+    kept = rows.withColumns({"path": plain_path(F.col("_metadata.file_path")), "arrived": F.col("_metadata.file_modification_time")})
     return kept.where(~skipped(F.col("path")))
 
 
