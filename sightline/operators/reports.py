@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import KEY
+
 TYPES = ["sudden_gaze_shift", "joint_attention", "gaze_following", "attention_capture", "mutual_gaze"]
 THRESHOLDS = [0.0, 0.6, 0.7, 0.8, 0.9]
 
@@ -14,16 +16,28 @@ def with_dataset(events: DataFrame, datasets: int = 7) -> DataFrame:
     return events.withColumn("dataset", F.concat(F.lit("d"), (F.substring("video_id", 2, 10).cast("long") % datasets).cast("string")))
 
 
+def cells(rows: DataFrame, dims: list[str], sums: dict[str, Column]) -> DataFrame:
+    """rows summed up for each video in every cell of a cube over dims (null: all): a row for each video and cell it is in.
+
+    Videos are counted exactly by their rows here, in place of sets of videos in each cell. Rows are counted by video and dims
+    first, so only these small counts are moved to their video and spread over its cells."""
+    small = rows.groupBy(*KEY, *dims).agg(*(c.alias(k) for k, c in sums.items())).repartition(*KEY)
+    sets = [[*KEY, *(d for k, d in enumerate(dims) if n >> k & 1)] for n in range(1 << len(dims))]
+    return small.groupingSets(sets, *KEY, *dims).agg(*(F.sum(k).alias(k) for k in sums))
+
+
 def threshold_cube(events: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """Events and videos at each least confidence, by dataset and kind with all totals."""
-    each = events.withColumn("threshold", F.explode(F.filter(F.array(*map(F.lit, thresholds)), lambda t: t <= F.col("confidence"))))
-    marked = each.cube("threshold", "dataset", "event_type").agg(F.count("*").alias("events"), F.countDistinct("video_id").alias("videos"))
-    return marked.where("threshold IS NOT NULL")
+    each = cells(events, ["dataset", "event_type"], {f"n{k}": F.count_if(F.col("confidence") >= t) for k, t in enumerate(thresholds)})
+    at = F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{k}").alias("events"), (F.col(f"n{k}") > 0).cast("long").alias("videos")) for k, t in enumerate(thresholds)))
+    rows = each.select("dataset", "event_type", F.inline(at)).where("events > 0")
+    return rows.groupBy("threshold", "dataset", "event_type").agg(F.sum("events").alias("events"), F.sum("videos").alias("videos"))
 
 
 def dataset_statistics(events: DataFrame) -> DataFrame:
     """Videos and events of each kind by dataset, and in all (dataset null)."""
-    return events.rollup("dataset").agg(F.countDistinct("video_id").alias("videos"), *(F.count_if(F.col("event_type") == t).alias(t) for t in TYPES))
+    each = cells(events, ["dataset"], {t: F.count_if(F.col("event_type") == t) for t in TYPES})
+    return each.groupBy("dataset").agg(F.count("*").alias("videos"), *(F.sum(t).alias(t) for t in TYPES))
 
 
 def persons_of_videos(gaze: DataFrame, least_pct: float | None = None) -> DataFrame:
@@ -77,8 +91,8 @@ def dataset_table(videos: DataFrame, events: DataFrame) -> DataFrame:
 
 def threshold_averages(events: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """At each least confidence, by dataset and in all: events, videos that have any, and their average."""
-    cells = threshold_cube(events, thresholds).where("event_type IS NULL").drop("event_type")
-    return cells.withColumn("average", F.col("events") / F.col("videos"))
+    whole = threshold_cube(events, thresholds).where("event_type IS NULL").drop("event_type")
+    return whole.withColumn("average", F.col("events") / F.col("videos"))
 
 
 def person_statistics(videos: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box_iou, centre, cosine, inside
+from ..functions.geometry import box_iou, centre, cosine, distance, inside
 from .features import KEY
+from .prefix import running_sums
 
 BOX = ["x1", "y1", "x2", "y2"]
 
@@ -148,14 +149,20 @@ def with_faces(rows: DataFrame) -> DataFrame:
 def auc(rows: DataFrame) -> DataFrame:
     """Area under the ROC curve (equal scores count half) and average precision. rows: score, label (0 or 1).
 
-    Counted by distinct score, then summed up in order of scores."""
+    Counted by distinct score, then summed up in order of scores by ranges of them: real scores are nearly all distinct."""
     each = rows.groupBy("score").agg(F.sum("label").alias("p"), (F.count("*") - F.sum("label")).alias("n"))
-    w = Window.orderBy(F.col("score").desc())  # a row for each distinct score
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    at = each.withColumns({"tp": F.sum("p").over(w), "seen": F.sum(F.col("p") + F.col("n")).over(w), "above": F.coalesce(F.sum("p").over(before), F.lit(0))})
+    at = running_sums(each, [F.col("score").desc()], {"above": F.col("p"), "beyond": F.col("p") + F.col("n")})
     pos, neg = F.sum("p"), F.sum("n")
     area = F.sum(F.col("n") * (F.col("above") + F.col("p") / 2)) / (pos * neg)
-    return at.agg(area.alias("auc"), (F.sum(F.col("p") * F.col("tp") / F.col("seen")) / pos).alias("average_precision"))
+    step = F.col("p") * (F.col("above") + F.col("p")) / (F.col("beyond") + F.col("p") + F.col("n"))
+    return at.agg(area.alias("auc"), (F.sum(step) / pos).alias("average_precision"))
+
+
+def point_errors(rows: DataFrame) -> DataFrame:
+    """For each video: points, mean and greatest distance of a predicted gaze point (px, py) from the true one (gx, gy); rows that
+    lack either don't count."""
+    error = distance(F.col("px"), F.col("py"), F.col("gx"), F.col("gy"))
+    return rows.groupBy(*KEY).agg(F.count(error).alias("points"), F.avg(error).alias("mean_error"), F.max(error).alias("greatest_error"))
 
 
 class Faces:
