@@ -11,7 +11,6 @@ A text's windows are made in its task. Only those whose hash falls in a bucket t
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -122,18 +121,6 @@ def rolled(codes: np.ndarray, size: int) -> np.ndarray:
     return h
 
 
-def runs(found: list[tuple[int, int]], span: int) -> list[list[tuple[int, int]]]:
-    """Windows (item position, text position) grouped by where in the text the item would start, within half its length."""
-    out: list[list[tuple[int, int]]] = []
-    last = None
-    for start, p, d in sorted((d - p, p, d) for p, d in set(found)):
-        if last is None or start - last > max(2, span // 2):
-            out.append([])
-        out[-1].append((p, d))
-        last = start
-    return out
-
-
 def agreement(pairs: list[tuple[str, str]]) -> float:
     """Share of the pairs (item value, text value) that agree with a one-to-one mapping of values."""
     there, back = defaultdict(Counter), defaultdict(Counter)
@@ -144,50 +131,85 @@ def agreement(pairs: list[tuple[str, str]]) -> float:
     return agree / len(pairs) if pairs else 1.0
 
 
-def alignments(group: list[tuple[int, int]], size: int):
-    """Ways to lay the item on the text: (windows, item position -> text position).
-
-    A template that repeats within itself meets the text at several offsets. Each offset is judged by itself, and with
-    the positions it lacks taken from the offsets nearest to it, as words may be put in or left out between windows."""
-    offsets: dict[int, list[int]] = defaultdict(list)
-    for p, d in group:
-        offsets[d - p].append(p)
-    covers = {o: {p + k for p in at for k in range(size)} for o, at in offsets.items()}
-    if len(covers) == 1:
-        o, at = next(iter(covers.items()))
-        yield len(group), {p: p + o for p in at}
-        return
-    places: dict[int, list[int]] = defaultdict(list)  # for each item position its offsets, in order
-    for o in sorted(covers):
-        for p in covers[o]:
-            places[p].append(o)
-    for o, at in covers.items():
-        yield len(offsets[o]), {p: p + o for p in at}
-        whole = {}
-        for p, known in places.items():
-            k = bisect_left(known, o)
-            whole[p] = p + min(known[max(0, k - 1) : k + 1], key=lambda x: abs(x - o))
-        used = {d - p for p, d in whole.items()}
-        yield sum(len(offsets[x]) for x in used), whole
-
-
-def judged(found: list[tuple[int, int]], slots: list[str], values: dict[int, str], words: int, length: int) -> tuple | None:
+def met_offsets(ps: dict[int, np.ndarray], ds: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets (text position less item position) at which windows of both sides meet, in order, and how many meet at each.
+
+    ps and ds: by hash the windows' positions in the item and in the text. Pairs of windows are counted, not kept."""
+    low = -max(int(p.max()) for p in ps.values())
+    counts = np.zeros(max(int(d.max()) for d in ds.values()) - low + 1, "i8")
+    for h, d in ds.items():
+        few, many, sign = (ps[h], d, 1) if len(ps[h]) <= len(d) else (d, ps[h], -1)
+        for x in few.tolist():
+            counts[sign * (many - x) - low] += 1
+    at = np.flatnonzero(counts)
+    return at + low, counts[at]
+
+
+class Cells:
+    """Text positions that each item position can lie on, by the windows that hold both. Item positions in the same windows
+    (a template that repeats within itself) share theirs."""
+
+    def __init__(self, ps: dict[int, np.ndarray], ds: dict[int, np.ndarray], size: int, length: int):
+        windows: list[int | None] = [None] * length
+        for h, at in ps.items():
+            for p in at.tolist():
+                windows[p] = h
+        alike: dict[tuple, list[int]] = defaultdict(list)
+        for p in range(length):
+            held = tuple((k, windows[p - k]) for k in range(min(size, p + 1)) if windows[p - k] is not None)
+            if held:
+                alike[held].append(p)
+        self.classes = [(np.array(at), np.unique(np.concatenate([ds[h] + k for k, h in held]))) for held, at in alike.items()]
+
+    def lay(self, o: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Item positions in order, and for each the text position whose offset is nearest to o, among offsets from low to high."""
+        at, to = [], []
+        for p, d in self.classes:
+            k = np.searchsorted(d, p + o)
+            right, left = d[np.minimum(k, len(d) - 1)] - p, d[np.maximum(k - 1, 0)] - p
+            after, before = (k < len(d)) & (right <= high), (k > 0) & (left >= low)
+            chosen = np.where(before & (~after | (o - left <= right - o)), left, right)
+            known = after | before
+            at.append(p[known])
+            to.append((p + chosen)[known])
+        at, to = np.concatenate(at), np.concatenate(to)
+        order = np.argsort(at)
+        return at[order], to[order]
+
+
+def judged(ps: dict[int, np.ndarray], ds: dict[int, np.ndarray], slots: list[str], values: dict[int, str], words: int, length: int) -> tuple | None:
     """(coverage, windows, slots, changed slots, consistency) of the best way that an item with `slots` lies on a text of
-    `length` tokens, or None. found: windows (item position, text position); values: slots of the text by position."""
+    `length` tokens, or None. ps and ds: see met_offsets(), of the same hashes; values: the text's slots by position.
+
+    Offsets hang together within half the item's length. Each is judged by itself, and with the positions that it lacks taken
+    from the nearest of its run, as words may be put in or left out between windows. Those at which most windows meet come
+    first; a run ends once nothing in it can be better, so a template that repeats within itself is laid once or twice."""
     size, best = min(WINDOW, len(slots)), None
-    for group in runs(found, len(slots)):
-        for windows, covered in alignments(group, size):
-            share = len(covered) / len(slots)
-            pairs = [(slots[p], values[d]) for p, d in covered.items() if slots[p]]
-            changed = sum(1 for a, b in pairs if a != b)
-            consistent = agreement(pairs)
-            if share < COVERAGE or consistent < CONSISTENT or len(slots) != length and words < WORDS:
-                continue
-            if len(covered) - len(pairs) < min(LITERALS, len(slots)) and not (share == 1.0 and changed == 0):
-                continue
-            rank = (share, consistent, -changed, windows)
-            if best is None or rank > best[0]:
-                best = rank, (share, windows, len(pairs), changed, consistent)
+    if len(slots) != length and words < WORDS:
+        return None
+    offsets, counts = met_offsets(ps, ds)
+    cells = Cells(ps, ds, size, len(slots))
+    starts = np.flatnonzero(np.diff(offsets, prepend=offsets[0] - len(slots) - 3) > max(2, len(slots) // 2))
+    for a, z in zip(starts.tolist(), [*starts[1:].tolist(), len(offsets)]):
+        for k in (a + np.lexsort((offsets[a:z], -counts[a:z]))).tolist():
+            o = int(offsets[k])
+            at, to = cells.lay(o, int(offsets[a]), int(offsets[z - 1]))
+            bound = (len(at) / len(slots), 1.0, 0)
+            if best and best[0] >= bound:
+                break
+            own = to - at == o
+            used = np.searchsorted(offsets, np.unique(to - at))
+            for windows, p, d in ((counts[k], at[own], to[own]), (counts[used].sum(), at, to)):
+                pairs = [(slots[x], values[y]) for x, y in zip(p.tolist(), d.tolist()) if slots[x]]
+                share, consistent = len(p) / len(slots), agreement(pairs)
+                changed = sum(1 for x, y in pairs if x != y)
+                if share < COVERAGE or consistent < CONSISTENT:
+                    continue
+                if len(p) - len(pairs) < min(LITERALS, len(slots)) and not (share == 1.0 and changed == 0):
+                    continue
+                rank = (share, consistent, -changed)
+                if best is None or rank > best[0]:
+                    best = rank, (share, int(windows), len(pairs), changed, consistent)
     return best and best[1]
 
 
@@ -226,14 +248,16 @@ def matches(source: DataFrame, windows: DataFrame) -> DataFrame:
     """source (_row, _id, _text) against the benchmark's windows: _row, _id, item_id, coverage, windows, slots, changed_slots, consistency."""
     spark = source.sparkSession
     kind, item_kind = source.schema["_id"].dataType.simpleString(), windows.schema["item_id"].dataType.simpleString()
-    # at most 2 ** BUCKET_BITS numbers for each size of window, and at most WINDOW sizes
-    bucket = F.shiftrightunsigned("hash", 64 - BUCKET_BITS).cast("int").alias("bucket")
-    asked = windows.select("size", bucket).distinct().toArrow()
+    # items of few words are looked for in texts of their own length only; a bitmap for each size of window, of either kind
+    lone = (F.col("words") < WORDS).alias("lone")
+    bucket = F.shiftrightunsigned("hash", 64 - BUCKET_BITS)
+    maps = windows.select("size", lone, (bucket + 1).alias("b")).groupBy("size", "lone", F.bitmap_bucket_number("b").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("b")).alias("bits"))
+    # at most 2 ** BUCKET_BITS bits for each size and kind, and at most 2 * WINDOW of these
     sieves = {}
-    for size in sorted(set(asked.column("size").to_pylist())):
-        sieve = np.zeros(1 << BUCKET_BITS, bool)
-        sieve[asked.column("bucket").to_numpy()[asked.column("size").to_numpy() == size]] = True
-        sieves[size] = np.packbits(sieve, bitorder="little")
+    for r in maps.toLocalIterator():
+        sieve = sieves.setdefault((r["size"], r["lone"]), np.zeros((1 << BUCKET_BITS) // 8, "u1"))
+        bits = np.frombuffer(r["bits"], "u1")
+        sieve[(r["part"] - 1) * len(bits) : r["part"] * len(bits)] = bits[: len(sieve)]
     sent = spark.sparkContext.broadcast(sieves)
 
     def run(it):
@@ -242,12 +266,12 @@ def matches(source: DataFrame, windows: DataFrame) -> DataFrame:
             laid = forms.lay(batch.column("_text"))
             n = np.diff(laid.at)
             out: list[list] = [[] for _ in range(6)]
-            for size, sieve in sent.value.items():
+            for (size, lone), sieve in sent.value.items():
                 h = rolled(laid.codes, size)
                 b = h >> np.uint64(64 - BUCKET_BITS)
                 hit = np.flatnonzero((sieve[b >> np.uint64(3)] >> (b & np.uint64(7)).astype("u1")) & 1)
                 own = np.searchsorted(laid.at, hit, "right") - 1
-                within = hit + size <= laid.at[own + 1]
+                within = (hit + size == laid.at[own + 1]) & (hit == laid.at[own]) if lone else hit + size <= laid.at[own + 1]
                 for x, k in zip(hit[within].tolist(), own[within].tolist()):
                     for column, v in zip(out, (k, size, int(h[x].view("i8")), x - int(laid.at[k]), int(n[k]), [laid.value(y) for y in range(x, x + size)])):
                         column.append(v)
@@ -256,18 +280,26 @@ def matches(source: DataFrame, windows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("_row").take(at), batch.column("_id").take(at), *(pa.array(x, t) for x, t in zip(out[1:], kinds))], ["_row", "_id", "size", "hash", "d", "length", "values"])
 
     found = source.mapInArrow(run, f"_row long, _id {kind}, size long, hash long, d long, length long, values array<string>")
-    met = found.join(windows.select("item", "size", "hash", "p"), ["hash", "size"])
+    # a row for each window of the text, however often the item has it; a window that is looked for in two ways comes twice
+    met = found.join(windows.select("item", "size", "hash").distinct(), ["hash", "size"])
     # one document and one item
-    each = met.groupBy("_row", "item").agg(F.first("_id").alias("_id"), F.first("length").alias("length"), F.collect_list(F.struct("p", "d", "values")).alias("found"))
-    items = windows.where("p = 0").select("item", "item_id", F.col("slots").alias("own"), "words")
+    each = met.groupBy("_row", "item").agg(F.first("_id").alias("_id"), F.first("length").alias("length"), F.collect_list(F.struct("hash", "d", "values")).alias("found"))
+    items = windows.groupBy("item").agg(F.first("item_id").alias("item_id"), F.first("slots").alias("own"), F.first("words").alias("words"), F.collect_list(F.struct("hash", "p")).alias("windows"))
     whole = f"_row long, _id {kind}, item_id {item_kind}, coverage double, windows long, slots long, changed_slots long, consistency double"
 
+    def by_hash(rows: list[dict], at: str) -> dict[int, np.ndarray]:
+        out: dict[int, set] = defaultdict(set)
+        for x in rows:
+            out[x["hash"]].add(x[at])
+        return {h: np.array(sorted(v)) for h, v in out.items()}
+
     def judge(it):
         for batch in it:
             at, rows = [], []
-            for k, (hits, own, words, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("found", "own", "words", "length")))):
+            for k, (hits, held, own, words, length) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("found", "windows", "own", "words", "length")))):
                 values = {x["d"] + j: v for x in hits for j, v in enumerate(x["values"])}
-                row = judged([(x["p"], x["d"]) for x in hits], own, values, words, length)
+                ds = by_hash(hits, "d")
+                row = judged({h: p for h, p in by_hash(held, "p").items() if h in ds}, ds, own, values, words, length)
                 if row:
                     at.append(k)
                     rows.append(row)

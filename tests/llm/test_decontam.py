@@ -1,6 +1,10 @@
 """Decontamination beside a plain loop over documents, items and offsets."""
 
 import random
+import time
+from collections import defaultdict
+
+import numpy as np
 
 from sightline.llm import decontam, queries
 
@@ -17,6 +21,32 @@ def template(text):
     return out
 
 
+def by_hand(found, slots, values, words, length):
+    """All ways to lay an item on a text, from pairs (item position, text position) of windows; the first of the best."""
+    size, best = min(decontam.WINDOW, len(slots)), None
+    if len(slots) != length and words < decontam.WORDS:
+        return None
+    at = defaultdict(list)
+    for p, d in found:
+        at[d - p].append(p)
+    groups = []
+    for o in sorted(at):
+        if not groups or o - groups[-1][-1] > max(2, len(slots) // 2):
+            groups.append([])
+        groups[-1].append(o)
+    for group in groups:
+        covers = {o: {p + k for p in at[o] for k in range(size)} for o in group}
+        for o in sorted(group, key=lambda o: (-len(at[o]), o)):
+            near = {p: p + min((x for x in group if p in covers[x]), key=lambda x: (abs(x - o), x)) for p in set().union(*covers.values())}
+            for windows, lies in ((len(at[o]), {p: p + o for p in covers[o]}), (sum(len(at[x]) for x in {d - p for p, d in near.items()}), near)):
+                pairs = [(slots[p], values[d]) for p, d in sorted(lies.items()) if slots[p]]
+                share, consistent, changed = len(lies) / len(slots), decontam.agreement(pairs), sum(a != b for a, b in pairs)
+                literal = len(lies) - len(pairs) >= min(decontam.LITERALS, len(slots)) or share == 1 and not changed
+                if share >= decontam.COVERAGE and consistent >= decontam.CONSISTENT and literal and (best is None or (share, consistent, -changed) > best[0]):
+                    best = (share, consistent, -changed), (share, windows, len(pairs), changed, consistent)
+    return best and best[1]
+
+
 def loop(docs, items):
     got = {}
     for i, text in docs:
@@ -27,7 +57,7 @@ def loop(docs, items):
                 b = template(form)
                 size = min(decontam.WINDOW, len(b))
                 found = [(p, k) for p in range(len(b) - size + 1) for k in range(len(d) - size + 1) if size and [x for x, _ in b[p : p + size]] == [x for x, _ in d[k : k + size]]]
-                row = found and decontam.judged(found, [v for _, v in b], dict(enumerate(v for _, v in d)), len(form.split()), len(d))
+                row = found and by_hand(found, [v for _, v in b], dict(enumerate(v for _, v in d)), len(form.split()), len(d))
                 if row and (best is None or (row[0], row[4], -row[3], row[1]) > (best[0], best[4], -best[3], best[1])):
                     best = row
             if best:
@@ -83,3 +113,34 @@ def test_verbatim_passages_of_the_tables(spark):
     want = {(i, j) for i, t in docs for j, x in items if x in t}
     got = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, d).collect()}
     assert want and want <= got and len(got) < 2 * len(want)
+
+
+def test_texts_that_repeat_themselves(spark):
+    """Linear in the text, whatever meets what: a word over and over, with and without slots, and short items."""
+    items = [("yes", "yes " * 1000), ("no", "yes " * 500 + "no"), ("the", "the"), ("cats", "3 cats ran " * 40), ("two", "the end")]
+    texts = ["yes " * 20_000, "yes " * 1200 + "no", "the " * 20_000, "the", " ".join(f"{k % 7} cats ran" for k in range(2000)), "so the end is near", "the end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    began = time.time()
+    got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
+    assert time.time() - began < 60
+    assert got == {(0, "yes"), (0, "no"), (1, "yes"), (1, "no"), (3, "the"), (6, "two")} | ({(4, "cats")} & got)
+
+
+def test_judged_as_by_hand():
+    rng = random.Random(4)
+    for _ in range(400):
+        words = rng.choice([["a"], ["a", "b"], ["a", "b", "c", "<number>"]])
+        item, text = ([rng.choice(words) for _ in range(rng.randint(8, 24))] for _ in "it")
+        text = text + item[: rng.randint(0, 24)] + [rng.choice(words) for _ in range(rng.randint(0, 9))] + item[rng.randint(0, 9) :]
+        slots, values = ([rng.choice("12") if t == "<number>" else "" for t in x] for x in (item, text))
+        found, ps, ds = [], defaultdict(list), defaultdict(list)
+        for p in range(len(item) - 7):
+            ps[hash(tuple(item[p : p + 8]))].append(p)
+        for d in range(len(text) - 7):
+            if (h := hash(tuple(text[d : d + 8]))) in ps:
+                ds[h].append(d)
+                found += [(p, d) for p in ps[h]]
+        if found:
+            want = by_hand(found, slots, dict(enumerate(values)), 9, len(text))
+            assert decontam.judged({h: np.array(ps[h]) for h in ds}, {h: np.array(x) for h, x in ds.items()}, slots, dict(enumerate(values)), 9, len(text)) == want
