@@ -140,8 +140,23 @@ def parse_reply(text: Column, schema: str) -> Column:
     return F.coalesce(array(text), F.when(begins(text, "{"), array(inner)), F.when(~begins(text, "["), array(field(braces))), array(brackets))
 
 
+#: What each prompt asks for.
+PROMPTS = {
+    "prompt_A": ("gaze", "mcq"), "prompt_B": ("gaze", "mcq"), "prompt_B_OE": ("gaze", "open_ended"), "prompt_C": ("gesture", "mcq"), "prompt_D": ("gesture", "mcq"),
+    "prompt_D_OE": ("gesture", "open_ended"), "prompt_E": ("cross", "mcq"), "prompt_E_OE": ("cross", "open_ended"),
+}
+
+
+def of_prompts(written: DataFrame) -> DataFrame:
+    """written (with the column prompt) whose mode and format are those its prompt asks for, whatever a reply says of itself; open
+    questions lose their options. Those of a prompt that isn't known have neither, and fail the check."""
+    of = lambda k: reduce(lambda c, x: c.when(F.col("prompt") == x[0], F.lit(x[1][k])), PROMPTS.items(), F.when(F.lit(False), F.lit("")))
+    out = written.withColumns({"mode": of(0), "format": of(1)})
+    return out.withColumn("options", F.when(F.col("format") == "mcq", F.col("options")))
+
+
 def checked(written: DataFrame) -> DataFrame:
-    """Adds reason (null: valid) and the category's difficulty. written: category, format, mode, question, answer,
+    """Adds reason (null: valid) and the category's difficulty; see of_prompts() for the format. written: category, format, mode, question, answer,
     answer_text, options, time_range, person_ids; null fields count as empty. Of an open question the answer becomes its text."""
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     options = F.when(F.col("format") == "mcq", F.coalesce("options", F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
@@ -152,7 +167,7 @@ def checked(written: DataFrame) -> DataFrame:
     prefix = reduce(lambda c, x: c.when(F.col("mode") == x[0], F.lit(x[1])), PREFIX.items(), F.when(F.lit(False), F.lit("")))
     words = F.size(F.filter(F.split(text("answer_text"), r"\s+"), lambda w: w != ""))
     reason = (
-        F.when(~F.col("format").isin("mcq", "open_ended"), "format")
+        F.when(~F.coalesce("format", F.lit("")).isin("mcq", "open_ended"), "format")
         .when((F.col("format") == "mcq") & ~text("answer").isin("A", "B", "C", "D"), "answer").when((F.col("format") == "mcq") & (F.size(options) != 4), "options")
         .when((F.col("format") == "open_ended") & (words < 5), "short").when(has(low, BANNED), "banned").when(unknown, "person")
         .when(~F.startswith(text("category"), prefix), "category").when(F.coalesce(F.size("time_range"), F.lit(0)) < 2, "time_range")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import events, features
-from ..session import save
+from ..session import save_clustered
 from ..sources import adapters
 
 QUERIES, ORACLE = {}, {}
@@ -186,8 +186,9 @@ def e6_mutual_gaze(spark, sf_dir):
 
 
 def detected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = save(features.features(gaze(spark, sf_dir)), "features")  # five detectors read them
-    return events.all_events(rows, save(features.frame_features(rows), "frames"))
+    # five detectors read them, each by video
+    rows = save_clustered(features.features(gaze(spark, sf_dir)), "features", "video_id")
+    return events.all_events(rows, save_clustered(features.frame_features(rows), "frames", "video_id"))
 
 
 @query(f"{ALL} select {TOLD} from every")

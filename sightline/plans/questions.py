@@ -90,8 +90,8 @@ def t8_balanced_by_difficulty(spark, sf_dir):
 
 WRITTEN = """select conv_id video_id, cast(turn as bigint) idx, case conv_id % 4 when 0 then 'T1' when 1 then 'G2' when 2 then 'C1' else 'C4' end category, case when turn % 3 = 0 then 'open_ended' when turn % 17 = 5 then 'essay' else 'mcq' end format,
   case conv_id % 4 when 0 then 'gaze' when 1 then 'gesture' when 2 then 'cross' else case when turn % 2 = 0 then 'cross' else 'gaze' end end mode,
-  concat('At ', cast(turn % 7 as varchar(5)), '.5s and 12.0 seconds, does Person ', cast(conv_id % 5 as varchar(5)), case when turn % 2 = 0 then ' look and point: ' else ' wait: ' end, substring(text, 1, 40)) question,
-  case turn % 6 when 5 then 'AB' when 4 then 'E' else 'B' end answer, concat(substring(text, 41, 60), case when conv_id % 11 = 0 then ' unlikely' else '' end) answer_text, 3 + case when conv_id % 9 > 0 then 1 else 0 end n_options, case when conv_id % 13 > 0 then 2 else 1 end n_times from {conversations}"""
+  concat('At ', cast(turn % 7 as varchar(5)), '.5s and 12.0 seconds, does Person ', cast(conv_id % 5 as varchar(5)), case when turn % 2 = 0 then ' look and point: ' else ' wait: ' end, substring(text, 1, cast(floor(length(text)/2e0) as int))) question,
+  case turn % 6 when 5 then 'AB' when 4 then 'E' else 'B' end answer, concat(substring(text, cast(floor(length(text)/2e0) as int) + 1), case when conv_id % 11 = 0 then ' unlikely' else '' end) answer_text, 3 + case when conv_id % 9 > 0 then 1 else 0 end n_options, case when conv_id % 13 > 0 then 2 else 1 end n_times from {conversations}"""
 
 
 def _written(spark, sf_dir):
@@ -101,12 +101,15 @@ def _written(spark, sf_dir):
     return rows.withColumns({"options": option, "time_range": times, "person_ids": F.array(*(F.lit(k).cast("long") for k in range(4)))}).drop("n_options", "n_times")
 
 
-@query(f"""with w as ({WRITTEN.format(conversations='conversations')}), c as (select *, lower(answer_text) low, lower(question) q, len(list_filter(regexp_split_to_array(answer_text, '\\s+'), lambda x: x <> '')) words, case category when 'T1' then 'easy' when 'G2' then 'easy' when 'C1' then 'medium' else 'hard' end difficulty from w)
+CHECKED = f"""with w as ({WRITTEN.format(conversations='conversations')}), c as (select *, lower(answer_text) low, lower(question) q, len(list_filter(regexp_split_to_array(answer_text, '\\s+'), lambda x: x <> '')) words, case category when 'T1' then 'easy' when 'G2' then 'easy' when 'C1' then 'medium' else 'hard' end difficulty from w)
 select video_id, idx, difficulty, case when format = 'open_ended' then answer_text else answer end answer, case when format = 'essay' then 'format' when format = 'mcq' and answer <> 'B' then 'answer' when format = 'mcq' and n_options <> 4 then 'options' when format = 'open_ended' and words < 5 then 'short'
   when regexp_matches(low, 'suggesting|indicating|likely|because|implies|emotion|feeling|probably|seems') then 'banned'
   when len(list_filter(regexp_extract_all(concat(question, ' ', answer_text), 'Person (\\d+)', 1), lambda p: cast(p as bigint) > 3)) > 0 then 'person'
   when substring(category, 1, 1) <> case mode when 'gaze' then 'T' when 'gesture' then 'G' else 'C' end then 'category' when n_times < 2 then 'time_range'
-  when mode = 'cross' and not (regexp_matches(q, 'look|gaze|eye contact|attention|watching') and regexp_matches(q, 'point|give|hand|show|reach|gesture')) then 'cross' end reason from c""")
+  when mode = 'cross' and not (regexp_matches(q, 'look|gaze|eye contact|attention|watching') and regexp_matches(q, 'point|give|hand|show|reach|gesture')) then 'cross' end reason from c"""
+
+
+@query(CHECKED)
 def f12_checked_questions(spark, sf_dir):
     return questions.checked(_written(spark, sf_dir)).select("video_id", "idx", "difficulty", "answer", "reason")
 
@@ -118,9 +121,17 @@ def e12_ingest_replies(spark, sf_dir):
     return questions.drop_alike(kept, ["video_id", "mode"], "idx")
 
 
-@query(f"with r as ({WRITTEN.format(conversations='conversations')}) select video_id, mode, count(*) written, count(*) filter (answer = 'B') valid, sum(count(*) filter (answer = 'B')) over (partition by video_id) as of_video from r group by video_id, mode")
+@query(f"with k as ({CHECKED}), m as ({WRITTEN.format(conversations='conversations')}) select k.video_id, mode, count(*) written, count(*) filter (reason is null) valid, sum(count(*) filter (reason is null)) over (partition by k.video_id) as of_video from k join m using (video_id, idx) group by k.video_id, mode")
 def a17_reply_report(spark, sf_dir):
-    return questions.reply_report(_written(spark, sf_dir).withColumn("reason", F.when(F.col("answer") != "B", "answer")), ["video_id", "mode"])
+    return questions.reply_report(questions.checked(_written(spark, sf_dir)), ["video_id", "mode"])
+
+
+@query(f"with r as ({WRITTEN.format(conversations='conversations')}), p as (select *, case idx % 9 when 0 then 'prompt_A' when 1 then 'prompt_B' when 2 then 'prompt_B_OE' when 3 then 'prompt_C' when 4 then 'prompt_D' when 5 then 'prompt_D_OE' when 6 then 'prompt_E' when 7 then 'prompt_E_OE' end prompt from r) select video_id, idx, case when prompt in ('prompt_A', 'prompt_B', 'prompt_B_OE') then 'gaze' when prompt in ('prompt_C', 'prompt_D', 'prompt_D_OE') then 'gesture' when prompt is not null then 'cross' end as mode, case when prompt like '%OE' then 'open_ended' when prompt is not null then 'mcq' end format, case when prompt not like '%OE' then n_options end n_options from p")
+def f12_of_prompts(spark, sf_dir):
+    """Mode and format of questions by the prompt that asked for them, not by what they say."""
+    names = F.array(*(F.lit(n) for n in questions.PROMPTS))
+    rows = _written(spark, sf_dir).withColumn("prompt", F.get(names, (F.col("idx") % 9).cast("int")))
+    return questions.of_prompts(rows).select("video_id", "idx", "mode", "format", F.when(F.col("options").isNotNull(), F.size("options").cast("long")).alias("n_options"))
 
 
 @query()

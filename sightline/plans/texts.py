@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry, text
@@ -72,10 +73,11 @@ def x31_person_lists(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", text.persons_text(persons).alias("persons"), text.option_text(options, answer).alias("chosen"))
 
 
-@query(r"with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) a, list_distinct(list_filter(regexp_split_to_array(lower(substring(text, 1, 100)), '\s+'), lambda x: x <> '')) b, regexp_matches(text, '(?i)\b(how\s+(much\s+time|long)|time\s+passes|elapsed|delay|duration)\b') asks from conversations) select conv_id, turn, len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) jaccard, asks from w")
+@query(r"with w as (select conv_id, turn, list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) a, list_distinct(list_filter(regexp_split_to_array(lower(after), '\s+'), lambda x: x <> '')) b, regexp_matches(text, '(?i)\b(how\s+(much\s+time|long)|time\s+passes|elapsed|delay|duration)\b') asks from (select *, coalesce(lead(text) over (partition by conv_id order by turn), '') after from conversations)) select conv_id, turn, len(list_intersect(a, b)) / greatest(len(list_distinct(list_concat(a, b))), 1) jaccard, asks from w")
 def x32_word_sets(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.jaccard(t, F.substring(t, 1, 100)).alias("jaccard"), text.asks_duration(t).alias("asks"))
+    """The words of each turn and of the one after it."""
+    t, after = F.col("text"), F.coalesce(F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn")), F.lit(""))
+    return table(spark, sf_dir, "conversations").withColumn("after", after).select("conv_id", "turn", text.jaccard(t, F.col("after")).alias("jaccard"), text.asks_duration(t).alias("asks"))
 
 
 @query("with b as (select event_id, (event_id % 97)/1e2 x, (event_id % 89)/1e2 y, 1e-1 + (event_id % 7)/5e1 w, 1e-1 + (event_id % 5)/5e1 h, (event_id % 83)/1e2 u, (event_id % 79)/1e2 v from events), c as (select *, greatest(0, least(x+w, u+2e-1) - greatest(x, u)) iw, greatest(0, least(y+h, v+2e-1) - greatest(y, v)) ih from b) select event_id, round(iw*ih/((x+w-x)*(y+h-y) + (u+2e-1-u)*(v+2e-1-v) - iw*ih), 6) iou, (x+(x+w))/2 >= u and (x+(x+w))/2 <= u+2e-1 and (y+(y+h))/2 >= v and (y+(y+h))/2 <= v+2e-1 inside, cast(trunc(x*1920) as bigint) px, printf('position: [%.4f, %.4f]', (x+(x+w))/2, (y+(y+h))/2) place from c")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -44,13 +45,31 @@ def prepare(spark: SparkSession) -> SparkSession:
 _local: dict[str, str] = {}
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only where that is unset and Spark runs in one process (tests) a local one: on a
+    cluster, executors wouldn't see it."""
+    if named := spark.conf.get("spark.checkpoint.dir", None):
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="spark-")
+    return _local[app]
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A new folder in that of spark.checkpoint.dir; only where that is unset (tests), in a local one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        root = _local.setdefault(app, _local.get(app) or tempfile.mkdtemp(prefix="spark-"))
-    return f"{root.rstrip('/')}/sightline/{name}-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_root(spark)}/sightline/{name}-{uuid.uuid4().hex}"
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all that queries have written to the shared folder, once their results aren't read any more."""
+    for t in spark.catalog.listTables():
+        if t.name.startswith("sightline_"):
+            spark.sql(f"DROP TABLE {t.name}")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/sightline")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
@@ -58,3 +77,12 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def save_clustered(df: DataFrame, name: str, key: str) -> DataFrame:
+    """save() in buckets by key, as many as a shuffle has partitions: what groups, joins or windows its rows by the key (and other
+    columns) needs no shuffle any more, however often it is read."""
+    spark = df.sparkSession
+    table, path = f"sightline_{name}_{uuid.uuid4().hex}", new_path(spark, name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
