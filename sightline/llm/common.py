@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import zlib
 
@@ -13,26 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_root
+
 #: The pattern of a word: a run of anything but ASCII white space (bytes.split() cuts alike).
 NOT_SPACE = "[^\\x20\\x09-\\x0D]+"
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: Rows of ids or hashes that are broadcast at most.
 SMALL_ROWS = 500_000
-_local: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset (tests), a new local one."""
-    if named := spark.conf.get("spark.checkpoint.dir", None):
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _local:
-        _local[app] = tempfile.mkdtemp(prefix="spark-")
-    return _local[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/sightline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/sightline/{name}-{uuid.uuid4().hex}"
 
 
 def save(df: DataFrame, name: str) -> DataFrame:

@@ -117,7 +117,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     The edited text has its last third (rounded down) replaced by as much of the next document's start. Null text:
-    empty. Null ids come last in the order; equal ids by text; repeated rows follow each other; a table of one row is
+    empty. doc_id has to be a whole number (or a text of one: any other stops the job). Null ids come last in the order; equal ids by text; repeated rows follow each other; a table of one row is
     followed by itself; an empty table gives no rows; other columns are not read.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))

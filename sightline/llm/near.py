@@ -365,7 +365,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 20, seed: int = 42) -> DataFrame:
-    """docs with one row of each group of near_copies(): that with the smallest id, a null id last; same columns."""
+    """docs with one row of each group of near_copies(): that with the smallest id, a null id last; same columns.
+
+    A null text counts as an empty one; repeated rows are copies; an empty table gives no rows; other
+    columns, whatever their names, are handed on. Long texts are taken whole."""
     names = [f"_c{k}" for k in range(len(docs.columns))]
     at, text_at = docs.columns.index(id_col), docs.columns.index(text_col)
     kept = [n for k, n in enumerate(names) if k != text_at]

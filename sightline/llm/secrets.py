@@ -163,7 +163,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, mark: str = "<secret>") -> DataFrame:
-    """docs with each span (overlapping ones joined) replaced by mark in text, and n_chars brought up to date where there is such a column."""
+    """docs with each span (overlapping ones joined) replaced by mark in text, and n_chars brought up to date where there is such a column.
+
+    All rows stay, repeated ones and those of null or equal ids too; a null or empty text stays as it is; an empty table gives
+    no rows; other columns, whatever their names, are handed on. Long texts are scanned whole."""
     cols = docs.columns
     own = {c: f"_c{k}" for k, c in enumerate(cols)}
     found = find_secrets(docs.toDF(*own.values()), list(own.values()), HIDDEN, own["text"])

@@ -100,7 +100,10 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], thr
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.7) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; same columns, whatever their names."""
+    """docs without the rows whose score reaches the threshold; same columns, whatever their names.
+
+    A null or empty text has the score of no n-gram but its ends; repeated rows and those of null ids are judged each; an
+    empty table gives no rows. Long texts are judged whole, segment by segment."""
     names, out = _scored(docs, model, docs.columns, threshold)
     return out.where("predicted = 0").select(*(F.col(n).alias(c) for c, n in names.items()))
 

@@ -328,7 +328,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, verified: pages written as archives and read back.
 
     payload_bytes and payload_digest of a response are worked out from the payload read; a revisit has those of its
-    header. verified: header and payload agree."""
+    header. verified: header and payload agree. page_id has to be a whole number (or a text of one: any other stops the job);
+    null and equal ids are pages of their own; null html: empty; an empty table gives no rows; other columns are not read."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path)
