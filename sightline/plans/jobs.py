@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import events, features, graph, questions, timeline, tv
+from ..functions import geometry
+from ..operators import evaluate, features, graph, questions, timeline, tv
 from ..session import new_path, save
 from ..sources import adapters, documents, pairing, sinks
 from .chain import gaze_chain
@@ -13,6 +14,7 @@ from .gaze import BASE as GAZE_BASE
 from .gaze import gaze, rounded
 from .questions import WRITTEN, _written
 from .timeline import BASE, gaze_events, gestures, gt, merged
+from .timeline import ORACLE as TIMELINE_SQL
 
 QUERIES, ORACLE = {}, {}
 NUMBER = "cast(substr(video_id, 2, 10) as bigint)"
@@ -174,6 +176,36 @@ def j21_paired_files(spark, sf_dir):
     return pairing.paired_files(put("true", "/v/", "b", "_viz.mp4"), found, held)
 
 
+@query(f"with w as ({WRITTEN.format(conversations='conversations')}) select concat('v', video_id) video_id, row_number() over (partition by video_id order by idx) - 1 place, category, format, question, answer, answer_text, n_options, n_times from w")
+def s11_question_documents(spark, sf_dir):
+    """Questions written as documents and read back."""
+    rows = _written(spark, sf_dir).withColumn("video_id", F.concat(F.lit("v"), F.col("video_id").cast("string")))
+    kept = [F.col("idx").cast("string").alias("question_id"), "category", F.lit(None).cast("string").alias("subcategory"), "format", "question", "answer", "answer_text", "options", "time_range"]
+    path = new_path(spark, "questions")
+    documents.write(rows.groupBy("video_id").agg(documents.listed("qa_pairs", "idx", kept)), path)
+    got = documents.elements(documents.named(spark, path, documents.QUESTIONS), "qa_pairs", "place")
+    return got.select("video_id", F.col("place").cast("long").alias("place"), "category", "format", "question", "answer", "answer_text", F.size("options").cast("long").alias("n_options"), F.size("time_range").cast("long").alias("n_times"))
+
+
+@query(f"{BASE}, p as (select video_id, gaze_place gaze_idx, gesture_place gesture_idx, case when o then 'overlap' else 'adjacent' end relation, (select count(*) from tl where tl.video_id = pairs.video_id) num_events_filtered from pairs) select * from p")
+def s11_graph_documents(spark, sf_dir):
+    """Graphs (here without their filter) written as documents and read back."""
+    rows = merged(spark, sf_dir)
+    pairs = timeline.cross_modal_pairs(rows).select("video_id", F.col("gaze_place").alias("gaze_idx"), F.col("gesture_place").alias("gesture_idx"), "relation", "seconds")
+    events_ = rows.withColumn("description", F.lit(None).cast("string")).groupBy("video_id").agg(F.count("*").alias("num_events_filtered"), documents.listed("events", "place", ["place", "source", "item", "kind", "start_time", "end_time", "confidence", "persons", "description"]))
+    held = pairs.withColumn("_at", F.struct("gaze_idx", "gesture_idx")).groupBy("video_id").agg(documents.listed("cross_modal_pairs", "_at", ["gaze_idx", "gesture_idx", "relation", "seconds"]))
+    path = new_path(spark, "graphs")
+    documents.write(events_.join(held, "video_id", "left"), path)
+    docs = documents.named(spark, path, documents.GRAPH)
+    return documents.elements(docs, "cross_modal_pairs").drop("seconds").join(docs.select("video_id", "num_events_filtered"), "video_id")
+
+
+@query(f"{BASE} select distinct video_id from s where video_id not in (select video_id from e where confidence = 1e0)")
+def j19_not_done(spark, sf_dir):
+    """Videos that have gestures and no result yet (here an event that is sure)."""
+    return documents.not_done(gestures(spark, sf_dir).select("video_id").distinct(), gaze_events(spark, sf_dir).where("confidence = 1"))
+
+
 # --- graphs, merges and evaluation --------------------------------------------------------------------------------
 
 
@@ -318,6 +350,23 @@ def a15_confirmed_counts(spark, sf_dir):
     return questions.verdict_counts(gaze_events(spark, sf_dir).withColumn("confirmed", F.col("event_id") % 3 != 0))
 
 
+KIND = ", ".join(f"coalesce(sum(n) filter (coalesce(pred_type, 'missed') = '{k}'), 0) {k}" for k in (*questions.GESTURES, "missed"))
+
+
+@query(f"with c as ({TIMELINE_SQL['a13_confusion']}) select gt_type, {KIND} from c group by gt_type")
+def a13_confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(evaluate.confusion(gt(spark, sf_dir), gestures(spark, sf_dir)), list(questions.GESTURES))
+
+
+@query("select l_orderkey, l_linenumber, l_partkey, l_suppkey, round(a - w / 2, 6) x1, round(b - h / 2, 6) y1, round(a + w / 2, 6) x2, round(b + h / 2, 6) y2, a <= 5e-1 + w and 5e-1 <= a + w meet from (select *, (l_partkey % 100) / 1e2 a, (l_suppkey % 50) / 5e1 b, l_quantity / 1e2 w, 1e-1 + l_discount h from lineitem)")
+def x22_boxes(spark, sf_dir):
+    """Corners of boxes given by centre and size; and spans of equal length that touch or overlap."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_partkey") % 100 / 1e2).alias("a"), (F.col("l_suppkey") % 50 / 5e1).alias("b"), (F.col("l_quantity").cast("double") / 1e2).alias("w"), (F.col("l_discount").cast("double") + 0.1).alias("h"))
+    box = geometry.corners_of_centre(F.col("a"), F.col("b"), F.col("w"), F.col("h"))
+    spans = geometry.overlaps(F.col("a"), F.col("a") + F.col("w"), F.lit(0.5), F.lit(0.5) + F.col("w"), strict=False)
+    return rows.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", *(F.round(c, 6).alias(n) for c, n in zip(box, ("x1", "y1", "x2", "y2"))), spans.alias("meet"))
+
+
 # --- features -----------------------------------------------------------------------------------------------------
 
 
