@@ -165,3 +165,29 @@ def test_schedule():
         assert 2 <= rounds <= scoring.MOST_ROUNDS and (every == 1 or n / every * rounds >= min(n, scoring.LEAST_WINDOWS) * 0.9)
         assert n / every / shards < 2.1 * scoring.SHARD_WINDOWS
     assert scoring.schedule(10**9)[0:2] == (2, 64) and scoring.schedule(10_000_001)[0] == 2
+
+
+def test_pieces_hold_every_window_once(model):
+    _, t, rows = model
+    r = np.random.default_rng(1)
+    ids = [rows[0], r.integers(0, 9, 1), r.integers(0, 9, 5_000), rows[1][:64], r.integers(0, 9, scoring.PIECE * attention.SCORED + 1)]
+    now, at = t.number[np.concatenate(ids)], np.concatenate([[0], np.cumsum([len(x) for x in ids])])
+    cut, h, lead = scoring.pieces(now, at, np.arange(len(ids)).astype("u8"))
+    assert len(cut) > len(ids) and max(map(len, cut)) // 2 <= (scoring.PIECE + 2) * attention.SCORED
+    got = Counter()
+    for a in range(0, len(cut), 3):  # in whatever company
+        part = [np.frombuffer(x, "<u2").astype("i4") for x in cut[a : a + 3]]
+        x, goal = scoring.piece_windows(np.concatenate(part), np.concatenate([[0], np.cumsum([len(p) for p in part])]), h[a : a + 3], lead[a : a + 3])
+        got.update((p.tobytes(), q.tobytes()) for p, q in zip(x.astype("i4"), goal.astype("i4")))
+    x, goal, _ = attention.picked_windows(now, at, np.arange(len(ids)).astype("u8"), 1, 0)
+    assert got == Counter((p.tobytes(), q.tobytes()) for p, q in zip(x.astype("i4"), goal.astype("i4")))
+
+
+def test_training_has_no_switch_by_size(spark, monkeypatch):
+    """Small and large tables are learnt from alike: what told them apart has no bearing on scores."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    whole = {r.doc_id: r.score for r in scoring.score_texts(docs, TOKENIZER).collect()}
+    monkeypatch.setattr(scoring, "LEAST_WINDOWS", 1)
+    monkeypatch.setattr(scoring, "MOST_ROUNDS", 2)
+    got = {r.doc_id: r.score for r in scoring.score_texts(docs, TOKENIZER).collect()}
+    assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in got) < 0.01
