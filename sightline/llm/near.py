@@ -24,10 +24,12 @@ HOT_ROWS, HOT_PARTS, SUB_BITS = 2_000, 20_000, 6
 LEAF, FRONTIER = 64, 200_000
 #: Pairs of members that are compared at once.
 LEAVES = 2_000_000
-#: Similarity estimates are taken as they are from SURE above the threshold on, and checked from as much below it.
+#: Estimated pairs count as sure from SURE above the threshold on, as doubtful from CHECKED below it; both are checked.
 SURE, CHECKED = 0.14, 0.15
 #: Words of 64 bits by which a trie estimates its pairs, others in each trie.
 ESTIMATED = 4
+#: Shingles are counted in so many buckets (a power of 2), to put rare ones first.
+BUCKET_BITS = 19
 
 
 def shingles(text: str | None, size: int) -> list[bytes]:
@@ -310,13 +312,124 @@ def estimate(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return common / np.maximum(a + b - common, 1)
 
 
+def shingle_set(text: str, size: int, seed: int) -> np.ndarray:
+    """Sorted hashes of the distinct shingles."""
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in set(shingles(text, size))), "u8"))
+
+
+def rarest(found: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """So many of a set's hashes, in one order for all sets (by their buckets' counts, then by hash), that two sets of this
+    similarity have one in common: such sets share similarity * size at least, of either's size."""
+    n = len(found)
+    order = np.lexsort((found, counts[(found >> np.uint64(64 - BUCKET_BITS)).astype("i8")]))
+    return found[order[: n - int(np.ceil(similarity * n - 1e-9)) + 1]] if n else found
+
+
+def shared_pairs(token: np.ndarray, root: np.ndarray, size: np.ndarray, at: np.ndarray, similarity: float):
+    """Pairs (i, j) of rows with one token, but other roots, in chunks; rows are sorted by token and root. Left out are pairs
+    whose sizes, or what comes after the token (the at-th of each set), rule out the similarity."""
+    n = len(token)
+    new = np.ones(n, bool)
+    new[1:] = token[1:] != token[:-1]
+    other = new.copy()
+    other[1:] |= root[1:] != root[:-1]
+    ends = lambda starts: np.append(np.flatnonzero(starts)[1:], n)[np.cumsum(starts) - 1]
+    first, last = ends(other), ends(new)
+    upto = np.cumsum(last - first)
+    k = 0
+    while k < n:
+        to = max(k + 1, int(np.searchsorted(upto, (upto[k - 1] if k else 0) + LEAVES, "right")))
+        count = last[k:to] - first[k:to]
+        i = np.repeat(np.arange(k, to), count)
+        j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        least, most = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+        common = np.minimum(size[i] - at[i], size[j] - at[j])
+        keep = (least >= similarity * most - 1e-9) & (common >= similarity / (1 + similarity) * (least + most) - 1e-9)
+        if keep.any():
+            yield i[keep], j[keep]
+        k = to
+
+
+def candidates(marked: DataFrame, groups: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
+    """(u, v): all pairs of nodes of other groups that can have the similarity, by a join of their rarest shingles.
+
+    How often shingles occur decides their order alone, which is the same for all texts, so no pair is lost by it; frequent
+    ones (a line that many texts have) come last and aren't joined by, unless a text has little else."""
+    spark = marked.sparkSession
+    texts = marked.select("node", "_text")
+
+    def count(it):
+        n = np.zeros(1 << BUCKET_BITS, "i8")
+        for batch in it:
+            for x in batch.column("_text").to_pylist():
+                np.add.at(n, (shingle_set(x, size, seed) >> np.uint64(64 - BUCKET_BITS)).astype("i8"), 1)
+        key = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(key.astype("i4")), pa.array(n[key])], ["key", "n"])
+
+    found = texts.select("_text").mapInArrow(count, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(1 << BUCKET_BITS, "i8")
+    counts[found.column("key").to_numpy()] = found.column("n").to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
+
+    def some(it):
+        for batch in it:
+            sets = [shingle_set(x, size, seed) for x in batch.column("_text").to_pylist()]
+            rows = [rarest(x, sent.value, similarity).view("i8") for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(np.fromiter(map(len, sets), "i4", len(sets))), pa.array(rows, pa.list_(pa.int64()))], ["node", "size", "tokens"])
+
+    own = texts.mapInArrow(some, "node long, size int, tokens array<long>").groupBy("node").agg(F.first("size").alias("size"), F.first("tokens").alias("tokens"))
+    own = own.join(groups, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "size", F.posexplode("tokens").alias("at", "token"))
+    own = own.repartition("token").sortWithinPartitions("token", "root", "node")
+
+    def work(table: pa.Table):
+        token, node, root, n, at = (table.column(c).to_numpy() for c in ("token", "node", "root", "size", "at"))
+        for i, j in shared_pairs(token, root, n, at, similarity):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], ["u", "v"])
+
+    def walk(it):
+        kept, rows = [], 0
+        for batch in it:
+            kept.append(batch)
+            rows += len(batch)
+            if rows < 30_000:
+                continue
+            table = pa.Table.from_batches(kept)
+            token = table.column("token").to_numpy()
+            end = int(np.flatnonzero(token != token[-1])[-1]) + 1 if (token != token[-1]).any() else 0
+            if end:
+                yield from work(table.slice(0, end))
+            kept = table.slice(end).combine_chunks().to_batches()
+            rows = 0 if end else -len(table)
+        if kept:
+            yield from work(pa.Table.from_batches(kept))
+
+    return own.mapInArrow(walk, "u long, v long").distinct()
+
+
+def checked_pairs(pairs: DataFrame, nodes: DataFrame, marked: DataFrame, size: int, seed: int, similarity: float) -> DataFrame:
+    """Of pairs (u, v) of nodes (each with the _row of one of its texts) those whose sets of shingles have the similarity."""
+    asked = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    chosen = save(nodes.select("node", "_row").join(asked, "node", "left_semi"), "asked")
+    texts = marked.select("_row", "_text").join(counted(chosen), "_row")
+
+    def sets(it):
+        for batch in it:
+            found = [shingle_set(x, size, seed).view("i8") for x in batch.column("_text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+
+    own = save(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
+    side = lambda c: own.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return pairs.join(side("u"), "u").join(side("v"), "v").where(common >= similarity * (F.size("u_set") + F.size("v_set") - common)).select("u", "v")
+
+
 def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity: float) -> DataFrame:
-    """(node, root) of the nodes that are linked to others.
+    """(node, root) of the nodes that are linked to others: no link is lost, and each is checked by sets of shingles.
 
-    Pairs that their bits show to be well over the threshold are linked; of those near it, the likeliest pair between
-    two groups is checked by its texts' sets of shingles."""
+    The tries find most links; of these each node's likeliest ones are checked. Between the groups that they make, pairs that
+    the tries may have missed are found by a join of rarest shingles, which is exact."""
     words = tables // 2
-    nodes = marked.groupBy("node").agg(F.min("more").alias("more"), F.min("_row").alias("_row")).where(F.col("more")[words] > 0)
+    nodes = save(marked.groupBy("node").agg(F.min("more").alias("more"), F.min("_row").alias("_row")).where(F.col("more")[words] > 0), "nodes")
     halves = F.flatten(F.transform(F.slice("more", 1, words), lambda x: F.array(x.bitwiseAND(F.lit(-1 << 32)), F.shiftleft(x, 32))))
     sure, least = min(similarity + SURE, 1.0), similarity - CHECKED
 
@@ -329,35 +442,24 @@ def alike_nodes(marked: DataFrame, tables: int, size: int, seed: int, similarity
         return F.array(*(F.get("more", (F.floor(t / 2) + 1 + k) % words) for k in range(min(ESTIMATED, words))), F.get("more", F.lit(words)))
 
     links = save(trie_links(nodes.select("node", halves.alias("codes"), "more"), 32, 2, weight, some), "links")
-    groups = components(links.where("weight = 1"), "sure")
-    root = lambda c: groups.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
-    doubt = links.where("weight < 1").join(root("u"), "u", "left").join(root("v"), "v", "left")
-    doubt = doubt.select("u", "v", "weight", F.coalesce("u_root", "u").alias("a"), F.coalesce("v_root", "v").alias("b")).where("a != b")
-    doubt = doubt.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max_by(F.struct("u", "v"), F.struct("weight", "u", "v")).alias("p"))
-    doubt = save(doubt.select("a", "b", "p.u", "p.v"), "doubt")
-    asked = doubt.select(F.col("u").alias("node")).unionByName(doubt.select(F.col("v").alias("node"))).distinct()
-    chosen = save(nodes.select("node", "_row").join(asked, "node", "left_semi"), "asked")
-    texts = marked.select("_row", "_text").join(counted(chosen), "_row")
-
-    def sets(it):
-        for batch in it:
-            found = [np.unique(np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles(x, size)), "u8")).view("i8") for x in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
-
-    own = save(texts.mapInArrow(sets, "node long, set array<long>"), "sets")
-    side = lambda c: own.select(F.col("node").alias(c), F.col("set").alias(f"{c}_set"))
-    common = F.size(F.array_intersect("u_set", "v_set"))
-    true = doubt.join(side("u"), "u").join(side("v"), "v").where(common >= similarity * (F.size("u_set") + F.size("v_set") - common))
-    return components(links.where("weight = 1").select("u", "v").unionByName(true.select("u", "v")))
+    # the likeliest link of each node, and that to a lesser node: few links that hold most of a group together
+    low = links.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y"), "weight")
+    high = low.select(F.col("y").alias("x"), F.col("x").alias("y"), "weight")
+    best = lambda rows: rows.groupBy("x").agg(F.max_by("y", F.struct("weight", "y")).alias("y")).select(F.greatest("x", "y").alias("u"), F.least("x", "y").alias("v"))
+    likely = save(best(low).unionByName(best(low.unionByName(high))).distinct(), "likely")
+    true = save(checked_pairs(likely, nodes, marked, size, seed, similarity), "true")
+    more = save(candidates(marked, components(true, "sure"), size, seed, similarity), "candidates")
+    return components(true.unionByName(checked_pairs(more, nodes, marked, size, seed, similarity)))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, tables: int = 20, seed: int = 42) -> DataFrame:
     """Groups of documents alike by their word shingles: id_col, node (hash of the text), group (the smallest node reached).
 
-    Near copies of Jaccard similarity 0.8 differ in about 10 of 64 SimHash bits, too many for one trie. So each text has
-    `tables` SimHashes of 32 bits, each in a trie of its own with a budget of 2 bits. A pair found by any of them is
-    estimated by further bits, and checked by its shingles where the estimate is near the threshold. Equal texts are one
-    node. Texts without words are one group only if equal.
+    Texts are linked if their sets of shingles have the similarity; a group is all that can be reached by links. Near copies of
+    similarity 0.8 differ in about 10 of 64 SimHash bits, too many for one trie. So each text has `tables` SimHashes of 32
+    bits, each in a trie of its own with a budget of 2 bits. What these find is checked by shingles, and what they miss is
+    found by a join of the rarest shingles, so that no link is lost. Equal texts are one node. Texts without words are one
+    group only if equal.
     Null text: empty; null and equal ids are rows of their own; an empty table gives no rows; other columns aren't read.
     """
     marked = sketches(docs, [id_col], text_col, size, tables, seed)

@@ -324,3 +324,55 @@ def test_warc_headers_over_split_ends(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got == dict(enumerate(rows))
+
+
+def test_near_copies_lose_no_link(spark):
+    """Pairs just above and just below the threshold, copies with other blanks, a line that all have, beside all pairs."""
+    r = random.Random(9)
+    line = " ".join(f"line{k}" for k in range(30))
+    rows = [(9_000, "One two"), (9_001, "one  two"), (9_002, "one two three four five six"), (9_003, line), (9_004, line + " end"), (9_005, ""), (9_006, None)]
+    for g in range(220):
+        base = [f"w{r.randrange(10**6)}" for _ in range(r.choice([60, 140, 300]))]
+        rows.append((10 * g, " ".join([line, *base]) if g % 2 else " ".join(base)))
+        n = len(base) - 4 + (30 if g % 2 else 0)
+        for k, changes in enumerate((int(n / 45), int(n / 45) + 1)):  # about five shingles each: similarity 0.8 and less
+            words = list(base)
+            for at in range(2, 2 + 8 * changes, 8):
+                words[min(at, len(words) - 3)] = f"x{r.randrange(10**6)}"
+            rows.append((10 * g + 1 + k, (line + " " if g % 2 else "") + " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    sets = {i: frozenset(near.shingles(t, 5)) for i, t in rows}
+    up = {i: i for i in sets}
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    linked = tight = 0
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and sets[a] & sets[b]:
+                j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+                tight += 0.8 <= j < 0.83
+                if j >= 0.8:
+                    linked += 1
+                    up[max(find(a), find(b))] = min(find(a), find(b))
+    assert linked >= 200 and tight >= 100
+    want = {i: find(9_005 if i == 9_006 else i) for i in sets}  # null is an empty text
+    groups: dict = {}
+    for x in near.near_copies(docs).collect():
+        groups.setdefault(x.group, set()).add(x.doc_id)
+    assert {i: min(m) for m in groups.values() for i in m} == want
+    assert {x.doc_id for x in near.drop_near_copies(docs).collect()} == set(want.values())
+
+
+def test_shared_pairs_equal_a_loop(monkeypatch):
+    monkeypatch.setattr(near, "LEAVES", 7)
+    r = np.random.default_rng(5)
+    token, root, size = np.sort(r.integers(0, 6, 60)), r.integers(0, 9, 60), r.integers(8, 14, 60)
+    order = np.lexsort((root, token))
+    token, root, size, at = token[order], root[order], size[order], r.integers(0, 4, 60)
+    got = [p for i, j in near.shared_pairs(token, root, size, at, 0.8) for p in zip(i.tolist(), j.tolist())]
+    fits = lambda i, j: min(size[i], size[j]) >= 0.8 * max(size[i], size[j]) and min(size[i] - at[i], size[j] - at[j]) >= (size[i] + size[j]) * 4 / 9 - 1e-9
+    assert sorted(got) == [(i, j) for i in range(60) for j in range(i + 1, 60) if token[i] == token[j] and root[i] != root[j] and fits(i, j)] and got
