@@ -79,7 +79,8 @@ def fit_segments(rows: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, flo
 
 
 def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> tuple[np.ndarray, float]:
-    """Fits on a bounded sample of the labelled rows where `held` (a column of docs) is not true. The sample alone comes to the driver.
+    """Fits on a bounded sample of the labelled rows where `held` (a column of docs) is not true. One task
+    fits the sample; the weights alone come to the driver.
 
     Of rows of one id that with the least text is taken."""
     named = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("_y"))
@@ -87,10 +88,15 @@ def train(docs: DataFrame, labels: DataFrame, held, label_col: str = "toxic", ma
     ids = docs.where(F.coalesce(~held, F.lit(False))).select("doc_id").join(named, "doc_id").distinct()
     picked = sample_rows(ids, F.col("doc_id"), max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id", "left_semi").join(F.broadcast(named.join(picked.select("doc_id"), "doc_id", "left_semi")), "doc_id")
-    got = sorted(rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))), F.max("_y")).collect())
-    texts, labels_of = [r[1] for r in got], np.array([r[2] for r in got])
-    del got
-    return fit(texts, labels_of)
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("_text"), F.max("_y").alias("_y"))
+
+    def learn(sample: pa.Table) -> pa.Table:
+        sample = sample.sort_by("doc_id")
+        w, b = fit(sample.column("_text").to_pylist(), sample.column("_y").to_numpy())
+        return pa.table({"w": pa.array([w.tobytes()], pa.binary()), "b": [b]})
+
+    got = rows.groupBy(F.lit("all")).applyInArrow(learn, "w binary, b double").collect()
+    return (np.frombuffer(got[0].w, "f4"), got[0].b) if got else fit([], np.zeros(0))
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], keep: list[str], threshold: float = 0.7) -> DataFrame:

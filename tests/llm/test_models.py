@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sightline.llm import features, fingerprints, language, secrets, toxicity
 from sightline.llm.common import mix
@@ -148,3 +150,17 @@ def test_added_secrets_equal_regex(spark):
     spans = lambda s: {x for x in (s or "").split(",") if x.split(":")[0] in {r.kind for r in added}}
     want = sorted(((k % 90, sorted(f"{r.kind}:{m.start()}:{m.end()}" for r in added for m in re.finditer(r.pattern, t or "", re.A))) for k, t in enumerate(texts)), key=str)
     assert sorted(((i, sorted(spans(s))) for i, s in got), key=str) == want
+
+
+def test_toxicity_is_not_fitted_in_the_driver(spark, monkeypatch):
+    """The driver gets the weights of the labelled rows, not the rows; no rows: the weights of none."""
+    rows = [(k, f"you {'nasty awful' if k % 2 else 'kind gentle'} person number {k}") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    want = toxicity.fit([t for _, t in rows], np.array([k % 2 for k in range(60)]))
+    empty = toxicity.train(docs, labels.where("false"), F.lit(False))
+    assert not empty[0].any() and empty[1] == 0.0
+    driver, fit = os.getpid(), toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda *x: 1 / 0 if os.getpid() == driver else fit(*x))
+    w, b = toxicity.train(docs, labels, F.lit(False))
+    assert (w == want[0]).all() and b == want[1]
