@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -191,3 +192,47 @@ def test_training_has_no_switch_by_size(spark, monkeypatch):
     monkeypatch.setattr(scoring, "MOST_ROUNDS", 2)
     got = {r.doc_id: r.score for r in scoring.score_texts(docs, TOKENIZER).collect()}
     assert got.keys() == whole.keys() and max(abs(got[k] - whole[k]) for k in got) < 0.01
+
+
+def test_a_step_makes_no_large_arrays(model):
+    """A step writes over what the ones before made: new arrays of its size cost more than what is put into them."""
+    p, t, rows = model
+    now = t.number[np.concatenate(rows)]
+    x, goal, _ = attention.picked_windows(now, np.arange(41) * 90, np.arange(40).astype("u8"), 1, 0)
+    trainer = attention.Trainer(p, t.own, t.after)
+    x, goal = x[: attention.STEP_WINDOWS], np.where(goal >= 0, t.own[goal], -1)[: attention.STEP_WINDOWS].ravel()
+    trainer.step(x, goal)
+    tracemalloc.start()
+    trainer.step(x, goal)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1 << 20  # the logits of a step alone are 983,040 bytes
+
+
+def test_steps_equal_plain_adam(model, monkeypatch):
+    """Whatever the blocks, and where what is seen has to be scaled down as well as where bounds show that it hasn't."""
+    _, t, rows = model
+    x, goal, _ = attention.picked_windows(t.number[np.concatenate(rows)], np.arange(41) * 90, np.arange(40).astype("u8"), 1, 0)
+    goal = np.where(goal >= 0, t.own[goal], -1)
+    for times in (1.0, 20.0):
+        start = {k: v.astype("f8") * (times if k in "qkvu" else 1) for k, v in attention.start().items()}
+        views, some = attention._views(start), np.array([attention.PAD, 3, attention.OTHER])
+        assert (attention._query_scale(start) < 1) == (times > 1) and np.allclose(attention._outward(start), start["u"]) == (times == 1)
+        ask, seen, bias, u = attention.Trainer(start, t.own, t.after).tables(some)
+        assert all(np.allclose(*both, atol=1e-6) for both in ((ask, views[0][some]), (seen, views[1][some]), (bias, views[2]), (u, attention._outward(start))))
+        found = []
+        for block in (1, 5, 48):
+            monkeypatch.setattr(attention, "BLOCK", block)
+            trainer, plain = attention.Trainer(start, t.own, t.after), {k: v.copy() for k, v in start.items()}
+            first, second = ({k: np.zeros_like(v) for k, v in plain.items()} for _ in range(2))
+            for n in range(1, 4):
+                a = slice((n - 1) * 40, n * 40)
+                g = {k: v.copy() for k, v in attention.Trainer(plain, t.own, t.after).gradient(x[a], goal[a].ravel()).items()}
+                trainer.step(x[a], goal[a].ravel())
+                for k, v in plain.items():
+                    first[k] = 0.9 * first[k] + 0.1 * g[k]
+                    second[k] = 0.98 * second[k] + 0.02 * g[k] ** 2
+                    v -= attention.RATE * n / 10 / (1 - 0.9**n) * first[k] / (np.sqrt(second[k] / (1 - 0.98**n)) + 1e-8)
+            assert all(np.allclose(trainer.p[k], plain[k], atol=1e-7) for k in plain)
+            found.append(trainer.p)
+        assert all(np.allclose(found[0][k], f[k], atol=1e-7) for f in found for k in f)
