@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import frame_iou, overlap_seconds
 from .features import KEY
 from .islands import merge_intervals, take_free
+from .matching import match
 from .timeline import banded
 
 
@@ -28,9 +29,7 @@ def greedy_match(gt: DataFrame, pred: DataFrame, listed: bool = False) -> DataFr
     """Each prediction in order takes the first free ground truth of its kind that it overlaps: gesture_key, gt_key, seconds.
 
     Both in order of time, or, listed, in that of their keys (places in their documents)."""
-    pairs = candidates(gt, in_islands(gt, pred, [*KEY, "gesture_type"])).where("a_gesture_type = b_gesture_type").select(*KEY, F.col("a_gesture_type").alias("gesture_type"), F.col("a_gesture_key").alias("gesture_key"), F.col("b_gt_key").alias("gt_key"), F.col("a_start_time").alias("p"), F.col("b_start_time").alias("g"), "seconds", F.col("a__island").alias("_island"))
-    order = ["gesture_key", "gt_key"] if listed else ["p", "gesture_key", "g", "gt_key"]
-    return take_free(pairs, [*KEY, "gesture_type", "_island"], [F.col(c) for c in order], "gesture_key", "gt_key").drop("p", "g", "_island")
+    return match(pred, gt, [*KEY, "gesture_type"], "gesture_key", "gt_key", listed)
 
 
 def scores(gt: DataFrame, pred: DataFrame, matched: DataFrame) -> DataFrame:
