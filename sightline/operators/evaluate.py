@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import frame_iou, overlap_seconds
+from ..session import save
 from .features import KEY
 from .islands import merge_intervals, take_free
 from .matching import match
@@ -45,13 +46,23 @@ def confusion(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """For each ground truth the prediction of any kind with the longest overlap (the first of equals): gt_type, pred_type, n.
 
     Missed: pred_type null. A prediction that no ground truth takes is a false alarm: gt_type null."""
-    pairs = candidates(gt, pred).where("seconds > 0")
-    taken = F.min_by(F.struct(F.col("a_gesture_type").alias("pred_type"), F.col("a_gesture_key").alias("gesture_key")), F.struct(-F.col("seconds"), "a_start_time", "a_gesture_key")).alias("t")
-    best = pairs.groupBy(*KEY, F.col("b_gt_key").alias("gt_key")).agg(taken).select(*KEY, "gt_key", "t.*")
-    met = gt.select(*KEY, "gt_key", F.col("gesture_type").alias("gt_type")).join(best, [*KEY, "gt_key"], "left").withColumn("_met", F.lit(True))
-    # predictions that no ground truth took come in from the right; the pairs are made once
-    both = met.join(pred.select(*KEY, "gesture_key", F.col("gesture_type").alias("_own")), [*KEY, "gesture_key"], "full_outer")
-    return both.groupBy("gt_type", F.when(F.col("_met"), F.col("pred_type")).otherwise(F.col("_own")).alias("pred_type")).agg(F.count("*").alias("n"))
+    span = ["b_start_time", "b_end_time"]
+    # of predictions that start together none overlaps longer than the longest, so those alone are paired, with distinct spans
+    longest = pred.groupBy(*KEY, "start_time").agg(F.max("end_time").alias("end_time"))
+    pairs = candidates(gt.select(*KEY, "start_time", "end_time").distinct(), longest).where("seconds > 0")
+    best = pairs.groupBy(*KEY, *span).agg(F.max("seconds").alias("best")).withColumnsRenamed({c: c[2:] for c in span})
+    again = candidates(best, longest).where("seconds = b_best")  # pairs are made twice, so that none is shuffled
+    first = again.groupBy(*KEY, *span, F.col("b_best").alias("_best")).agg(F.min("a_start_time").alias("start_time"))
+    # the key decides among those that start there and overlap as long
+    alike = pred.groupBy(*KEY, "start_time", "end_time", "gesture_type").agg(F.min("gesture_key").alias("gesture_key"))
+    tied = alike.join(first, [*KEY, "start_time"]).where(overlap_seconds(F.col("start_time"), F.col("end_time"), F.col("b_start_time"), F.col("b_end_time")) == F.col("_best"))
+    each = tied.groupBy(*KEY, *span, "gesture_type").agg(F.min("gesture_key").alias("gesture_key"))
+    taken = each.groupBy(*KEY, *span).agg(F.min_by(F.struct(F.col("gesture_type").alias("pred_type"), "gesture_key"), "gesture_key").alias("_t")).select(*KEY, F.col("b_start_time").alias("start_time"), F.col("b_end_time").alias("end_time"), "_t.*")
+    taken = save(taken, "taken")
+    wanted = gt.groupBy(*KEY, "start_time", "end_time", F.col("gesture_type").alias("gt_type")).agg(F.count("*").alias("n"))
+    met = wanted.join(taken, [*KEY, "start_time", "end_time"], "left").select("gt_type", "pred_type", "n")
+    alarms = pred.join(taken, [*KEY, "gesture_key"], "left_anti").groupBy(F.col("gesture_type").alias("pred_type")).agg(F.count("*").alias("n"))
+    return met.unionByName(alarms, allowMissingColumns=True).groupBy("gt_type", "pred_type").agg(F.sum("n").alias("n"))
 
 
 def confusion_matrix(cells: DataFrame, kinds: list[str]) -> DataFrame:
