@@ -115,7 +115,7 @@ def cross_graph(rows: DataFrame, replies: DataFrame | None = None, proximity: fl
     pairs = timeline.cross_modal_pairs(nodes, proximity)
     raw = rows.groupBy(*KEY).agg(F.count("*").alias("raw"))
     own = nodes.groupBy(*KEY).agg(F.count("*").alias("filtered"), F.count_if(F.col("source") == "gaze").alias("gaze"), F.count_if(F.col("source") == "gesture").alias("gesture"))
-    n = pairs.groupBy(*KEY).agg(F.count("*").alias("pairs"))
+    n = timeline.pair_counts(nodes, proximity)
     return nodes, pairs, raw.join(own, KEY, "left").join(n, KEY, "left").na.fill(0, ["filtered", "gaze", "gesture", "pairs"])
 
 

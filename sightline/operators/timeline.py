@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import save
 from .features import KEY
 from .islands import merge_intervals
 
@@ -40,23 +41,52 @@ def banded(a: DataFrame, b: DataFrame, reach: float, width: float = BAND) -> Dat
     return x.join(y, [*KEY, "_band"]).where(near & first).drop("_band")
 
 
-def cross_modal_pairs(timeline: DataFrame, proximity: float = 3.0) -> DataFrame:
-    """Gaze events and gestures that overlap (strictly), or are at most proximity seconds apart."""
-    both = banded(timeline.where("source = 'gaze'"), timeline.where("source = 'gesture'"), proximity)
+def span_pairs(timeline: DataFrame, proximity: float = 3.0) -> DataFrame:
+    """Pairs of spans (start and end) of gaze events and gestures that overlap, or are at most proximity seconds apart: a_ and b_
+    first and last (places), relation and seconds. Rows of one source and span are neighbours in a timeline, so they are a
+    range of places, and are paired once, however many they are."""
+    spans = timeline.groupBy(*KEY, "source", "start_time", "end_time").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    both = banded(spans.where("source = 'gaze'"), spans.where("source = 'gesture'"), proximity)
     apart = F.greatest("a_start_time", "b_start_time") - F.least("a_end_time", "b_end_time")
     over = (F.col("a_start_time") < F.col("b_end_time")) & (F.col("b_start_time") < F.col("a_end_time"))
     both = both.where(over | (apart <= proximity))
-    return both.select(*KEY, F.col("a_place").alias("gaze_place"), F.col("b_place").alias("gesture_place"), F.when(over, "overlap").otherwise("adjacent").alias("relation"), F.round(F.when(over, -apart).otherwise(apart), 2).alias("seconds"))
+    return both.select(*KEY, *(f"{s}_{c}" for s in "ab" for c in ("first", "last")), F.when(over, "overlap").otherwise("adjacent").alias("relation"), F.round(F.when(over, -apart).otherwise(apart), 2).alias("seconds"))
+
+
+def cross_modal_pairs(timeline: DataFrame, proximity: float = 3.0) -> DataFrame:
+    """Gaze events and gestures that overlap (strictly), or are at most proximity seconds apart. places in the timeline have no gaps."""
+    each = span_pairs(timeline, proximity).withColumn("gaze_place", F.explode(F.sequence("a_first", "a_last")))
+    return each.select(*KEY, "gaze_place", F.explode(F.sequence("b_first", "b_last")).alias("gesture_place"), "relation", "seconds")
+
+
+def pair_counts(timeline: DataFrame, proximity: float = 3.0) -> DataFrame:
+    """video_id, pairs: how many cross_modal_pairs() a video has, if any, without making them."""
+    n = lambda s: F.col(f"{s}_last") - F.col(f"{s}_first") + F.lit(1).cast("long")
+    return span_pairs(timeline, proximity).groupBy(*KEY).agg(F.sum(n("a") * n("b")).alias("pairs"))
+
+
+def paired_places(timeline: DataFrame, proximity: float = 3.0) -> DataFrame:
+    """video_id, place of the rows that are in any of cross_modal_pairs(), once each, without making them."""
+    spans = span_pairs(timeline, proximity)
+    sides = [spans.select(*KEY, F.col(f"{s}_first").alias("first"), F.col(f"{s}_last").alias("last")) for s in "ab"]
+    return sides[0].unionByName(sides[1]).distinct().select(*KEY, F.explode(F.sequence("first", "last")).alias("place"))
 
 
 def temporal_relations(events: DataFrame, reach: float = 3.0) -> DataFrame:
-    """For events in order of start and end: later ones that overlap, or start within reach seconds after the end. events: item, start_time, end_time."""
-    w = Window.partitionBy(*KEY).orderBy("start_time", "end_time", "item")
-    rows = events.select(*KEY, "item", "start_time", "end_time").withColumn("n", F.row_number().over(w))
-    pairs = banded(rows, rows, reach).where((F.col("a_n") < F.col("b_n")) & (F.col("b_start_time") - F.col("a_end_time") <= reach))
+    """For events in order of start and end: later ones that overlap, or start within reach seconds after the end. events: item, start_time, end_time.
+
+    Events of one span are paired with those of another as wholes, and then listed."""
+    spans = events.select(*KEY, "item", "start_time", "end_time").groupBy(*KEY, "start_time", "end_time").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    later = (F.col("a_start_time") < F.col("b_start_time")) | ((F.col("a_start_time") == F.col("b_start_time")) & (F.col("a_end_time") <= F.col("b_end_time")))
+    pairs = banded(spans, spans, reach).where(later & (F.col("b_start_time") - F.col("a_end_time") <= reach))
     over = F.col("a_end_time") > F.col("b_start_time")
+    same = (F.col("a_start_time") == F.col("b_start_time")) & (F.col("a_end_time") == F.col("b_end_time"))
     seconds = F.when(over, F.least("a_end_time", "b_end_time") - F.col("b_start_time")).otherwise(F.col("b_start_time") - F.col("a_end_time"))
-    return pairs.select(*KEY, F.col("a_item").alias("item_a"), F.col("b_item").alias("item_b"), F.when(over, "overlaps").otherwise("immediately_follows").alias("relation"), F.round(seconds, 2).alias("seconds"))
+    told = pairs.select(*KEY, "a_items", "b_items", same.alias("_same"), F.when(over, "overlaps").otherwise("immediately_follows").alias("relation"), F.round(seconds, 2).alias("seconds"))
+    each = told.select("*", F.posexplode("a_items").alias("_k", "item_a"))
+    # of equal spans, each with those after it
+    rest = F.when(F.col("_same"), F.slice("b_items", F.col("_k") + 2, F.size("b_items"))).otherwise(F.col("b_items"))
+    return each.select(*KEY, "item_a", F.explode(rest).alias("item_b"), "relation", "seconds")
 
 
 def top_in_time(events: DataFrame, n: int = 50) -> DataFrame:
@@ -79,26 +109,33 @@ def drop_doubles(timeline: DataFrame, protected: DataFrame) -> DataFrame:
 
     Each decision depends on those before, but only among events whose intervals hang together: such runs are cut out by a
     window, and each is folded by itself. An event that meets a more confident one goes, and what it would have met after
-    that stays; until then, it drops the others that it meets."""
+    that stays; until then, it drops the others that it meets. The fold holds those that stay so far and haven't ended yet.
+    Of two that meet one isn't protected, so protected events that overlap none that isn't stay out of it."""
     rows = timeline.join(protected.select(*KEY, "place").distinct().withColumn("protected", F.lit(True)), [*KEY, "place"], "left").withColumn("protected", F.coalesce("protected", F.lit(False)))
     names = rows.columns
     alike = [*KEY, "source", "kind", "_who"]
-    rows = merge_intervals(rows.withColumn("_who", F.array_sort(F.array_distinct("persons"))), alike, ["end_time", "place"], slack=0.0, name="_run")
-    runs = rows.groupBy(*alike, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*names).alias("e")))), lambda x: x["e"]).alias("_e"))
-    e = F.col("_e")
-
-    def decide(gone: Column, i: Column) -> Column:
-        a = F.get(e, i)
-        meets = lambda b, j: (j > i) & ~F.get(gone, j) & (a["start_time"] < b["end_time"]) & (b["start_time"] < a["end_time"]) & ~(a["protected"] & b["protected"])
-        loses = F.transform(e, lambda b, j: meets(b, j) & (a["confidence"] < b["confidence"]) & ~a["protected"])
-        stop = F.array_position(loses, True) - 1  # -1: it stays
-        drops = lambda j: meets(F.get(e, j), j) & (a["confidence"] >= F.get(e, j)["confidence"]) & ~F.get(e, j)["protected"] & ((stop < 0) | (j < stop))
-        return F.when(F.get(gone, i), gone).otherwise(F.transform(gone, lambda g, j: g | ((j == i) & (stop >= 0)) | drops(j)))
-
-    none = F.transform(e, lambda _: F.lit(False))
-    gone = F.when(F.size(e) == 1, none).otherwise(F.aggregate(F.sequence(F.lit(0), F.size(e) - 1), none, decide))
-    kept = runs.withColumn("_gone", gone).select(F.filter(e, lambda _, k: ~F.get(F.col("_gone"), k)).alias("_e"))
-    return kept.select(F.inline("_e")).select(*names)
+    w = Window.partitionBy(*alike).orderBy("start_time", "end_time", "place")
+    loose = lambda c: F.when(~F.col("protected"), F.col(c))
+    rows = rows.withColumn("_who", F.array_sort(F.array_distinct("persons")))
+    rows = rows.withColumns({"_before": F.max(loose("end_time")).over(w), "_after": F.min(loose("start_time")).over(w.rowsBetween(0, Window.unboundedFollowing))})
+    safe = F.col("protected") & ~F.coalesce(F.col("_before") > F.col("start_time"), F.lit(False)) & ~F.coalesce(F.col("_after") < F.col("end_time"), F.lit(False))
+    rows = save(rows.withColumn("_safe", safe).drop("_before", "_after"), "doubles")  # read twice
+    loose_rows = merge_intervals(rows.where("NOT _safe"), alike, ["end_time", "place"], slack=0.0, name="_run")
+    runs = loose_rows.groupBy(*alike, "_run").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*names).alias("e")))), lambda x: x["e"]).alias("_e"))
+
+    def meet(state: Column, b: Column) -> Column:
+        overlaps = lambda a: (a["start_time"] < b["end_time"]) & (b["start_time"] < a["end_time"])
+        at = F.array_position(F.transform(state["open"], lambda a: overlaps(a) & (a["confidence"] >= b["confidence"]) & ~b["protected"]), True)  # the first that drops b; 0: none
+        beaten = lambda a, k: overlaps(a) & (a["confidence"] < b["confidence"]) & ~a["protected"] & ((at == 0) | (k < at - 1))
+        left = F.filter(state["open"], lambda a, k: ~beaten(a, k))
+        own = F.when(at == 0, F.array(b)).otherwise(F.slice(F.array(b), 1, 0))
+        still = F.concat(F.filter(left, lambda a: a["end_time"] > b["start_time"]), own)
+        return F.struct(still.alias("open"), F.concat(state["kept"], F.filter(left, lambda a: a["end_time"] <= b["start_time"])).alias("kept"))
+
+    none = F.slice("_e", 1, 0)
+    kept = F.aggregate("_e", F.struct(none.alias("open"), none.alias("kept")), meet, lambda state: F.concat(state["kept"], state["open"]))
+    folded = runs.select(F.inline(F.when(F.size("_e") == 1, F.col("_e")).otherwise(kept))).select(*names)
+    return rows.where("_safe").select(*names).unionByName(folded)
 
 
 def cap(rows: DataFrame, n: int = 25) -> DataFrame:
@@ -113,9 +150,7 @@ def cap(rows: DataFrame, n: int = 25) -> DataFrame:
 
 def filter_timeline(timeline: DataFrame, proximity: float = 3.0, n: int = 25) -> DataFrame:
     """Protects events in cross-modal pairs, drops doubles, caps. cross_modal_pairs() of renumbered() rows are the graph's pairs."""
-    pairs = cross_modal_pairs(timeline, proximity)
-    protected = pairs.select(*KEY, F.col("gaze_place").alias("place")).unionByName(pairs.select(*KEY, F.col("gesture_place").alias("place")))
-    return cap(drop_doubles(timeline, protected), n)
+    return cap(drop_doubles(timeline, paired_places(timeline, proximity)), n)
 
 
 def renumbered(rows: DataFrame) -> DataFrame:

@@ -82,8 +82,7 @@ def t5_fallback_sample(spark, sf_dir):
 def t6_cap(spark, sf_dir):
     """The cap alone, without the greedy dropping of doubles (e9)."""
     rows = merged(spark, sf_dir)
-    pairs = timeline.cross_modal_pairs(rows)
-    held = pairs.select("video_id", F.col("gaze_place").alias("place")).unionByName(pairs.select("video_id", F.col("gesture_place").alias("place"))).distinct().withColumn("_p", F.lit(True))
+    held = timeline.paired_places(rows).withColumn("_p", F.lit(True))
     rows = rows.join(held, ["video_id", "place"], "left").withColumn("protected", F.coalesce("_p", F.lit(False)))
     return timeline.cap(rows).select("video_id", F.col("place").cast("long").alias("place"), "item")
 
