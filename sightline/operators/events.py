@@ -42,8 +42,9 @@ def sudden_gaze_shifts(rows: DataFrame, velocity: float = 0.7, shortest: float =
 def joint_attention(rows: DataFrame, frames: DataFrame, convergence: float = 0.6, least: int = 2, shortest: float = 0.5, near: float = 0.2) -> DataFrame:
     """Runs of converging frames with like persons; those of the first frame who look near the centre of the peak frame."""
     high = frames.where((F.col("convergence") >= convergence) & (F.col("num_faces") >= least))
+    # frames of equal convergence differ in its last bits by the order in which it was summed up, so the earlier one counts within 1e-12 a frame
     runs = sessionize(high, KEY, ["pos"], "ts", 0.6, unlike(KEY, ["pos"], "present")).groupBy(*KEY, "island").agg(
-        *_span(), F.min("pos").alias("pos"), F.avg("convergence").alias("confidence"), F.max("convergence").alias("top"), F.max_by(F.struct("center_x", "center_y"), F.struct("convergence", -F.col("pos"))).alias("center")
+        *_span(), F.min("pos").alias("pos"), F.avg("convergence").alias("confidence"), F.max("convergence").alias("top"), F.max_by(F.struct("center_x", "center_y"), F.col("convergence") * 1e6 - F.col("pos") * 1e-6).alias("center")
     )
     runs = runs.where(F.col("end_time") - F.col("start_time") >= shortest)
     looks = rows.where(F.col("face") & F.col("x").isNotNull()).select(*KEY, "pos", "person_id", "x", "y")
@@ -97,6 +98,7 @@ def all_events(rows: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def candidates(events: DataFrame, least: float = 0.75, n: int = 15) -> DataFrame:
-    """The n most confident events of each video, from `least` confidence on, with their rank."""
-    w = Window.partitionBy(*KEY).orderBy(F.col("confidence").desc(), "start_time", "event_id")
+    """The n most confident events of each video, from `least` confidence on, with their rank. Means that differ in their last
+    bits, by the order in which they were summed up, are equal."""
+    w = Window.partitionBy(*KEY).orderBy(F.round("confidence", 12).desc(), "start_time", "event_id")
     return events.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)
