@@ -17,6 +17,9 @@ from .islands import merge_intervals, sessionize, unlike
 
 DETAILS = "struct<max_velocity:double,mean_velocity:double,duration:double,num_frames:bigint,num_persons:bigint,max_convergence:double,mean_convergence:double,center_x:double,center_y:double,leader_id:bigint,follower_id:bigint,lag_seconds:double,gaze_distance:double>"
 
+#: Kinds of event whose confidence is a mean.
+MEANS = ["joint_attention", "attention_capture"]
+
 
 def _events(df: DataFrame, kind: str, base: int, order: list[str], persons: Column, **details: Column) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*KEY).orderBy(*order)) - 1 + base
@@ -98,7 +101,8 @@ def all_events(rows: DataFrame, frames: DataFrame) -> DataFrame:
 
 
 def candidates(events: DataFrame, least: float = 0.75, n: int = 15) -> DataFrame:
-    """The n most confident events of each video, from `least` confidence on, with their rank. Means that differ in their last
-    bits, by the order in which they were summed up, are equal."""
-    w = Window.partitionBy(*KEY).orderBy(F.round("confidence", 12).desc(), "start_time", "event_id")
+    """The n most confident events of each video, from `least` confidence on, with their rank. Confidences that are means and
+    differ in their last bits, by the order in which they were summed up, are equal."""
+    sure = F.when(F.col("event_type").isin(MEANS), F.round("confidence", 12)).otherwise(F.col("confidence"))
+    w = Window.partitionBy(*KEY).orderBy(sure.desc(), "start_time", "event_id")
     return events.where(F.col("confidence") >= least).withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= n)

@@ -16,6 +16,8 @@ def test_first_of_equal_peaks(spark):
 
 
 def test_equal_means_are_ranked_by_time(spark):
-    rows = [("v", 1, 0.8, 1.0), ("v", 2, 0.8 + 1.2e-16, 2.0), ("v", 3, 0.9, 3.0), ("v", 4, 0.7, 0.0)]
-    df = spark.createDataFrame(rows, "video_id string, event_id long, confidence double, start_time double")
-    assert rows[1][2] > rows[0][2] and [r.event_id for r in events.candidates(df).orderBy("rank").collect()] == [3, 1, 2]
+    """Sums in another order change the last bits; other confidences are told apart by theirs."""
+    rows = [(v, k, c, t, kind) for v, kind in (("v", "joint_attention"), ("w", "gaze_following")) for k, c, t in ((1, 0.8, 1.0), (2, 0.8 + 1.2e-16, 2.0), (3, 0.9, 3.0), (4, 0.7, 0.0))]
+    df = spark.createDataFrame(rows, "video_id string, event_id long, confidence double, start_time double, event_type string")
+    got = [(r.video_id, r.event_id) for r in events.candidates(df).orderBy("video_id", "rank").collect()]
+    assert rows[1][2] > rows[0][2] and got == [("v", 3), ("v", 1), ("v", 2), ("w", 3), ("w", 2), ("w", 1)]
