@@ -63,10 +63,13 @@ class Chain:
 
 
 def confirmed(candidates: DataFrame, verdicts: DataFrame | None) -> DataFrame:
-    """Candidates with what an outside classifier says of them (video_id, event_id, confirmed), null where it doesn't."""
+    """Candidates with what an outside classifier says of them (video_id, event_id, confirmed), null where it doesn't.
+
+    Candidates are few for each video, verdicts may be many: the hint keeps verdicts from being broadcast or sorted, whatever
+    their size is taken for."""
     if verdicts is None:
         return candidates.withColumn("confirmed", F.lit(None).cast("boolean"))
-    return candidates.join(verdicts.select("video_id", "event_id", "confirmed"), ["video_id", "event_id"], "left")
+    return candidates.hint("shuffle_hash").join(verdicts.select("video_id", "event_id", "confirmed"), ["video_id", "event_id"], "left")
 
 
 def gaze_chain(spark: SparkSession, root: str, verdicts: DataFrame | None = None, least: float = 0.75, most: int = 15) -> Chain:
